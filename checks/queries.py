@@ -23,12 +23,12 @@ from checks.inputs import (
     rounded,
     spread,
 )
+from tacitrec.functions.vectors import packed
 from tacitrec.operators.gram import gram
 from tacitrec.operators.relation import group_sizes, with_confidence
 from tacitrec.operators.sample import smallest_digests
 from tacitrec.plans.evaluate import eval_subsample, seen_items
 from tacitrec.plans.experiment import train_variant
-from tacitrec.plans.recommend import score_pairs
 from tacitrec.sources.history import read_history, write_history
 from tacitrec.sources.ratings import read_ratings, write_ratings
 from tacitrec.sources.star import order_line_ratings
@@ -245,23 +245,22 @@ def item_group_sizes(spark, sf_dir):
     return group_sizes(line_data(spark, sf_dir).train, "item_idx")
 
 
-def _gram(factors: DataFrame, k: int) -> DataFrame:
-    return gram(factors, k).select("f", "g", rounded("value", 6).alias("value"))
+def _gram(factors: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    weighted = packed(factors).join(weights, "idx")
+    return gram(weighted, k).select("f", "g", rounded("value", 6).alias("value"))
 
 
 @query
 def gram_items(spark, sf_dir):
     data = line_data(spark, sf_dir)
-    items = grid_factors(data, 4)[1].join(
-        _confidence(data, 0.5).withColumnRenamed("item_idx", "idx"), "idx"
-    )
-    return _gram(items, 4)
+    weights = _confidence(data, 0.5).withColumnRenamed("item_idx", "idx")
+    return _gram(grid_factors(data, 4)[1], weights, 4)
 
 
 @query
 def gram_users(spark, sf_dir):
-    users = grid_factors(line_data(spark, sf_dir), 4)[0]
-    return _gram(users.withColumn("c", F.lit(1.0)), 4)
+    data = line_data(spark, sf_dir)
+    return _gram(grid_factors(data, 4)[0], data.users.select("idx", F.lit(1.0).alias("c")), 4)
 
 
 def _trainer(spark, data, k: int, alpha: float = 0.5, train: DataFrame | None = None, **limits) -> tr.Trainer:
@@ -411,7 +410,7 @@ def _plain_zero(scored: DataFrame) -> DataFrame:
 def score_pairs_observed(spark, sf_dir):
     data = line_data(spark, sf_dir)
     users, items = grid_factors(data)
-    return _plain_zero(score_pairs(seen_items(data.train), users, items))
+    return _plain_zero(tr.score_pairs(seen_items(data.train), users, items))
 
 
 @query

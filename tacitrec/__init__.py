@@ -12,13 +12,14 @@ from tacitrec.operators.encode import Encoded, decode, encode_ids, id_dictionary
 from tacitrec.operators.kcore import KCore, interaction_counts, kcore, kcore_pass
 from tacitrec.operators.relation import interactions, preview, training_relation
 from tacitrec.operators.sample import sample_exact
+from tacitrec.operators.score import predict_user, score_pairs
 from tacitrec.operators.split import leave_one_out
 from tacitrec.operators.summary import dataset_summary, dataset_summary_encoded
 from tacitrec.operators.weights import confidence_stats, item_confidence, item_popularity
 from tacitrec.params import Params
 from tacitrec.plans.evaluate import Evaluator, hr_ndcg, test_item_rank
 from tacitrec.plans.experiment import Dataset, compare_variants, prepare
-from tacitrec.plans.recommend import predict_all, predict_user, recommend_all, recommend_user
+from tacitrec.plans.recommend import predict_all, recommend_all, recommend_user
 from tacitrec.plans.train import FitResult, Trainer, fit, initial_factors
 
 __all__ = [
@@ -29,5 +30,5 @@ __all__ = [
     "interaction_counts", "interactions", "item_confidence", "item_popularity", "kcore",
     "kcore_pass", "leave_one_out", "predict_all", "predict_user", "prepare",
     "presentation_names", "preview", "recommend_all", "recommend_user", "relative_gain",
-    "sample_exact", "test_item_rank", "training_relation", "variant_summary",
+    "sample_exact", "score_pairs", "test_item_rank", "training_relation", "variant_summary",
 ]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tacitrec.params import INIT_STDDEV
 
@@ -42,21 +44,83 @@ def starting_vector(side: str, idx: str | Column, factors: int, seed: int) -> Co
     return F.transform(F.sequence(F.lit(0), F.lit(factors - 1)), component)
 
 
-def to_matrix(column: pa.ChunkedArray | pa.Array, factors: int) -> np.ndarray:
-    """Rows of an `array<double>` column without nulls, as a matrix that checks its values."""
+def packed(factors: DataFrame) -> DataFrame:
+    """`(idx, vec)` with the components as the bytes of float64 numbers.
+
+    Between the JVM and Python, arrays are copied number by number but bytes as a whole,
+    so vectors travel as bytes wherever only Python looks into them.
+    """
+    if isinstance(factors.schema["vec"].dataType, BinaryType):
+        return factors.select("idx", "vec")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("vec")
+            values = vectors.flatten().to_numpy(zero_copy_only=False)
+            width = len(values) // max(1, len(vectors))
+            if len(vectors) and not (vectors.value_lengths().to_numpy() == width).all():
+                raise ValueError("factor vectors must have the same length")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("idx"), from_matrix(values.reshape(len(vectors), width))], names=["idx", "vec"]
+            )
+
+    return factors.select("idx", "vec").mapInArrow(pack, "idx bigint, vec binary")
+
+
+def unpacked(factors: DataFrame) -> DataFrame:
+    """`(idx, vec)` with the components as an array."""
+    if not isinstance(factors.schema["vec"].dataType, BinaryType):
+        return factors.select("idx", "vec")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix = to_matrix(batch.column("vec"))
+            offsets = np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(matrix.shape[1])
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("idx"), vectors], names=["idx", "vec"])
+
+    return factors.select("idx", "vec").mapInArrow(unpack, "idx bigint, vec array<double>")
+
+
+def to_matrix(column: pa.ChunkedArray | pa.Array, width: int = 0) -> np.ndarray:
+    """Rows of a packed column without nulls as a read-only matrix; its values are checked.
+
+    `width` is only needed to shape a column without rows.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    if len(values) != len(column) * factors:
-        raise ValueError(f"factor vectors must have {factors} components")
+    if not len(column):
+        return np.zeros((0, width))
+    offsets = _offsets(column)
+    values = _values(column, offsets, np.float64)
+    if (np.diff(offsets) != 8 * (len(values) // len(column))).any():
+        raise ValueError("factor vectors must have the same length")
     if not np.isfinite(values).all():
         raise ValueError("factor vectors must be finite; training has diverged")
-    return values.reshape(-1, factors)
+    return values.reshape(len(column), -1)
 
 
 def from_matrix(matrix: np.ndarray) -> pa.Array:
-    """The rows of a matrix as an `array<double>` column."""
+    """The rows of a matrix as a packed column."""
     rows, width = matrix.shape
-    offsets = np.arange(0, (rows + 1) * width, width, dtype=np.int32) if width else np.zeros(rows + 1, np.int32)
-    values = pa.array(np.ascontiguousarray(matrix, dtype=np.float64).ravel())
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
+    offsets = np.arange(rows + 1, dtype=np.int32) * np.int32(8 * width)
+    values = np.ascontiguousarray(matrix, dtype=np.float64)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def one_packed(values: np.ndarray, kind: type) -> pa.Array:
+    """A packed column with a single row."""
+    return pa.array([np.ascontiguousarray(values, dtype=kind).tobytes()], pa.binary())
+
+
+def unpack_row(column: pa.ChunkedArray, row: int, kind: type) -> np.ndarray:
+    """The numbers in one row of a packed column."""
+    return np.frombuffer(column[row].as_buffer(), dtype=kind)
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+
+
+def _values(column: pa.Array, offsets: np.ndarray, kind: type) -> np.ndarray:
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]].view(kind)

@@ -13,7 +13,7 @@ from tacitrec.functions.vectors import to_matrix
 
 
 def gram(factors: DataFrame, k: int) -> DataFrame:
-    """`(f, g, value)` of the sum of c v v' over all rows of `(c, vec)`; f <= g.
+    """`(f, g, value)` of the sum of c v v' over all rows of `(c, vec)`, vec packed; f <= g.
 
     Each task reduces its rows to one matrix, the matrices are added up by a grouped sum.
     """

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tacitrec.functions.ranking import count_above
-from tacitrec.functions.vectors import dot
+from tacitrec.functions.vectors import packed
 from tacitrec.operators.grid import CellBatch, plan_grid, score_grid
 from tacitrec.operators.sample import smallest_digests
+from tacitrec.operators.score import score_pairs
 
 
 def seen_items(train: DataFrame) -> DataFrame:
@@ -45,8 +46,7 @@ def test_item_rank(users: DataFrame, items: DataFrame, test: DataFrame, train: D
 
 
 def _ranks(users: DataFrame, items: DataFrame, test: DataFrame, seen: DataFrame, n_items: int) -> DataFrame:
-    spark = test.sparkSession
-    factors = _width(items)
+    users, items = packed(users), packed(items)
     rows = test.groupBy("user_idx", "item_idx").agg(F.count("*").alias("copies"))
     chosen = rows.select(F.col("user_idx").alias("idx")).distinct()
     n_users = chosen.count()
@@ -54,12 +54,11 @@ def _ranks(users: DataFrame, items: DataFrame, test: DataFrame, seen: DataFrame,
     own_seen = seen.join(chosen.withColumnRenamed("idx", "user_idx"), "user_idx", "left_semi")
     known = own_seen.select("user_idx", "item_idx", F.lit(True).alias("known"))
     tests = (
-        rows.join(own.select(F.col("idx").alias("user_idx"), F.col("vec").alias("p")), "user_idx")
-        .join(items.select(F.col("idx").alias("item_idx"), F.col("vec").alias("q")), "item_idx")
+        score_pairs(rows, own, items)
         .join(known, ["user_idx", "item_idx"], "left")
         .select(
-            "user_idx", "item_idx", "copies",
-            F.when(F.col("known"), F.lit(float("-inf"))).otherwise(dot("p", "q")).alias("value"),
+            "user_idx", "item_idx",
+            F.when(F.col("known"), F.lit(float("-inf"))).otherwise(F.col("score")).alias("value"),
         )
     )
 
@@ -71,9 +70,9 @@ def _ranks(users: DataFrame, items: DataFrame, test: DataFrame, seen: DataFrame,
             names=["user_idx", "item_idx", "higher"],
         )
 
-    grid = plan_grid(n_users, n_items, spark.sparkContext.defaultParallelism)
+    grid = plan_grid(n_users, n_items, test.sparkSession.sparkContext.defaultParallelism)
     counted = score_grid(
-        grid, factors, items, own, own_seen, tests.drop("copies"), count,
+        grid, items, own, own_seen, tests, count,
         "user_idx bigint, item_idx bigint, higher bigint",
     )
     ranks = counted.groupBy("user_idx", "item_idx").agg((F.sum("higher") + 1).alias("rank"))
@@ -118,10 +117,3 @@ class Evaluator:
     def close(self) -> None:
         self.test.unpersist()
         self.seen.unpersist()
-
-
-def _width(factors: DataFrame) -> int:
-    row = factors.select(F.size("vec").alias("k")).first()
-    if row is None:
-        raise ValueError("the factor table is empty")
-    return row["k"]

@@ -2,7 +2,7 @@
 
 The state of a side is a written table `(idx, c, vec, home, routes)`: `c` is the weight
 of the entity in the Gram matrix (1 for users), `home` the block that updates it and
-`routes` the blocks of the other side's update that need its vector. A half-step sends
+`routes` lists the blocks of the other side's update that need its vector. A half-step sends
 each vector once to each block that needs it, each old vector to its home, and joins both
 with the cached tiles by block. Only the k x k Gram matrix passes through the driver.
 """
@@ -10,7 +10,7 @@ with the cached tiles by block. Only the k x k Gram matrix passes through the dr
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,23 +19,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacitrec.functions.sweep import normal_sums, sweep_normal, sweep_pairs
-from tacitrec.functions.vectors import from_matrix, starting_vector, to_matrix
+from tacitrec.functions.sweep import normal_sums, sweep, sweep_normal
+from tacitrec.functions.vectors import (
+    from_matrix,
+    packed,
+    starting_vector,
+    to_matrix,
+    unpack_row,
+    unpacked,
+)
 from tacitrec.operators.blocks import HOT_HOME, Blocks, build_blocks, observed_pairs
 from tacitrec.operators.gram import gram_array
 from tacitrec.params import Params
 from tacitrec.sources.history import HISTORY_SCHEMA
 from tacitrec.tables import drop_table, write_table
 
-STATE_SCHEMA = "idx bigint, c double, vec array<double>, home int, routes array<int>"
+STATE_SCHEMA = "idx bigint, c double, vec binary, home int, routes string"
 STATE_NAMES = ["idx", "c", "vec", "home", "routes"]
 # A block's output: finished entities (equation null), and rows of [A | b] of hot ones.
-STEP_SCHEMA = STATE_SCHEMA + ", equation int"
-STEP_NAMES = [*STATE_NAMES, "equation"]
+STEP_SCHEMA = STATE_SCHEMA + ", equation int, sums array<double>"
+STEP_NAMES = [*STATE_NAMES, "equation", "sums"]
 
-SOURCE, TARGET = 0, 1
+# What a row is to the block it is sent to. A share is a hot entity's weight; its vector
+# is not needed.
+SOURCE, TARGET, SHARE = 0, 1, 2
 
-# Scores a pair of factor tables `(idx, vec)`: a one-row frame with columns hr and ndcg.
+# Scores a pair of factor tables `(idx, vec)`, packed: a one-row frame with columns hr and ndcg.
 MetricsOf = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -90,10 +99,10 @@ class Trainer:
         )
         confidence = confidence.select(F.col("item_idx").alias("idx"), "c")
         self.users = self._state(
-            users.select("idx", F.lit(1.0).alias("c"), "vec"), self.user_blocks, self.item_blocks, "users"
+            packed(users).withColumn("c", F.lit(1.0)), self.user_blocks, self.item_blocks, "users"
         )
         self.items = self._state(
-            items.join(confidence, "idx").select("idx", "c", "vec"), self.item_blocks, self.user_blocks, "items"
+            packed(items).join(confidence, "idx"), self.item_blocks, self.user_blocks, "items"
         )
 
     def _block_count(self, n_pairs: int) -> int:
@@ -125,25 +134,21 @@ class Trainer:
         k, reg = self.params.factors, self.params.reg
         gram = gram_array(sources, k)
         inbound = sources.select(
-            F.explode("routes").alias("block"), F.lit(SOURCE).alias("role"), "idx", "c", "vec",
-            F.lit(None).cast("array<int>").alias("routes"),
+            F.explode(F.split("routes", ",").cast("array<int>")).alias("block"),
+            F.lit(SOURCE).alias("role"), "idx", "c", "vec", F.lit(None).cast("string").alias("routes"),
         ).unionByName(
             targets.filter(F.col("home") != HOT_HOME).select(
                 F.col("home").alias("block"), F.lit(TARGET).alias("role"), "idx", "c", "vec", "routes"
             )
         )
         if blocks.n_hot:
-            # Blocks with a share of a hot entity need its weight, not its vector.
-            hot_weights = F.broadcast(_hot(targets).select("idx", "c")) if blocks.n_hot < 100_000 else _hot(targets).select("idx", "c")
-            shares = (
-                blocks.tiles.filter("hot").select("block", F.explode("dst").alias("idx")).distinct()
-                .join(hot_weights, "idx")
-                .select(
-                    "block", F.lit(HOT_HOME).alias("role"), "idx", "c",
-                    F.array_repeat(F.lit(0.0), k).alias("vec"), F.lit(None).cast("array<int>").alias("routes"),
+            weights = _hot(targets).select("idx", "c")
+            inbound = inbound.unionByName(
+                blocks.hot_shares.join(weights, "idx").select(
+                    "block", F.lit(SHARE).alias("role"), "idx", "c",
+                    F.lit(None).cast("binary").alias("vec"), F.lit(None).cast("string").alias("routes"),
                 )
             )
-            inbound = inbound.unionByName(shares)
 
         update = _block_update(k, reg, gram)
         stepped = write_table(
@@ -153,8 +158,8 @@ class Trainer:
             f"{name}-{self.epochs_done + 1}",
         )
         if not blocks.n_hot:
-            return stepped.drop("equation")
-        done = stepped.filter("equation is null").drop("equation")
+            return stepped.select(*STATE_NAMES)
+        done = stepped.filter("equation is null").select(*STATE_NAMES)
         hot = _solve_hot(stepped.filter("equation is not null"), _hot(targets), k, reg, gram)
         merged = write_table(done.unionByName(hot), f"{name}-{self.epochs_done + 1}-all")
         drop_table(stepped)
@@ -174,7 +179,7 @@ class Trainer:
             seconds = round(time.perf_counter() - start, 2)
             hr = ndcg = None
             if evaluator is not None:
-                metrics = evaluator(_factors(self.users), _factors(self.items)).first()
+                metrics = evaluator(packed(self.users), packed(self.items)).first()
                 hr = None if metrics["hr"] is None else round(metrics["hr"], 4)
                 ndcg = None if metrics["ndcg"] is None else round(metrics["ndcg"], 4)
             records.append((variant, self.epochs_done, seconds, hr, ndcg))
@@ -183,13 +188,15 @@ class Trainer:
 
     @property
     def user_factors(self) -> DataFrame:
+        """`(idx, vec)` of the users, `vec` an array."""
         self._handed_out.append(self.users)
-        return _factors(self.users)
+        return unpacked(self.users)
 
     @property
     def item_factors(self) -> DataFrame:
+        """`(idx, vec)` of the items, `vec` an array."""
         self._handed_out.append(self.items)
-        return _factors(self.items)
+        return unpacked(self.items)
 
     def close(self) -> None:
         """Release the cached blocks; the factors stay readable."""
@@ -210,55 +217,37 @@ def fit(
         trainer.close()
 
 
-def _factors(state: DataFrame) -> DataFrame:
-    return state.select("idx", "vec")
-
-
 def _hot(state: DataFrame) -> DataFrame:
     return state.filter(F.col("home") == HOT_HOME)
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-
-
 def _block_update(k: int, reg: float, gram: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The update of one block, as a function of its tiles and its inbound vectors."""
 
     def update(tiles: pa.Table, inbound: pa.Table) -> pa.Table:
-        sources = inbound.filter(pc.equal(inbound["role"], SOURCE)).sort_by("idx")
-        targets = inbound.filter(pc.equal(inbound["role"], TARGET)).sort_by("idx")
-        shares = inbound.filter(pc.equal(inbound["role"], HOT_HOME)).sort_by("idx")
-
-        source_idx = sources["idx"].to_numpy()
-        source_vec = np.ascontiguousarray(to_matrix(sources["vec"], k).T) if len(source_idx) else np.zeros((k, 0))
-        source_c = sources["c"].to_numpy()
-        target_idx = targets["idx"].to_numpy()
-        target_vec = to_matrix(targets["vec"], k).copy() if len(target_idx) else np.zeros((0, k))
-        target_c = targets["c"].to_numpy()
-        share_idx = shares["idx"].to_numpy()
-        share_c = shares["c"].to_numpy()
+        sources, targets, shares = (
+            inbound.filter(pc.equal(inbound["role"], role)).sort_by("idx") for role in (SOURCE, TARGET, SHARE)
+        )
+        source_idx, source_c = sources["idx"].to_numpy(), sources["c"].to_numpy()
+        source_vec = to_matrix(sources["vec"], k)
+        target_idx, target_c = targets["idx"].to_numpy(), targets["c"].to_numpy()
+        target_vec = to_matrix(targets["vec"], k).copy()
+        share_idx, share_c = shares["idx"].to_numpy(), shares["c"].to_numpy()
         share_sums = np.zeros((len(share_idx), k, k + 1))
 
         for t in range(tiles.num_rows):
-            tile = tiles.slice(t, 1)
-            dst, sizes, src, n, sw, swr = (
-                _flat(tile[name]) for name in ("dst", "sizes", "src", "n", "sw", "swr")
-            )
+            dst, sizes, src = (unpack_row(tiles[name], t, np.int64) for name in ("dst", "sizes", "src"))
+            n, sw, swr = (unpack_row(tiles[name], t, np.float64) for name in ("n", "sw", "swr"))
+            hot = tiles["hot"][t].as_py()
+            rows = np.searchsorted(share_idx if hot else target_idx, dst)
+            c_x = (share_c if hot else target_c)[rows]
             at = np.searchsorted(source_idx, src)
-            partners = source_vec[:, at]
-            if tile["hot"][0].as_py():
-                rows = np.searchsorted(share_idx, dst)
-                entity = np.repeat(np.arange(len(dst)), sizes)
-                missing = source_c[at] * np.repeat(share_c[rows], sizes)
-                share_sums[rows] += normal_sums(entity, len(dst), partners, missing, n, sw, swr)
+            partners = source_vec[at]
+            weight = sw - n * (source_c[at] * np.repeat(c_x, sizes))
+            if hot:
+                np.add.at(share_sums, rows, normal_sums(sizes, partners, weight, swr))
             else:
-                rows = np.searchsorted(target_idx, dst)
-                c_x = target_c[rows]
-                missing = source_c[at] * np.repeat(c_x, sizes)
-                target_vec[rows] = sweep_pairs(
-                    target_vec[rows], c_x, sizes, partners, missing, n, sw, swr, gram, reg
-                )
+                target_vec[rows] = sweep(target_vec[rows], c_x, sizes, partners, weight, swr, gram, reg)
 
         block = inbound["block"][0].as_py()
         finished = pa.table(
@@ -266,23 +255,26 @@ def _block_update(k: int, reg: float, gram: np.ndarray) -> Callable[[pa.Table, p
                 targets["idx"], targets["c"], from_matrix(target_vec),
                 pa.array(np.full(len(target_idx), block, np.int32)), targets["routes"],
                 pa.nulls(len(target_idx), pa.int32()),
+                pa.nulls(len(target_idx), pa.list_(pa.float64())),
             ],
             names=STEP_NAMES,
         )
         if not len(share_idx):
             return finished
         hot_rows = len(share_idx) * k
+        offsets = np.arange(hot_rows + 1, dtype=np.int32) * np.int32(k + 1)
         equations = pa.table(
             [
                 pa.array(np.repeat(share_idx, k)), pa.array(np.repeat(share_c, k)),
-                from_matrix(share_sums.reshape(hot_rows, k + 1)),
+                pa.nulls(hot_rows, pa.binary()),
                 pa.array(np.full(hot_rows, HOT_HOME, np.int32)),
-                pa.nulls(hot_rows, pa.list_(pa.int32())),
+                pa.nulls(hot_rows, finished.schema.field("routes").type),
                 pa.array(np.tile(np.arange(k, dtype=np.int32), len(share_idx))),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(share_sums.ravel())),
             ],
             names=STEP_NAMES,
         )
-        return pa.concat_tables([finished.cast(equations.schema), equations])
+        return pa.concat_tables([finished, equations.cast(finished.schema)])
 
     return update
 
@@ -290,19 +282,19 @@ def _block_update(k: int, reg: float, gram: np.ndarray) -> Callable[[pa.Table, p
 def _solve_hot(equations: DataFrame, hot: DataFrame, k: int, reg: float, gram: np.ndarray) -> DataFrame:
     """Add up the blocks' shares of each hot entity's equations and sweep once."""
     summed = (
-        equations.select("idx", "equation", F.posexplode("vec").alias("column", "value"))
+        equations.select("idx", "equation", F.posexplode("sums").alias("column", "value"))
         .groupBy("idx", "equation", "column").agg(F.sum("value").alias("value"))
         .groupBy("idx")
         .agg(F.sort_array(F.collect_list(F.struct("equation", "column", "value"))).alias("cells"))
         .select("idx", F.col("cells.value").alias("sums"))  # k * (k + 1) numbers
     )
 
-    def solve(batches):
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old = to_matrix(batch.column("vec"), k)
-            sums = to_matrix(batch.column("sums"), k * (k + 1)).reshape(-1, k, k + 1)
+            sums = batch.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, k, k + 1)
             c = batch.column("c").to_numpy(zero_copy_only=False)
-            new = np.array([sweep_normal(old[i], c[i], sums[i], gram, reg) for i in range(len(c))]).reshape(-1, k)
+            new = sweep_normal(old, c, sums, gram, reg)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("idx"), batch.column("c"), from_matrix(new), batch.column("home"), batch.column("routes")],
                 names=STATE_NAMES,
