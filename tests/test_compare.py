@@ -1,0 +1,63 @@
+"""Histories: best epochs, summaries, gains, files."""
+
+import pytest
+from conftest import matrix_of  # noqa: F401
+
+import tacitrec as tr
+from tacitrec.sources.history import HISTORY_SCHEMA, read_history, write_history
+
+ROWS = [
+    ("uniform", 1, 1.0, 0.1, 0.05), ("uniform", 2, 2.0, 0.3, 0.15), ("uniform", 3, 3.5, 0.3, 0.2),
+    ("popularity", 1, 2.0, None, None), ("popularity", 2, 2.25, 0.4, 0.25),
+]
+
+
+@pytest.fixture
+def history(spark):
+    return spark.createDataFrame(ROWS, HISTORY_SCHEMA)
+
+
+def test_first_of_the_best_epochs_wins(history):
+    best = {row["variant"]: tuple(row)[1:] for row in tr.best_epoch(history).collect()}
+    assert best == {"uniform": (2, 0.3, 0.15), "popularity": (2, 0.4, 0.25)}
+
+
+def test_unevaluated_variants(spark):
+    never = spark.createDataFrame([("a", 1, 1.0, None, None), ("a", 2, 1.0, None, None)], HISTORY_SCHEMA)
+    assert tr.best_epoch(never).count() == 0
+    assert tuple(tr.best_epoch(never, missing_as_zero=True).first()) == ("a", 1, None, None)
+    assert tuple(tr.variant_summary(never).first()) == ("a", None, None, None, 1.0)
+    assert tr.relative_gain(never, "a", "b").count() == 0
+
+
+def test_summary_gain_times_and_pivot(history):
+    summary = {row["variant"]: tuple(row)[1:] for row in tr.variant_summary(history).collect()}
+    assert summary == {"uniform": (2, 0.3, 0.15, 2.17), "popularity": (2, 0.4, 0.25, 2.12)}
+    gain = tr.relative_gain(history, "popularity", "uniform").first()
+    assert gain["hr_gain_pct"] == pytest.approx(100 / 3) and gain["ndcg_gain_pct"] == pytest.approx(200 / 3)
+    times = sorted(tuple(row)[:3] for row in tr.epoch_times(history, "uniform", "popularity").collect())
+    assert times == [(1, 1.0, 2.0), (2, 2.0, 2.25)]
+    pivot = sorted(tuple(row) for row in tr.hit_ratio_by_variant(history, ["uniform", "popularity"]).collect())
+    assert pivot == [(1, 0.1, None), (2, 0.3, 0.4), (3, 0.3, None)]
+    assert tr.presentation_names(history, 100).columns == ["variant", "epoch", "time_s", "HR@100", "NDCG@100"]
+
+
+def test_history_files(spark, history, tmp_path):
+    path = str(tmp_path / "history")
+    write_history(history, path, 100)
+    header = spark.read.text(f"{path}/variant=uniform").first()[0]
+    assert header == "epoch,time_s,hr@100,ndcg@100"
+    assert sorted(map(tuple, read_history(spark, path).collect()), key=str) == sorted(ROWS, key=str)
+
+
+def test_whole_experiment(spark):
+    rows = [(f"u{u}", f"i{(u * 3 + n * n) % 12}", n) for u in range(20) for n in range(8)]
+    frame = spark.createDataFrame(rows, "user_id string, item_id string, timestamp bigint")
+    base = dict(min_interactions=3, sample_fraction=0.9, factors=4, epochs=2, top_k=3, c0=2.0)
+    data = tr.prepare(frame, tr.Params(**base))
+    variants = {"uniform": tr.Params(alpha=0.0, **base), "popularity": tr.Params(alpha=0.5, **base)}
+    joint, models = tr.compare_variants(data, variants)
+    assert joint.count() == 4 and set(models) == set(variants)
+    assert all(0 <= row["hr"] <= 1 and 0 <= row["ndcg"] <= row["hr"] for row in joint.collect())
+    best = tr.recommend_all(models["popularity"].users, models["popularity"].items, data.train, 2)
+    assert best.groupBy("user_idx").count().filter("count > 2").count() == 0
