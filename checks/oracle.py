@@ -199,6 +199,7 @@ from last, sizes"""
 
 
 LINE_COLUMNS = 'user_id, item_id, "timestamp", order_key, line_number, cents'
+SPLIT_COLUMNS = 'user_idx, item_idx, "timestamp", order_key, line_number, cents'
 EVENT_COLUMNS = 'user_id, item_id, "timestamp", event_id'
 
 
@@ -284,9 +285,9 @@ union all select 'item', item_id, count(*) from lines group by 2""",
     "cardinalities": on_lines(
         "select (select count(*) from users) n_users, (select count(*) from items) n_items"
     ),
-    "loo_test": on_lines(f"select {LINE_COLUMNS}, user_idx, item_idx from test"),
-    "loo_train": on_lines(f"select {LINE_COLUMNS}, user_idx, item_idx from train"),
-    "loo_test_events": on_events(f"select {EVENT_COLUMNS}, user_idx, item_idx from test"),
+    "loo_test": on_lines(f"select {SPLIT_COLUMNS} from test"),
+    "loo_train": on_lines(f"select {SPLIT_COLUMNS} from train"),
+    "loo_test_events": on_events('select user_idx, item_idx, "timestamp", event_id from test'),
     "item_popularity": on_lines("""select items.idx item_idx,
   round(coalesce(n, 0) / (select cast(count(*) as double) from train), 12) + 0.0 f
 from items left join (select item_idx, count(*) n from train group by 1) c on c.item_idx = items.idx"""),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tacitrec.tables import write_table
+
 
 def leave_one_out(
     df: DataFrame, order: Sequence[str] = ("timestamp",)
@@ -16,15 +18,16 @@ def leave_one_out(
     The last row is the greatest by `order`; the remaining columns break ties, so only
     exact copies can tie, and of those one is held out. The greatest row per user is an
     aggregate that combines before the shuffle, not a window: a user with very many rows
-    is never gathered in one task.
+    is never gathered in one task. The test rows are written, as train depends on them.
     """
     columns = list(df.columns)
     ranked = [*order, *[name for name in columns if name not in order and name != "user_idx"]]
     row = F.struct(*ranked)
     last = df.groupBy("user_idx").agg(F.max(row).alias("last"))
-    test = last.select("user_idx", "last.*").select(*columns)
+    test = write_table(last.select("user_idx", "last.*").select(*columns), "test")
 
-    marked = df.join(last, "user_idx").withColumn("held", row.eqNullSafe(F.col("last")))
+    held = test.select("user_idx", row.alias("last"))
+    marked = df.join(held, "user_idx").withColumn("held", row.eqNullSafe(F.col("last")))
     others = marked.filter(~F.col("held")).select(*columns)
     copies = (
         marked.filter("held").groupBy(*columns).agg(F.count("*").alias("copies"))

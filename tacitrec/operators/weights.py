@@ -11,7 +11,7 @@ from tacitrec.params import POPULARITY_FLOOR
 def item_popularity(train: DataFrame, n_items: int) -> DataFrame:
     """Each item's share of the training rows, 0 for items without any: `(item_idx, f)`."""
     counts = train.groupBy("item_idx").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    total = train.agg(F.count("*")).scalar()
     items = train.sparkSession.range(n_items).withColumnRenamed("id", "item_idx")
     return items.join(counts, "item_idx", "left").select(
         "item_idx", F.coalesce(F.col("n") / total, F.lit(0.0)).alias("f")

@@ -33,14 +33,17 @@ class Dataset:
 
 
 def split_dataset(rows: DataFrame, order: Sequence[str] = ("timestamp",)) -> Dataset:
-    """Encode ids and hold out each user's last interaction."""
+    """Encode ids and hold out each user's last interaction.
+
+    Train and test carry indices only; `decode` brings the ids back.
+    """
     encoded = encode_ids(rows)
     if encoded.n_users == 0 or encoded.n_items == 0:
         raise ValueError("no users or items left: lower min_interactions or raise sample_fraction")
-    written = write_table(encoded.rows, "encoded")
+    written = write_table(encoded.rows.drop("user_id", "item_id"), "encoded")
     train, test = leave_one_out(written, order)
     return Dataset(
-        write_table(train, "train"), write_table(test, "test"),
+        write_table(train, "train"), test,
         encoded.users, encoded.items, encoded.n_users, encoded.n_items,
     )
 

@@ -151,17 +151,17 @@ class Trainer:
             )
 
         update = _block_update(k, reg, gram)
-        stepped = write_table(
+        step = (
             blocks.tiles.groupBy("block")
             .cogroup(inbound.repartitionById(blocks.n_blocks, F.col("block")).groupBy("block"))
-            .applyInArrow(update, STEP_SCHEMA),
-            f"{name}-{self.epochs_done + 1}",
+            .applyInArrow(update, STEP_SCHEMA)
         )
         if not blocks.n_hot:
-            return stepped.select(*STATE_NAMES)
+            return write_table(step, f"{name}-{self.epochs_done + 1}", STATE_NAMES)
+        stepped = write_table(step, f"{name}-{self.epochs_done + 1}-shares")
         done = stepped.filter("equation is null").select(*STATE_NAMES)
         hot = _solve_hot(stepped.filter("equation is not null"), _hot(targets), k, reg, gram)
-        merged = write_table(done.unionByName(hot), f"{name}-{self.epochs_done + 1}-all")
+        merged = write_table(done.unionByName(hot), f"{name}-{self.epochs_done + 1}")
         drop_table(stepped)
         return merged
 

@@ -9,8 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,22 +39,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tacitrec/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` and return the written table."""
+def write_table(df: DataFrame, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Write `df` and return the written table, or only some of its columns."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by `write_table` that nobody reads any more."""
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/tacitrec/".split("://")[-1].split(":", 1)[-1]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
-    for folder in folders:
-        if root in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    schema = StructType([df.schema[column] for column in columns]) if columns else df.schema
+    table = spark.read.schema(schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete the files of a frame that `write_table` returned and nobody reads any more."""
+    path = _paths.pop(table, None)
+    if path is not None:
+        context = table.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
