@@ -64,14 +64,15 @@ q0 as materialized (select idx, {q} from items)"""
 
 
 def digest_start(k: int, seed: int = 42) -> str:
-    """`p0` and `q0`: normal components from a digest of seed, side, index and component."""
+    """`p0` and `q0`: pairs of normal components from digests of seed, side, index and place."""
     def cells(side: str) -> str:
         columns = []
         for f in range(k):
-            digest = f"md5(concat_ws('|', '{seed}', '{side}', cast(idx as varchar), '{f}'))"
+            digest = f"md5(concat_ws('|', '{seed}', '{side}', cast(idx as varchar), '{f // 2}'))"
             u = f"(cast('0x' || substr({digest}, 1, 13) as bigint) + 1) / power(16.0::double, 13)"
             v = f"(cast('0x' || substr({digest}, 14, 13) as bigint) + 1) / power(16.0::double, 13)"
-            columns.append(f"0.01::double * sqrt(-2.0::double * ln({u})) * cos(2.0::double * pi() * {v}) x{f}")
+            turn = "sin" if f % 2 else "cos"
+            columns.append(f"0.01::double * sqrt(-2.0::double * ln({u})) * {turn}(2.0::double * pi() * {v}) x{f}")
         return ", ".join(columns)
 
     return f"""

@@ -24,24 +24,32 @@ def dot(left: str | Column, right: str | Column) -> Column:
 
 
 def starting_vector(side: str, idx: str | Column, factors: int, seed: int) -> Column:
-    """Normal(0, 0.01) components drawn from a digest of seed, side, index and component.
+    """Normal(0, 0.01) components drawn from digests of seed, side, index and place.
 
     The draw depends on nothing else, so it is the same on every layout and on a retry.
+    One digest gives two uniform numbers, and these give two components.
     """
     idx = F.col(idx) if isinstance(idx, str) else idx
 
-    def component(f: Column) -> Column:
-        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(side), idx.cast("string"), f.cast("string")))
-
-        def uniform(start: int) -> Column:
-            digits = F.conv(F.substring(digest, start, UNIFORM_DIGITS), 16, 10).cast("bigint")
-            return (digits + F.lit(1)) / F.lit(float(16**UNIFORM_DIGITS))
-
-        radius = F.sqrt(F.lit(-2.0) * F.ln(uniform(1)))
-        angle = F.lit(2.0 * math.pi) * uniform(1 + UNIFORM_DIGITS)
-        return F.lit(INIT_STDDEV) * radius * F.cos(angle)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(factors - 1)), component)
+    def uniform(digest: Column, start: int) -> Column:
+        digits = F.conv(F.substring(digest, start, UNIFORM_DIGITS), 16, 10).cast("bigint")
+        return (digits + F.lit(1)) / F.lit(float(16**UNIFORM_DIGITS))
+
+    # One step per array, as a value used twice inside a lambda is computed twice.
+    places = F.sequence(F.lit(0), F.lit((factors - 1) // 2))
+    prefix = F.concat_ws("|", F.lit(str(seed)), F.lit(side), idx.cast("string"), F.lit(""))
+    digests = F.transform(places, lambda place: F.md5(F.concat(prefix, place.cast("string"))))
+    polar = F.transform(
+        digests,
+        lambda digest: F.struct(
+            (F.lit(INIT_STDDEV) * F.sqrt(F.lit(-2.0) * F.ln(uniform(digest, 1)))).alias("radius"),
+            (F.lit(2.0 * math.pi) * uniform(digest, 1 + UNIFORM_DIGITS)).alias("angle"),
+        ),
+    )
+    both = F.transform(
+        polar, lambda at: F.array(at["radius"] * F.cos(at["angle"]), at["radius"] * F.sin(at["angle"]))
+    )
+    return F.slice(F.flatten(both), 1, factors)
 
 
 def packed(factors: DataFrame) -> DataFrame:

@@ -54,10 +54,14 @@ def id_dictionary(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     return numbered, total
 
 
-def encode_ids(df: DataFrame) -> Encoded:
-    """Add `user_idx` and `item_idx` to every row."""
-    users, n_users = id_dictionary(df, "user_id")
-    items, n_items = id_dictionary(df, "item_id")
+def encode_ids(df: DataFrame, users: DataFrame | None = None, items: DataFrame | None = None) -> Encoded:
+    """Add `user_idx` and `item_idx` to every row.
+
+    `users` and `items` may hold the ids that occur in `df`, where they are known already;
+    otherwise `df` is searched for them.
+    """
+    users, n_users = id_dictionary(df if users is None else users, "user_id")
+    items, n_items = id_dictionary(df if items is None else items, "item_id")
     rows = (
         df.join(users.select(F.col("id").alias("user_id"), F.col("idx").alias("user_idx")), "user_id")
         .join(items.select(F.col("id").alias("item_id"), F.col("idx").alias("item_idx")), "item_id")

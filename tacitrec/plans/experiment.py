@@ -32,12 +32,15 @@ class Dataset:
     n_items: int
 
 
-def split_dataset(rows: DataFrame, order: Sequence[str] = ("timestamp",)) -> Dataset:
+def split_dataset(
+    rows: DataFrame, order: Sequence[str] = ("timestamp",),
+    users: DataFrame | None = None, items: DataFrame | None = None,
+) -> Dataset:
     """Encode ids and hold out each user's last interaction.
 
-    Train and test carry indices only; `decode` brings the ids back.
+    `users` and `items` may hold the ids that occur, where they are known already. Train and test carry indices only; `decode` brings the ids back.
     """
-    encoded = encode_ids(rows)
+    encoded = encode_ids(rows, users, items)
     if encoded.n_users == 0 or encoded.n_items == 0:
         raise ValueError("no users or items left: lower min_interactions or raise sample_fraction")
     written = write_table(encoded.rows.drop("user_id", "item_id"), "encoded")
@@ -62,7 +65,7 @@ def prepare(
     core = kcore(sampled, params.min_interactions)
     if core.is_empty:
         raise ValueError("no users or items left: lower min_interactions or raise sample_fraction")
-    return split_dataset(core.rows, order)
+    return split_dataset(core.rows, order, core.users, core.items)
 
 
 def train_variant(data: Dataset, params: Params, variant: str, evaluate: bool = True) -> FitResult:
