@@ -18,17 +18,20 @@ from tacitrec.operators.summary import dataset_summary, dataset_summary_encoded
 from tacitrec.operators.weights import confidence_stats, item_confidence, item_popularity
 from tacitrec.params import Params
 from tacitrec.plans.evaluate import Evaluator, hr_ndcg, test_item_rank
-from tacitrec.plans.experiment import Dataset, compare_variants, prepare
+from tacitrec.plans.experiment import Dataset, Report, compare_variants, prepare, run_experiment
 from tacitrec.plans.recommend import predict_all, recommend_all, recommend_user
 from tacitrec.plans.train import FitResult, Trainer, fit, initial_factors
+from tacitrec.sources.history import read_history, write_history
+from tacitrec.sources.ratings import read_ratings, write_ratings
 
 __all__ = [
-    "Dataset", "Encoded", "Evaluator", "FitResult", "KCore", "Params", "Trainer",
+    "Dataset", "Encoded", "Evaluator", "FitResult", "KCore", "Params", "Report", "Trainer",
     "best_epoch", "compare_variants", "confidence_stats", "dataset_summary",
     "dataset_summary_encoded", "decode", "encode_ids", "epoch_times", "fit",
     "hit_ratio_by_variant", "hr_ndcg", "id_dictionary", "initial_factors",
     "interaction_counts", "interactions", "item_confidence", "item_popularity", "kcore",
     "kcore_pass", "leave_one_out", "predict_all", "predict_user", "prepare",
-    "presentation_names", "preview", "recommend_all", "recommend_user", "relative_gain",
-    "sample_exact", "score_pairs", "test_item_rank", "training_relation", "variant_summary",
+    "presentation_names", "preview", "read_history", "read_ratings", "recommend_all",
+    "recommend_user", "relative_gain", "run_experiment", "sample_exact", "score_pairs",
+    "test_item_rank", "training_relation", "variant_summary", "write_history", "write_ratings",
 ]

@@ -40,28 +40,37 @@ def test_item_rank(users: DataFrame, items: DataFrame, test: DataFrame, train: D
     catalogue without the user's training items. A test item that was also trained on
     counts as masked itself: every unseen item lies above it.
     """
+    seen = _seen_by(test, train)
+    tests = _test_pairs(test, seen)
+    n_users = tests.agg(F.countDistinct("user_idx")).first()[0]
+    return _ranks(users, items, tests, seen, n_users, items.count())
+
+
+def _seen_by(test: DataFrame, train: DataFrame | None) -> DataFrame:
+    """Distinct training pairs of the test users."""
     if train is None:
         raise ValueError("the training rows are needed to leave out what a user has seen")
-    return _ranks(users, items, test, seen_items(train), items.count())
-
-
-def _ranks(users: DataFrame, items: DataFrame, test: DataFrame, seen: DataFrame, n_items: int) -> DataFrame:
-    users, items = packed(users), packed(items)
-    rows = test.groupBy("user_idx", "item_idx").agg(F.count("*").alias("copies"))
-    chosen = rows.select(F.col("user_idx").alias("idx")).distinct()
-    n_users = chosen.count()
-    own = users.join(chosen, "idx", "left_semi")
-    own_seen = seen.join(chosen.withColumnRenamed("idx", "user_idx"), "user_idx", "left_semi")
-    known = own_seen.select("user_idx", "item_idx", F.lit(True).alias("known"))
-    tests = (
-        score_pairs(rows, own, items)
-        .join(known, ["user_idx", "item_idx"], "left")
-        .select(
-            "user_idx", "item_idx",
-            F.when(F.col("known"), F.lit(float("-inf"))).otherwise(F.col("score")).alias("value"),
-        )
+    tested = test.select("user_idx").distinct()
+    return seen_items(train.join(tested, "user_idx", "left_semi"))
+
+
+def _test_pairs(test: DataFrame, seen: DataFrame) -> DataFrame:
+    """Distinct test rows `(user_idx, item_idx, copies, known)`; known if trained on, too."""
+    pairs = test.groupBy("user_idx", "item_idx").agg(F.count("*").alias("copies"))
+    known = seen.select("user_idx", "item_idx", F.lit(True).alias("known"))
+    return pairs.join(known, ["user_idx", "item_idx"], "left").select(
+        "user_idx", "item_idx", "copies", F.coalesce("known", F.lit(False)).alias("known")
     )
 
+
+def _ranks(
+    users: DataFrame, items: DataFrame, tests: DataFrame, seen: DataFrame, n_users: int, n_items: int
+) -> DataFrame:
+    tested = tests.select(F.col("user_idx").alias("idx")).distinct()
+    own, items = packed(users).join(tested, "idx", "left_semi"), packed(items)
+    limits = score_pairs(tests.filter(~F.col("known")), own, items).withColumnRenamed("score", "value")
+    masked = tests.filter("known").select("user_idx", "item_idx", F.lit(float("-inf")).alias("value"))
+
     def count(batch: CellBatch) -> pa.RecordBatch:
         row = batch.test_row
         higher = count_above(batch.scores[row], batch.user_vec[row], batch.item_vec, batch.test_value)
@@ -70,13 +79,13 @@ def _ranks(users: DataFrame, items: DataFrame, test: DataFrame, seen: DataFrame,
             names=["user_idx", "item_idx", "higher"],
         )
 
-    grid = plan_grid(n_users, n_items, test.sparkSession.sparkContext.defaultParallelism)
+    grid = plan_grid(n_users, n_items, tests.sparkSession.sparkContext.defaultParallelism)
     counted = score_grid(
-        grid, items, own, own_seen, tests, count,
+        grid, items, own, seen, limits.unionByName(masked), count,
         "user_idx bigint, item_idx bigint, higher bigint",
     )
     ranks = counted.groupBy("user_idx", "item_idx").agg((F.sum("higher") + 1).alias("rank"))
-    return rows.join(ranks, ["user_idx", "item_idx"])
+    return tests.join(ranks, ["user_idx", "item_idx"]).select("user_idx", "item_idx", "copies", "rank")
 
 
 def hr_ndcg(ranks: DataFrame, top_k: int = 100) -> DataFrame:
@@ -93,27 +102,23 @@ def hr_ndcg(ranks: DataFrame, top_k: int = 100) -> DataFrame:
 class Evaluator:
     """Scores factor tables on a fixed set of test rows; pass it to `Trainer.fit`.
 
-    The seen pairs of the evaluated users are found once and kept.
+    The test rows and the seen pairs of their users are found once and kept.
     """
 
     def __init__(
         self, test: DataFrame, train: DataFrame, n_items: int, top_k: int = 100,
         max_eval_users: int | None = 2000, seed: int = 42, round_no: int = 0,
     ) -> None:
-        if train is None:
-            raise ValueError("the training rows are needed to leave out what a user has seen")
         self.top_k = top_k
         self.n_items = n_items
-        self.test = eval_subsample(test, max_eval_users, seed, round_no).select(
-            "user_idx", "item_idx"
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        self.seen = seen_items(
-            train.join(self.test.select("user_idx").distinct(), "user_idx", "left_semi")
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+        chosen = eval_subsample(test, max_eval_users, seed, round_no).select("user_idx", "item_idx")
+        self.seen = _seen_by(chosen, train).persist(StorageLevel.MEMORY_AND_DISK)
+        self.tests = _test_pairs(chosen, self.seen).persist(StorageLevel.MEMORY_AND_DISK)
+        self.n_users = self.tests.agg(F.countDistinct("user_idx")).first()[0]
 
     def __call__(self, users: DataFrame, items: DataFrame) -> DataFrame:
-        return hr_ndcg(_ranks(users, items, self.test, self.seen, self.n_items), self.top_k)
+        return hr_ndcg(_ranks(users, items, self.tests, self.seen, self.n_users, self.n_items), self.top_k)
 
     def close(self) -> None:
-        self.test.unpersist()
+        self.tests.unpersist()
         self.seen.unpersist()

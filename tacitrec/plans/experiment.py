@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
+from tacitrec.operators.compare import epoch_times, relative_gain, variant_summary
 from tacitrec.operators.encode import encode_ids
 from tacitrec.operators.kcore import kcore
-from tacitrec.operators.relation import training_relation
+from tacitrec.operators.relation import interactions, training_relation
 from tacitrec.operators.sample import sample_exact
 from tacitrec.operators.split import leave_one_out
+from tacitrec.operators.summary import dataset_summary
 from tacitrec.operators.weights import item_confidence
 from tacitrec.params import Params
 from tacitrec.plans.evaluate import Evaluator
 from tacitrec.plans.train import FitResult, fit
-from tacitrec.sources.history import HISTORY_SCHEMA
+from tacitrec.sources.history import HISTORY_SCHEMA, write_history
 from tacitrec.tables import write_table
 
 
@@ -92,3 +94,35 @@ def compare_variants(data: Dataset, variants: Mapping[str, Params]) -> tuple[Dat
     results = {name: train_variant(data, params, name) for name, params in variants.items()}
     records = [record for result in results.values() for record in result.records]
     return data.train.sparkSession.createDataFrame(records, HISTORY_SCHEMA), results
+
+
+@dataclass(frozen=True)
+class Report:
+    """What a whole run yields: the data set, its summary, the models and their comparison."""
+
+    data: Dataset
+    summary: DataFrame
+    history: DataFrame
+    models: dict[str, FitResult]
+    best: DataFrame
+    gain: DataFrame
+    times: DataFrame
+
+
+def run_experiment(
+    ratings: DataFrame, params: Params = Params(), history_path: str | None = None,
+    key: Sequence[str] | None = None,
+) -> Report:
+    """Prepare ratings, train with uniform and with popularity weights, compare the two.
+
+    `history_path`, if given, receives the epoch histories as CSV files.
+    """
+    data = prepare(interactions(ratings), params, key)
+    variants = {"uniform": replace(params, alpha=0.0), "popularity": params}
+    history, models = compare_variants(data, variants)
+    if history_path is not None:
+        write_history(history, history_path, params.top_k)
+    return Report(
+        data, dataset_summary(data.train, data.test), history, models, variant_summary(history),
+        relative_gain(history, "popularity", "uniform"), epoch_times(history, "uniform", "popularity"),
+    )

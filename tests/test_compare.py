@@ -61,3 +61,15 @@ def test_whole_experiment(spark):
     assert all(0 <= row["hr"] <= 1 and 0 <= row["ndcg"] <= row["hr"] for row in joint.collect())
     best = tr.recommend_all(models["popularity"].users, models["popularity"].items, data.train, 2)
     assert best.groupBy("user_idx").count().filter("count > 2").count() == 0
+
+
+def test_run_from_a_ratings_file(spark, tmp_path):
+    lines = [f"u{u},i{(u * 3 + n * n) % 12},{n % 5 + 1}.0,{1000 + n}" for u in range(20) for n in range(8)]
+    (tmp_path / "ratings.csv").write_text("\n".join(lines) + "\n")
+    params = tr.Params(min_interactions=3, sample_fraction=1.0, factors=4, epochs=1, top_k=3, c0=2.0)
+    ratings = tr.read_ratings(spark, str(tmp_path / "ratings.csv"))
+    report = tr.run_experiment(ratings, params, str(tmp_path / "history"))
+    assert report.summary.first()["n_test"] == report.data.n_users == 20
+    assert {row["variant"] for row in report.best.collect()} == {"uniform", "popularity"}
+    assert report.times.count() == 1 and report.gain.count() == 1
+    assert tr.read_history(spark, str(tmp_path / "history")).count() == 2

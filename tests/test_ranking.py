@@ -124,7 +124,7 @@ def test_evaluator_keeps_its_users(spark, factors_of):
     first = tr.Evaluator(test_rows, train_rows, 20, 5, 12, 42)
     again = tr.Evaluator(test_rows, train_rows, 20, 5, 12, 42)
     other = tr.Evaluator(test_rows, train_rows, 20, 5, 12, 42, round_no=1)
-    users = [sorted(row["user_idx"] for row in e.test.collect()) for e in (first, again, other)]
+    users = [sorted(row["user_idx"] for row in e.tests.collect()) for e in (first, again, other)]
     assert len(users[0]) == 12 and users[0] == users[1] != users[2]
     seen = {u: {i for user, i in train if user == u} for u in users[0]}
     hits = [naive_rank(p[u] @ q.T, seen[u], dict(test)[u]) <= 5 for u in users[0]]
