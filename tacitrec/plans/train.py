@@ -112,10 +112,8 @@ class Trainer:
 
     @staticmethod
     def _state(vectors: DataFrame, own: Blocks, other: Blocks, name: str) -> DataFrame:
-        # Entities without pairs go to a block by index, which passes them on unchanged.
-        home = F.coalesce("home", F.pmod("idx", F.lit(own.n_blocks)).cast("int"))
-        state = vectors.join(own.homes, "idx", "left").join(other.routes, "idx", "left")
-        return write_table(state.select("idx", "c", "vec", home.alias("home"), "routes"), f"{name}-0")
+        state = own.with_home(vectors).join(other.routes, "idx", "left")
+        return write_table(state.select(*STATE_NAMES), f"{name}-0")
 
     def user_step(self) -> None:
         """Update all users from the items."""
@@ -141,7 +139,7 @@ class Trainer:
                 F.col("home").alias("block"), F.lit(TARGET).alias("role"), "idx", "c", "vec", "routes"
             )
         )
-        if blocks.n_hot:
+        if blocks.hot_shares is not None:
             weights = _hot(targets).select("idx", "c")
             inbound = inbound.unionByName(
                 blocks.hot_shares.join(weights, "idx").select(
@@ -156,7 +154,7 @@ class Trainer:
             .cogroup(inbound.repartitionById(blocks.n_blocks, F.col("block")).groupBy("block"))
             .applyInArrow(update, STEP_SCHEMA)
         )
-        if not blocks.n_hot:
+        if blocks.hot_shares is None:
             return write_table(step, f"{name}-{self.epochs_done + 1}", STATE_NAMES)
         stepped = write_table(step, f"{name}-{self.epochs_done + 1}-shares")
         done = stepped.filter("equation is null").select(*STATE_NAMES)
