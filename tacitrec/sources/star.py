@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
+
+
+def _micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970, whatever the time zone of the session."""
+    if isinstance(df.schema[name].dataType, TimestampNTZType):
+        since = F.col(name) - F.expr("timestamp_ntz'1970-01-01'")
+        return (since.cast("decimal(20, 6)") * 1_000_000).cast("bigint")
+    return F.unix_micros(name)
 
 
 def order_line_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +27,7 @@ def order_line_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").cast("string").alias("user_id"),
         F.col("l_partkey").cast("string").alias("item_id"),
         F.col("l_quantity").alias("rating"),
-        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("timestamp"),
+        F.floor(_micros(orders, "o_orderdate") / 1_000_000).alias("timestamp"),
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").alias("line_number"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
@@ -32,6 +41,6 @@ def event_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("user_id"),
         F.get_json_object("props", "$.k").alias("item_id"),
         F.col("value").alias("rating"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"),
+        _micros(events, "ts").alias("timestamp"),
         "event_id",
     )
