@@ -272,17 +272,17 @@ def _trainer(spark, data, k: int, alpha: float = 0.5, train: DataFrame | None =
 
 @query
 def user_half_step_k2(spark, sf_dir):
-    trainer = _trainer(spark, line_data(spark, sf_dir), 2)
-    trainer.user_step()
-    return spread(trainer.user_factors, "user_idx", 2)
+    with _trainer(spark, line_data(spark, sf_dir), 2) as trainer:
+        trainer.user_step()
+        return spread(trainer.user_factors, "user_idx", 2)
 
 
 @query
 def item_half_step_k2(spark, sf_dir):
-    trainer = _trainer(spark, line_data(spark, sf_dir), 2)
-    trainer.user_step()
-    trainer.item_step()
-    return spread(trainer.item_factors, "item_idx", 2)
+    with _trainer(spark, line_data(spark, sf_dir), 2) as trainer:
+        trainer.user_step()
+        trainer.item_step()
+        return spread(trainer.item_factors, "item_idx", 2)
 
 
 def _both_sides(users: DataFrame, items: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -293,21 +293,24 @@ def _both_sides(users: DataFrame, items: DataFrame, k: int, digits: int = 6) ->
 
 @query
 def one_epoch_k2(spark, sf_dir):
-    result = _trainer(spark, line_data(spark, sf_dir), 2).fit(1)
+    with _trainer(spark, line_data(spark, sf_dir), 2) as trainer:
+        result = trainer.fit(1)
     return _both_sides(result.users, result.items, 2)
 
 
 @query
 def one_epoch_events(spark, sf_dir):
     """Many repeated pairs and weights near 1."""
-    result = _trainer(spark, event_data(spark, sf_dir), 4).fit(1)
+    with _trainer(spark, event_data(spark, sf_dir), 4) as trainer:
+        result = trainer.fit(1)
     return _both_sides(result.users, result.items, 4)
 
 
 @query
 def one_epoch_hot(spark, sf_dir):
     """Nearly all users and items are split over several blocks."""
-    result = _trainer(spark, line_data(spark, sf_dir), 4, hot_degree=20, blocks=11).fit(1)
+    with _trainer(spark, line_data(spark, sf_dir), 4, hot_degree=20, blocks=11) as trainer:
+        result = trainer.fit(1)
     return _both_sides(result.users, result.items, 4)
 
 
@@ -315,7 +318,8 @@ def one_epoch_hot(spark, sf_dir):
 def cold_entities_keep_init(spark, sf_dir):
     """Train on small orders only; users and items without any keep their first vector."""
     data = line_data(spark, sf_dir)
-    result = _trainer(spark, data, 2, train=data.train.filter("cents < 500000")).fit(1)
+    with _trainer(spark, data, 2, train=data.train.filter("cents < 500000")) as trainer:
+        result = trainer.fit(1)
     return _both_sides(result.users, result.items, 2)
 
 
@@ -334,13 +338,14 @@ def train_k8(spark, sf_dir):
 def warm_start_equals_full(spark, sf_dir):
     """Factors that differ between two epochs at once and two runs of one epoch."""
     data = line_data(spark, sf_dir)
-    at_once = _trainer(spark, data, 4).fit(2)
-    first = _trainer(spark, data, 4).fit(1)
-    params = tr.Params(factors=4)
-    resumed = tr.Trainer(
-        tr.training_relation(data.train), _confidence(data, 0.5), data.n_users, data.n_items, params,
-        init=(first.users, first.items),
-    ).fit(1)
+    with _trainer(spark, data, 4) as trainer:
+        at_once = trainer.fit(2)
+    with _trainer(spark, data, 4) as trainer:
+        first = trainer.fit(1)
+    resumed = tr.fit(
+        tr.training_relation(data.train), _confidence(data, 0.5), data.n_users, data.n_items,
+        tr.Params(factors=4, epochs=1), init=(first.users, first.items),
+    )
 
     def differing(side: str, left: DataFrame, right: DataFrame) -> DataFrame:
         other = right.select("idx", F.col("vec").alias("other"))
@@ -358,9 +363,11 @@ def warm_start_equals_full(spark, sf_dir):
 
 
 def _variant_records(data, variant: str, alpha: float) -> DataFrame:
-    trainer = _trainer(data.train.sparkSession, data, 4, alpha)
     evaluator = tr.Evaluator(data.test, data.train, data.n_items, TOP_K, None)
-    return trainer.fit(2, evaluator, variant).history
+    with _trainer(data.train.sparkSession, data, 4, alpha) as trainer:
+        history = trainer.fit(2, evaluator, variant).history
+    evaluator.close()
+    return history
 
 
 def _history_columns(records: DataFrame) -> DataFrame:

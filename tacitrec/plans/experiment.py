@@ -19,7 +19,7 @@ from tacitrec.params import Params
 from tacitrec.plans.evaluate import Evaluator
 from tacitrec.plans.train import FitResult, fit
 from tacitrec.sources.history import HISTORY_SCHEMA, write_history
-from tacitrec.tables import write_table
+from tacitrec.tables import drop_table, write_table
 
 
 @dataclass(frozen=True)
@@ -46,11 +46,10 @@ def split_dataset(
     if encoded.n_users == 0 or encoded.n_items == 0:
         raise ValueError("no users or items left: lower min_interactions or raise sample_fraction")
     written = write_table(encoded.rows.drop("user_id", "item_id"), "encoded")
-    train, test = leave_one_out(written, order)
-    return Dataset(
-        write_table(train, "train"), test,
-        encoded.users, encoded.items, encoded.n_users, encoded.n_items,
-    )
+    lazy_train, test = leave_one_out(written, order)
+    train = write_table(lazy_train, "train")
+    drop_table(written)
+    return Dataset(train, test, encoded.users, encoded.items, encoded.n_users, encoded.n_items)
 
 
 def prepare(
@@ -67,7 +66,9 @@ def prepare(
     core = kcore(sampled, params.min_interactions)
     if core.is_empty:
         raise ValueError("no users or items left: lower min_interactions or raise sample_fraction")
-    return split_dataset(core.rows, order, core.users, core.items)
+    data = split_dataset(core.rows, order, core.users, core.items)
+    drop_table(sampled)
+    return data
 
 
 def train_variant(data: Dataset, params: Params, variant: str, evaluate: bool = True) -> FitResult:

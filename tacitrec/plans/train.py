@@ -69,7 +69,7 @@ class Trainer:
     """The layout of one training relation and the current factors.
 
     Calling `fit` again continues from the current factors; n calls with one epoch give
-    the same factors as one call with n epochs.
+    the same factors as one call with n epochs. Close the trainer when done.
     """
 
     def __init__(
@@ -89,7 +89,7 @@ class Trainer:
         self.spark = relation.sparkSession
         self.epochs_done = 0
         self._handed_out: list[DataFrame] = []  # states whose factors a caller may still read
-        pairs = write_table(observed_pairs(relation), "training-pairs")
+        pairs = self._pairs = write_table(observed_pairs(relation), "training-pairs")
         n_blocks = params.blocks or self._block_count(pairs.count())
         self.user_blocks = build_blocks(pairs, "user_idx", "item_idx", n_blocks, params.hot_degree)
         self.item_blocks = build_blocks(pairs, "item_idx", "user_idx", n_blocks, params.hot_degree)
@@ -197,9 +197,16 @@ class Trainer:
         return unpacked(self.items)
 
     def close(self) -> None:
-        """Release the cached blocks; the factors stay readable."""
-        self.user_blocks.unpersist()
-        self.item_blocks.unpersist()
+        """Release the cached blocks and the pairs; factors that were handed out stay readable."""
+        self.user_blocks.close()
+        self.item_blocks.close()
+        drop_table(self._pairs)
+
+    def __enter__(self) -> Trainer:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
 
 def fit(
@@ -208,11 +215,8 @@ def fit(
     variant: str = "model",
 ) -> FitResult:
     """Lay out the relation, train for `params.epochs` epochs, release the layout."""
-    trainer = Trainer(relation, confidence, n_users, n_items, params, init)
-    try:
+    with Trainer(relation, confidence, n_users, n_items, params, init) as trainer:
         return trainer.fit(evaluator=evaluator, variant=variant)
-    finally:
-        trainer.close()
 
 
 def _hot(state: DataFrame) -> DataFrame:

@@ -51,7 +51,10 @@ def write_table(df: DataFrame, name: str, columns: Sequence[str] | None = None)
 
 
 def drop_table(table: DataFrame) -> None:
-    """Delete the files of a frame that `write_table` returned and nobody reads any more."""
+    """Delete the files of a frame that `write_table` returned and nobody reads any more.
+
+    Other frames are left alone.
+    """
     path = _paths.pop(table, None)
     if path is not None:
         context = table.sparkSession.sparkContext

@@ -33,7 +33,7 @@ def test_blocks_stay_even(spark, skewed):
         ]
         assert len(sizes) == 6 and sum(sizes) == len(set(skewed))
         assert max(sizes) < 1.6 * sum(sizes) / 6
-        blocks.unpersist()
+        blocks.close()
 
 
 def test_skewed_training_follows_the_rule(spark, factors_of, skewed):
