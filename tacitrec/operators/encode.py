@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tacitrec.tables import write_table
+from tacitrec.tables import together, write_table
 
 # monotonically_increasing_id keeps the row number within a partition in its low bits.
 ROW_BITS = 33
@@ -60,8 +60,11 @@ def encode_ids(df: DataFrame, users: DataFrame | None = None, items: DataFrame |
     `users` and `items` may hold the ids that occur in `df`, where they are known already;
     otherwise `df` is searched for them.
     """
-    users, n_users = id_dictionary(df if users is None else users, "user_id")
-    items, n_items = id_dictionary(df if items is None else items, "item_id")
+    (users, n_users), (items, n_items) = together(
+        df.sparkSession,
+        lambda: id_dictionary(df if users is None else users, "user_id"),
+        lambda: id_dictionary(df if items is None else items, "item_id"),
+    )
     rows = (
         df.join(users.select(F.col("id").alias("user_id"), F.col("idx").alias("user_idx")), "user_id")
         .join(items.select(F.col("id").alias("item_id"), F.col("idx").alias("item_idx")), "item_id")

@@ -32,7 +32,7 @@ from tacitrec.operators.blocks import HOT_HOME, Blocks, build_blocks, observed_p
 from tacitrec.operators.gram import gram_array
 from tacitrec.params import Params
 from tacitrec.sources.history import HISTORY_SCHEMA
-from tacitrec.tables import drop_table, write_table
+from tacitrec.tables import drop_table, together, write_table
 
 STATE_SCHEMA = "idx bigint, c double, vec binary, home int, routes string"
 STATE_NAMES = ["idx", "c", "vec", "home", "routes"]
@@ -91,18 +91,22 @@ class Trainer:
         self._handed_out: list[DataFrame] = []  # states whose factors a caller may still read
         pairs = self._pairs = write_table(observed_pairs(relation), "training-pairs")
         n_blocks = params.blocks or self._block_count(pairs.count())
-        self.user_blocks = build_blocks(pairs, "user_idx", "item_idx", n_blocks, params.hot_degree)
-        self.item_blocks = build_blocks(pairs, "item_idx", "user_idx", n_blocks, params.hot_degree)
+        self.user_blocks, self.item_blocks = together(
+            self.spark,
+            lambda: build_blocks(pairs, "user_idx", "item_idx", n_blocks, params.hot_degree),
+            lambda: build_blocks(pairs, "item_idx", "user_idx", n_blocks, params.hot_degree),
+        )
         users, items = init or (
             initial_factors(self.spark, "user", n_users, params),
             initial_factors(self.spark, "item", n_items, params),
         )
         confidence = confidence.select(F.col("item_idx").alias("idx"), "c")
-        self.users = self._state(
-            packed(users).withColumn("c", F.lit(1.0)), self.user_blocks, self.item_blocks, "users"
-        )
-        self.items = self._state(
-            packed(items).join(confidence, "idx"), self.item_blocks, self.user_blocks, "items"
+        users = packed(users).withColumn("c", F.lit(1.0))
+        items = packed(items).join(confidence, "idx")
+        self.users, self.items = together(
+            self.spark,
+            lambda: self._state(users, self.user_blocks, self.item_blocks, "users"),
+            lambda: self._state(items, self.item_blocks, self.user_blocks, "items"),
         )
 
     def _block_count(self, n_pairs: int) -> int:

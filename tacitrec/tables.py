@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
+from pyspark.util import inheritable_thread_target
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -39,6 +41,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tacitrec/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
+    """Run independent jobs at the same time, so that short stages share the cluster."""
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inherit(job)) for job in jobs]
+        return [job.result() for job in running]
+
+
 def write_table(df: DataFrame, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Write `df` and return the written table, or only some of its columns."""
     spark = df.sparkSession
