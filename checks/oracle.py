@@ -341,7 +341,7 @@ from items left join (select item_idx, count(*) n from train group by 1) c on c.
         "select 'user' side, count(*) n, 0::bigint n_different from users "
         "union all select 'item', count(*), 0 from items"
     ),
-    "score_pairs_observed": on_lines(
+    "score_pairs": on_lines(
         f"select user_idx, item_idx, {score(2)} + 0.0 score from seen join p0 p on p.idx = user_idx "
         "join q0 q on q.idx = item_idx", grid_start(2)
     ),
@@ -361,8 +361,8 @@ from items left join (select item_idx, count(*) n from train group by 1) c on c.
         "select user_id, item_id, score, rn from best join users u on u.idx = user_idx "
         "join items i on i.idx = item_idx", grid_start(4), best("p0", "q0", 4, 10)
     ),
-    "seen_pairs": on_lines("select user_idx, item_idx from seen"),
-    "eval_subsample_users": on_lines("""select user_idx, item_idx from (
+    "seen_items": on_lines("select user_idx, item_idx from seen"),
+    "eval_subsample": on_lines("""select user_idx, item_idx from (
   select *, row_number() over (order by md5(concat_ws('|', cast(user_idx as varchar), cast(item_idx as varchar), '42', '0')),
     user_idx, item_idx) place from test) where place <= 500"""),
     "test_item_rank": on_lines(

@@ -44,7 +44,8 @@ EVAL_USERS = 500
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register a query under its name; a final underscore avoids the name of an import."""
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -414,7 +415,7 @@ def _plain_zero(scored: DataFrame) -> DataFrame:
 
 
 @query
-def score_pairs_observed(spark, sf_dir):
+def score_pairs_(spark, sf_dir):
     data = line_data(spark, sf_dir)
     users, items = grid_factors(data)
     return _plain_zero(tr.score_pairs(seen_items(data.train), users, items))
@@ -470,12 +471,12 @@ def recommend_decoded(spark, sf_dir):
 # --- evaluation ---------------------------------------------------------------------
 
 @query
-def seen_pairs(spark, sf_dir):
+def seen_items_(spark, sf_dir):
     return seen_items(line_data(spark, sf_dir).train)
 
 
 @query
-def eval_subsample_users(spark, sf_dir):
+def eval_subsample_(spark, sf_dir):
     return eval_subsample(line_data(spark, sf_dir).test, EVAL_USERS).select("user_idx", "item_idx")
 
 
