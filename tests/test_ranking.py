@@ -85,6 +85,18 @@ def test_users_who_have_seen_everything_get_nothing(spark, factors_of):
     assert [tuple(row) for row in lists] == [(1, 1, 4.0, 1)]
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_lists_for_some_users_only(spark, factors_of, monkeypatch, few):
+    monkeypatch.setattr(tr.plans.recommend, "FEW_USERS", few)
+    p, q, train, _ = random_case(25, 30, 4, 13, True)
+    users, items = factors_of(p), factors_of(q)
+    train_rows = spark.createDataFrame(train, PAIRS)
+    unknown = spark.createDataFrame([(2, 99), (77, 1)], PAIRS)  # without vectors
+    whole = tr.recommend_all(users, items, train_rows, 6)
+    some = tr.recommend_all(users.filter("idx % 4 = 2"), items, train_rows.union(unknown), 6)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.filter("user_idx % 4 = 2").collect()))
+
+
 def test_no_test_rows_give_null_metrics(spark, factors_of):
     empty = spark.createDataFrame([], PAIRS)
     ranks = tr.test_item_rank(factors_of([[1.0]]), factors_of([[1.0]]), empty, empty)
