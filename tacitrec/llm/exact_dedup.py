@@ -18,15 +18,22 @@ rows; columns other than id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tacitrec.llm.common import path_exists
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from tacitrec.tables import write_table
+
+# Preallocation would take megabytes of disk for every partition, however small its state.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 SALTS = 16
 
 
@@ -71,38 +78,47 @@ class StreamingDedup:
         pattern = f"{self.path[:-1]}[{self.path[-1]}]"
         source = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(pattern)
         groups = self._rows(source).groupBy("digest").agg(F.min(self._rank()).alias("keep"), F.count("*").alias("n"))
-        key = "spark.sql.streaming.stateStore.providerClass"
-        before = self.spark.conf.get(key, None)
-        self.spark.conf.set(key, ROCKSDB)  # the query copies the settings when it starts
-        try:
+        with self._settings():  # the query copies the settings when it starts
             running = (
                 groups.writeStream.format("noop").outputMode("update")
                 .option("checkpointLocation", self.state_dir).trigger(availableNow=True).start()
             )
-        finally:
-            if before is None:
-                self.spark.conf.unset(key)
-            else:
-                self.spark.conf.set(key, before)
         running.awaitTermination()
 
+    @contextmanager
+    def _settings(self) -> Iterator[None]:
+        """State on disk, for as long as the session's own settings are not needed."""
+        before = {key: self.spark.conf.get(key, None) for key in SETTINGS}
+        for key, value in SETTINGS.items():
+            self.spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            for key, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(key)
+                else:
+                    self.spark.conf.set(key, value)
+
     def groups(self) -> DataFrame:
-        """The state: `(digest, keep, n)`."""
+        """The state as a table: `(digest, keep, n)`."""
         if not path_exists(self.spark, f"{self.state_dir}/commits/0"):
             empty = self._rows(self._documents()).limit(0)
             return empty.groupBy("digest").agg(F.min(self._rank()).alias("keep"), F.count("*").alias("n"))
         state = self.spark.read.format("statestore").option("path", self.state_dir).load()
-        return state.select(
+        named = state.select(
             F.col("key.digest").alias("digest"), F.col("value.min").alias("keep"), F.col("value.count").alias("n")
         )
+        with self._settings():
+            return write_table(named, "dedup-groups")
 
     def _documents(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def colliding(self) -> DataFrame:
+    def colliding(self, groups: DataFrame) -> DataFrame:
         """The digests whose rows differ in their whole normalised texts."""
         salt = F.pmod(F.xxhash64("file", "row"), F.lit(SALTS))
-        several = self.groups().filter(F.col("n") > 1).select(
+        several = groups.filter(F.col("n") > 1).select(
             "digest", F.explode(F.array(*[F.lit(salt).cast("bigint") for salt in range(SALTS)])).alias("salt")
         )
         hits = self._rows(self._documents()).withColumn("salt", salt).join(several, ["digest", "salt"], "left_semi")
@@ -111,7 +127,8 @@ class StreamingDedup:
 
     def verdicts(self) -> DataFrame:
         """`(id, keep_id, group_size, kept, digest)` for every row."""
-        rows, groups, colliding = self._rows(self._documents()), self.groups(), self.colliding()
+        rows, groups = self._rows(self._documents()), self.groups()
+        colliding = write_table(self.colliding(groups), "dedup-collisions")
         looked_up = self._judged(rows.drop("normal").join(groups, "digest"))
         if colliding.isEmpty():
             return looked_up

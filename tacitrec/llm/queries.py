@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tacitrec.llm.common import documents, word_count
+from tacitrec.llm.compression import compression_bands
 from tacitrec.llm.exact_dedup import StreamingDedup
+from tacitrec.llm.language import LanguageModel, fit, held_out, identify
 from tacitrec.llm.line_dedup import drop_frequent_lines
 from tacitrec.llm.mixing import mix
+from tacitrec.llm.packing import PackParams, pack
 from tacitrec.llm.sharding import assign, balanced_tree, slots, with_one_more
+from tacitrec.llm.simhash import near_duplicates
 from tacitrec.llm.url_templates import filter_urls, path_of
 from tacitrec.tables import new_path
 
@@ -39,6 +43,26 @@ def op1_exact_dedup(spark, sf_dir):
     )
 
 
+def pack_params() -> PackParams:
+    """Sequences of 2,048 tokens of the 50k byte vocabulary; the files lie on every machine."""
+    import public_tokenizers as public
+
+    return PackParams(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+
+
+@query
+def op2_packing(spark, sf_dir):
+    pieces = pack(documents(spark, sf_dir), pack_params())
+    return pieces.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query
+def op3_compression_bands(spark, sf_dir):
+    return compression_bands(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(url, good)`: pages show documents by number, and labels cover some documents."""
     number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})[^/0-9]*/?$", 1).try_cast("bigint")
@@ -54,6 +78,24 @@ def op4_url_templates(spark, sf_dir):
     return filter_urls(pages, labelled_urls(spark, sf_dir), URL_RULES)
 
 
+@query
+def op6_simhash(spark, sf_dir):
+    found = near_duplicates(documents(spark, sf_dir))
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
+    """Learned from the labelled documents that are not held out."""
+    return fit(documents(spark, sf_dir).filter(~held_out()))
+
+
+@query
+def op7_language(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", held_out().alias("held_out"))
+    return identify(docs, language_model(spark, sf_dir)).drop("text")
+
+
 @query
 def op8_mixing(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("words"))

@@ -1,0 +1,109 @@
+"""SimHash: fingerprints, links, components, one row per component."""
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from llm.conftest import ODD_TEXTS
+
+from tacitrec.llm.queries import QUERIES
+from tacitrec.llm.simhash import components, fingerprint, forest, links, near_duplicates, one_per_component
+
+
+def plain_fingerprint(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for blank in "\t\n\x0b\x0c\r":
+        words = words.replace(blank, " ")
+    words = [w for w in words.split(" ") if w]
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) if hashes else 0
+
+
+def plain_components(values, distance=4):
+    label = {v: v for v in values}
+    moved = True
+    while moved:
+        moved = False
+        for a in values:
+            for b in values:
+                if (a ^ b).bit_count() <= distance and label[b] < label[a]:
+                    label[a], moved = label[b], True
+    return label
+
+
+@pytest.mark.parametrize("text", ODD_TEXTS)
+def test_fingerprint_is_the_plain_one(text):
+    assert fingerprint(text) == plain_fingerprint(text)
+
+
+def clouds(n, seed):
+    """Fingerprints in clouds of near ones, chains of near ones, and alone."""
+    draw = random.Random(seed)
+    values = set()
+    while len(values) < n:
+        centre = draw.getrandbits(64)
+        values.add(centre)
+        for _ in range(draw.choice([0, 3, 12])):
+            centre = centre ^ sum(1 << b for b in draw.sample(range(64), draw.choice([1, 2, 4, 5])))
+            values.add(centre)
+    return sorted(values)
+
+
+@pytest.mark.parametrize("block", [2048, 2, 5])
+@pytest.mark.parametrize("distance", [3, 4])
+def test_links_connect_as_all_links_would(spark, block, distance):
+    values = clouds(150, distance)
+    signed = [int(np.uint64(v).astype(np.int64)) for v in values]
+    table = spark.createDataFrame([(v,) for v in signed], "fp bigint")
+    found = components(links(table, distance, block)).collect()
+    label = {row["node"]: row["component"] for row in found}
+    groups = {}
+    for value, plain in plain_components(values, distance).items():
+        groups.setdefault(plain, set()).add(label.get(int(np.uint64(value).astype(np.int64)), value))
+    assert all(len(g) == 1 for g in groups.values())
+    assert len(set().union(*groups.values())) == len(groups)
+
+
+def test_forest_spans():
+    values = np.array([0, 1, 3, 0b1111 << 40, 7], np.uint64)
+    children, parents = forest(values, 1)
+    assert sorted(children.tolist()) == [1, 3, 7] and set(parents.tolist()) == {0}
+
+
+def test_odd_rows(docs_of):
+    rows = {r["id"]: r for r in near_duplicates(docs_of(ODD_TEXTS)).collect()}
+    assert len(rows) == len(ODD_TEXTS)
+    assert rows[0]["component_id"] == rows[1]["component_id"] == rows[2]["component_id"] == 0
+    assert rows[9]["component_id"] == 8
+
+
+def test_null_and_repeated_ids_and_empty_table(docs_of, spark):
+    docs = docs_of(["a b c d e", "a b c d e", "zz", "zz", "other words here now"], ids=[None, None, 3, 3, 4])
+    ids = sorted((r["component_id"] is None, r["component_id"] or 0) for r in near_duplicates(docs).collect())
+    assert ids == [(False, 3), (False, 3), (False, 4), (True, 0), (True, 0)]
+    assert near_duplicates(docs.limit(0)).count() == 0
+    kept = one_per_component(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["text"] for r in kept.collect()) == ["a b c d e", "other words here now", "zz"]
+
+
+def test_clashing_columns(docs_of):
+    from pyspark.sql import functions as F
+
+    docs = docs_of(["a b", "a b", "c"]).withColumn("id", F.lit("x")).withColumn("fp", F.lit(1)).withColumn("component", F.lit(2))
+    assert near_duplicates(docs).count() == 3
+    assert one_per_component(docs).columns == docs.columns and one_per_component(docs).count() == 2
+
+
+def test_query_is_brute_force(spark, small_tables):
+    rows = QUERIES["op6_simhash"](spark, small_tables).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small_tables}/documents.parquet").collect()}
+    value = {d: plain_fingerprint(t) for d, t in texts.items()}
+    assert {r["doc_id"]: r["fingerprint"] for r in rows} == {d: f"{v:016x}" for d, v in value.items()}
+    label = plain_components(sorted(set(value.values())))
+    first = {}
+    for doc in sorted(value):
+        first.setdefault(label[value[doc]], doc)
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {d: first[label[v]] for d, v in value.items()}

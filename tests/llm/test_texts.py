@@ -1,0 +1,228 @@
+"""Packing, compression bands and language ID."""
+
+import zlib
+
+import numpy as np
+import pytest
+from llm.conftest import ODD_TEXTS
+from pyspark.sql import functions as F
+
+from tacitrec.llm.compression import BandParams, band_of, compression_bands, words_in_repeated_windows
+from tacitrec.llm.language import fit, held_out, identify, shares
+from tacitrec.llm.packing import Encoder, PackParams, hilbert_keys, pack, sequences
+from tacitrec.llm.queries import QUERIES, pack_params
+
+TRICKY = [*ODD_TEXTS, "a  b", "\t\n  x", "it's we'll  '  s", "a <|endoftext|> b<|endoftext|>", "x　　 y\xa0 z", "1 2  3\n4"]
+
+
+# --- packing ------------------------------------------------------------------------
+
+@pytest.mark.parametrize("text", TRICKY)
+def test_ids_are_those_of_the_tokenizer(text):
+    params = pack_params()
+    fast, plain = Encoder(params), Encoder(PackParams(params.tokenizer))
+    expected = plain.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert fast.ids(text or "") == plain.ids(text or "") == expected
+
+
+@pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
+def test_curve_visits_every_cell_by_single_steps(dims, bits):
+    grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+    keys = hilbert_keys(grid.astype(np.uint64), bits)
+    assert sorted(keys) == list(range(len(grid)))
+    assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+def check_pieces(rows, texts, params):
+    """Every id lies in one piece, sequences are gapless, and only the last is short."""
+    encoder = Encoder(PackParams(params.tokenizer))
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    assert sorted(by_doc) == sorted(texts)
+    for doc, pieces in by_doc.items():
+        pieces.sort(key=lambda r: r["start"])
+        ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in pieces])
+        assert ids.tolist() == [*encoder.ids(texts[doc] or ""), params.end_id]
+        assert [r["start"] for r in pieces] == [0, *np.cumsum([r["length"] for r in pieces])[:-1]]
+        assert {r["doc_tokens"] for r in pieces} == {len(ids)}
+    for number, pieces in by_sequence.items():
+        pieces.sort(key=lambda r: r["offset"])
+        ends = np.cumsum([r["length"] for r in pieces])
+        assert [r["offset"] for r in pieces] == [0, *ends[:-1]]
+        assert ends[-1] == params.length or number == max(by_sequence)
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+
+
+def test_pieces_round_trip(docs_of):
+    params = PackParams(**{**pack_params().__dict__, "length": 64})
+    texts = [*TRICKY, *["copy of a text " * 9] * 40]
+    rows = pack(docs_of(texts), params)
+    check_pieces(rows.collect(), dict(enumerate(texts)), params)
+    whole = sequences(rows).collect()
+    assert all(len(r["ids"]) == 4 * r["length"] for r in whole)
+
+
+def test_neighbours_share_sequences(docs_of):
+    """Texts of two vocabularies, dealt alternately, end up in sequences of their own."""
+    texts = [("alpha beta gamma delta " if i % 2 else "eins zwei drei vier ") * (3 + i % 5) for i in range(80)]
+    params = PackParams(**{**pack_params().__dict__, "length": 128})
+    rows = pack(docs_of(texts), params).collect()
+    kinds = {}
+    for r in rows:
+        kinds.setdefault(r["sequence_id"], set()).add(r["id"] % 2)
+    assert sum(len(k) == 2 for k in kinds.values()) <= 2
+
+
+def test_packing_of_nothing_and_of_clashing_names(docs_of):
+    docs = docs_of(["a b c", None], ids=[None, 7]).withColumn("ids", F.lit(1)).withColumn("start", F.lit(2))
+    rows = pack(docs, pack_params()).collect()
+    assert sorted((r["id"] or 0, r["length"]) for r in rows) == [(0, 4), (7, 1)]
+    assert pack(docs.limit(0), pack_params()).count() == 0
+
+
+def test_packing_query_is_brute_force(spark, small_tables):
+    rows = QUERIES["op2_packing"](spark, small_tables).collect()
+    params = pack_params()
+    encoder = Encoder(PackParams(params.tokenizer))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small_tables}/documents.parquet").collect()}
+    ids = {doc: np.array([*encoder.ids(t or ""), 1], "<u4") for doc, t in texts.items()}
+    for r in rows:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(part.tobytes()) == r["ids_crc32"] and len(ids[r["doc_id"]]) == r["doc_tokens"]
+    total = sum(map(len, ids.values()))
+    assert sum(r["length"] for r in rows) == total
+    taken = np.concatenate([r["sequence_id"] * 2048 + r["offset"] + np.arange(r["length"]) for r in rows])
+    assert sorted(taken) == list(range(total))
+
+
+# --- compression bands --------------------------------------------------------------
+
+def plain_repeats(words, size):
+    windows = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+    hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(size)}
+    return len(hit)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8])
+def test_repeated_windows(size):
+    draw = np.random.default_rng(size)
+    for n in range(0, 40):
+        words = [b"abc"[i : i + 1] for i in draw.integers(0, 3 if n % 2 else 1, n)]
+        assert words_in_repeated_windows(words, size) == plain_repeats(words, size)
+
+
+def plain_measures(text):
+    text = text or ""
+    flat = "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in text)
+    words = [w for w in flat.split(" ") if w]
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    return (
+        len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text),
+        sum(x in lines[:i] for i, x in enumerate(lines)), plain_repeats([w.encode() for w in words], 8) if len(words) < 5000 else None,
+    )
+
+
+def check_measures(rows, texts):
+    import zstandard
+
+    for r in rows:
+        text = texts[r["doc_id"]]
+        plain = plain_measures(text)
+        got = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+        assert all(p is None or p == g for p, g in zip(plain, got))
+        assert r["base_failed"] == (got[0] < 20 or 100 * got[4] > 30 * got[0])
+        data = (text or "").encode()
+
+        def outside(part):
+            low, high = band_of(len(part), BandParams().bands)
+            return not low <= len(zstandard.ZstdCompressor(level=3).compress(part)) / len(part) <= high
+
+        bad = sum(len(data[i : i + 4096]) for i in range(0, len(data), 4096) if outside(data[i : i + 4096])) if len(data) > 4096 else 0
+        assert r["kept"] == (not r["base_failed"] and not outside(data) and bad <= 0.3 * len(data))
+
+
+def test_measures_of_odd_texts(docs_of):
+    rows = compression_bands(docs_of(ODD_TEXTS).withColumn("kept", F.lit("x")).withColumn("ratio", F.lit("y"))).collect()
+    check_measures(rows, dict(enumerate(ODD_TEXTS)))
+
+
+def test_bands_tell_texts_apart(docs_of):
+    draw = np.random.default_rng(1)
+    prose = " ".join("".join(draw.choice(["la", "ti", "mo", "res", "un", "ka", "der"], draw.integers(1, 4))) for _ in range(600))
+    noise = " ".join("".join(chr(c) for c in draw.integers(0x4E00, 0x9FFF, 12)) for _ in range(400))
+    again = " ".join(f"{i} same old thing" for i in range(900))
+    hidden = prose * 1 + " " + " ".join("".join(chr(c) for c in draw.integers(0x4E00, 0x9FFF, 12)) for _ in range(100))
+    rows = compression_bands(docs_of([prose, noise, again, hidden])).orderBy("doc_id").collect()
+    assert [r["kept"] for r in rows] == [True, False, False, False]
+    assert not any(r["base_failed"] for r in rows)
+
+
+def test_bands_query_is_brute_force(spark, small_tables):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small_tables}/documents.parquet").collect()}
+    rows = QUERIES["op3_compression_bands"](spark, small_tables).collect()
+    assert len(rows) == len(texts)
+    check_measures(rows, texts)
+
+
+# --- language -----------------------------------------------------------------------
+
+GERMAN = "der die das und ist nicht ein eine mit von haus baum strasse schnell langsam heute morgen wasser"
+ENGLISH = "the of and is not one with from house tree street quick slow today tomorrow water fire earth"
+SPANISH = "el la los que con por una casa arbol calle rapido lento hoy agua fuego tierra cielo noche"
+
+
+def sample(words, n, seed):
+    draw = np.random.default_rng(seed)
+    return " ".join(draw.choice(words.split(), n))
+
+
+@pytest.fixture
+def model(docs_of):
+    texts = [sample(w, 200, i) for i, w in enumerate([GERMAN, ENGLISH, SPANISH] * 4)]
+    return fit(docs_of([*texts, "unlabelled", None], langs=[*["de", "en", "es"] * 4, None, "fr"]))
+
+
+def test_single_and_mixed_texts(docs_of, model):
+    assert model.languages == ("de", "en", "es")
+    texts = [sample(GERMAN, 50, 91), sample(ENGLISH, 5, 92), sample(GERMAN, 60, 93) + " " + sample(SPANISH, 30, 94)]
+    rows = identify(docs_of(texts), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in rows] == ["de", "en", "de"]
+    assert [r["languages"] for r in rows] == [["de"], ["en"], ["de", "es"]]
+    assert rows[0]["score"] == 1.0 and abs(rows[2]["score"] - 2 / 3) < 0.1
+
+
+def test_odd_texts_have_results(docs_of, model):
+    docs = docs_of([*ODD_TEXTS, "123 456", "_ - !"]).withColumn("score", F.lit("x"))
+    rows = identify(docs, model).orderBy("doc_id").collect()
+    assert len(rows) == len(ODD_TEXTS) + 2
+    for r in rows:
+        letters = any(c.isalpha() for c in r["text"] or "")
+        assert (r["lang_pred"] != "und") == letters and 0 <= r["score"] <= 1
+        assert letters or r["score"] == 0
+
+
+def test_nothing_learned(docs_of):
+    none = fit(docs_of(["text"], langs=[None]))
+    assert [r["lang_pred"] for r in identify(docs_of(["text", None]), none).collect()] == ["und", "und"]
+    assert identify(docs_of(["a"]).limit(0), none).count() == 0
+
+
+def test_em_of_two_documents_at_once():
+    likelihood = np.log(np.array([[0.9, 0.1], [0.1, 0.9], [0.9, 0.1]]))
+    share, fit_ = shares(likelihood, np.array([3.0, 1.0, 2.0]), np.array([0, 2]), np.ones((2, 2)))
+    assert share.shape == (2, 2) and share[0, 0] > 0.7 and share[1, 0] > 0.95
+    assert np.isfinite(fit_).all()
+
+
+def test_held_out_accuracy(spark, small_tables):
+    truth = spark.read.parquet(f"{small_tables}/documents.parquet").select("doc_id", "lang")
+    rows = QUERIES["op7_language"](spark, small_tables).join(truth, "doc_id").collect()
+    test = [r for r in rows if r["held_out"] and r["lang"] and r["lang_pred"] != "und"]
+    assert len(test) > 30 and np.mean([r["lang"] == r["lang_pred"] for r in test]) > 0.95
+
+
+def test_held_out_rows(docs_of):
+    rows = docs_of(["a"] * 5, ids=[0, 1, 2, 3, None]).select("doc_id", held_out().alias("h")).collect()
+    assert {r["doc_id"]: r["h"] for r in rows} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(4)} | {None: False}
