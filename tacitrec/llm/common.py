@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tacitrec.tables import write_table
+from tacitrec.tables import new_path, write_table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -46,6 +47,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
+def bucketed_table(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write `df` bucketed by `key`, so that joins by it do not move it again."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = os.path.basename(path).replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     """The columns of `df` without those named, then the named ones: ours win on a clash of names."""
     taken = {name.lower() for name in columns}

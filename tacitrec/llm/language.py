@@ -206,10 +206,10 @@ def infer(texts: list[str | None], model: LanguageModel) -> np.ndarray:
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """`df` with `lang_pred`, `score` and `languages`, the chosen set by falling share."""
-    held = df.sparkSession.sparkContext.broadcast(model)
+    held = df.sparkSession.sparkContext.broadcast((model.languages, model.logs, model.buckets))
 
     def predict(texts: pd.Series) -> pd.DataFrame:
-        model = held.value
+        model = LanguageModel(*held.value)
         rows = []
         if not model.languages:
             return pd.DataFrame([(UNKNOWN, 0.0, [])] * len(texts), columns=["lang_pred", "score", "languages"])

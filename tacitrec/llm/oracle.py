@@ -212,9 +212,36 @@ select doc_id, size, text_crc32, 'key' as law, shard,
 from placed
 """
 
+# Windows as hexadecimal digits, two per byte; kept bytes are put together again from the digits.
+OP5 = """
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (
+    select doc_id, i, substr(h, 2 * i + 1, 100) as w
+    from (select doc_id, h, unnest(range(greatest(len(h) // 2 - 49, 0))) as i from docs)
+),
+first as (select w, min(doc_id) as smallest from windows group by w having min(doc_id) < max(doc_id)),
+hits as (select w.doc_id, i from windows w join first f on w.w = f.w where f.smallest < w.doc_id),
+marked as (select doc_id, i, i - coalesce(lag(i) over (partition by doc_id order by i), -1000) > 50 as head from hits),
+spans as (
+    select doc_id, min(i) as a, max(i) + 50 as b
+    from (select *, sum(head::int) over (partition by doc_id order by i) as run from marked) group by doc_id, run
+),
+gaps as (
+    select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans
+),
+kept as (
+    select d.doc_id, any_value(len(h) // 2) as n_bytes, sum(coalesce(b - a, 0)) as n_removed, count(a) as n_spans,
+        coalesce(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a), '')
+            || substr(any_value(h), 2 * coalesce(max(b), 0) + 1) as rest
+    from docs d left join gaps g on d.doc_id = g.doc_id group by d.doc_id
+)
+select doc_id, n_bytes::bigint as n_bytes, n_removed::bigint as n_removed, n_spans, sha256(unhex(rest)) as kept_sha256 from kept
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1,
     "op4_url_templates": op4(),
+    "op5_suffix_dedup": OP5,
     "op8_mixing": OP8,
     "op9_line_dedup": OP9,
     "op10_sharding": OP10,

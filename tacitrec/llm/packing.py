@@ -22,7 +22,6 @@ import base64
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from math import erf, sqrt
 
 import numpy as np
@@ -76,18 +75,17 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
-@lru_cache(maxsize=4)
-def projection(buckets: int, dims: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((buckets, dims))
+def projection(p: PackParams) -> np.ndarray:
+    return np.random.default_rng(p.seed).standard_normal((p.buckets, p.dims))
 
 
-def coordinates(ids: np.ndarray, p: PackParams) -> np.ndarray:
+def coordinates(ids: np.ndarray, p: PackParams, directions: np.ndarray) -> np.ndarray:
     """The place of a document in the unit cube, as `bits`-bit integers."""
     ordered = np.sort(ids)
     at = np.flatnonzero(np.diff(ordered, prepend=ordered[0] ^ 1))
     weights = np.sqrt(np.diff(np.append(at, len(ordered))))
     hashed = (ordered[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (p.buckets - 1).bit_length())
-    point = weights @ projection(p.buckets, p.dims, p.seed)[hashed.astype(np.int64)] / sqrt(len(ordered))
+    point = weights @ directions[hashed.astype(np.int64)] / sqrt(len(ordered))
     cube = [0.5 * (1 + erf(x / sqrt(2))) for x in point]  # even, as each component is near normal
     return np.array([min(int(x * (1 << p.bits)), (1 << p.bits) - 1) for x in cube], np.uint64)
 
@@ -127,7 +125,7 @@ def tokenised(df: DataFrame, id: str, text: str, params: PackParams) -> DataFram
     ])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(params), zstandard.ZstdCompressor(level=3)
+        encoder, packer, directions = Encoder(params), zstandard.ZstdCompressor(level=3), projection(params)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -135,7 +133,7 @@ def tokenised(df: DataFrame, id: str, text: str, params: PackParams) -> DataFram
                 for text in part.column(1).to_pylist():
                     ids = np.array([*encoder.ids(text or ""), params.end_id], "<u4")
                     lengths.append(len(ids))
-                    points.append(coordinates(ids, params))
+                    points.append(coordinates(ids, params, directions))
                     blobs.append(packer.compress(ids.tobytes()))
                 keys = hilbert_keys(np.array(points), params.bits)
                 yield pa.RecordBatch.from_arrays(

@@ -14,6 +14,7 @@ from tacitrec.llm.language import LanguageModel, fit, held_out, identify
 from tacitrec.llm.line_dedup import drop_frequent_lines
 from tacitrec.llm.mixing import mix
 from tacitrec.llm.packing import PackParams, pack
+from tacitrec.llm.repeats import remove_repeats
 from tacitrec.llm.sharding import assign, balanced_tree, slots, with_one_more
 from tacitrec.llm.simhash import near_duplicates
 from tacitrec.llm.url_templates import filter_urls, path_of
@@ -78,6 +79,14 @@ def op4_url_templates(spark, sf_dir):
     return filter_urls(pages, labelled_urls(spark, sf_dir), URL_RULES)
 
 
+@query
+def op5_suffix_dedup(spark, sf_dir):
+    found = remove_repeats(documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op6_simhash(spark, sf_dir):
     found = near_duplicates(documents(spark, sf_dir))
