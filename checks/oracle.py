@@ -36,6 +36,16 @@ items as (select distinct item_id, item_idx idx from encoded),
 seen as (select distinct user_idx, item_idx from train)"""
 
 
+# A chain beside a dense core: every nation is linked with the next, so that with two partners
+# required the chain falls apart from its ends, one link per pass.
+CHAIN = """
+chain as (
+  select 'u' || cast(n_nationkey as varchar) user_id, 'i' || cast(n_nationkey + d as varchar) item_id
+  from nation, (select unnest([0, 1]) d)
+  union all
+  select 'c' || cast(o_custkey as varchar), 'd' || cast(o_custkey % 10 + d as varchar)
+  from (select distinct o_custkey from orders), (select unnest([0, 1, 2]) d))"""
+
 LINE_LAST = '"timestamp" desc, order_key desc, line_number desc, item_idx desc, cents desc'
 LINE_PREFIX = LINES.replace(",\n         l_quantity rating", "") + "," + prepared("lines", LINE_LAST)
 EVENT_PREFIX = EVENTS + "," + prepared("clicks", '"timestamp" desc, event_id desc')
@@ -179,22 +189,29 @@ best as (
       where seen.user_idx is null)) where rn <= {n})"""
 
 
-def kcore_passes(view: str, columns: str, k: int, depth: int = 16) -> str:
-    """`core(..., it)`: what is left after `it` passes."""
+def kcore_passes(view: str, columns: str, k: int) -> str:
+    """`core(..., it)`: what is left after `it` passes, as long as they change something.
+
+    `settled`: the rows of the last pass that stay, which are none if it removes the rest.
+    """
+    counted = "count(*) over (partition by user_id) cu, count(*) over (partition by item_id) ci"
     return f"""
 core as (
   select {columns}, 0 it from {view}
   union all
   select {columns}, it + 1 from (
-    select *, count(*) over (partition by user_id) cu, count(*) over (partition by item_id) ci from core)
-  where cu >= {k} and ci >= {k} and it < {depth})"""
-
-
-def kcore_stats(k: int, depth: int = 16) -> str:
-    return f"""with recursive {LINES_ONLY}, {kcore_passes('lines', 'user_id, item_id', k, depth)},
-steps as (select i.it, count(core.it) n from range({depth + 1}) i(it) left join core on core.it = i.it group by 1),
-last as (select min(a.it) + 1 passes from steps a join steps b on b.it = a.it + 1 and a.n = b.n),
-sizes as (select count(*) n, count(distinct user_id) u, count(distinct item_id) i from core where it = {depth})
+    select *, max(case when cu < {k} or ci < {k} then 1 else 0 end) over () changes
+    from (select *, {counted} from core))
+  where cu >= {k} and ci >= {k} and changes = 1),
+settled as (
+  select {columns}, it from (select *, {counted} from core where it = (select max(it) from core))
+  where cu >= {k} and ci >= {k})"""
+
+
+def kcore_stats(k: int) -> str:
+    return f"""with recursive {LINES_ONLY}, {kcore_passes('lines', 'user_id, item_id', k)},
+sizes as (select count(*) n, count(distinct user_id) u, count(distinct item_id) i from settled),
+last as (select max(it) + case when (select n from sizes) = 0 then 2 else 1 end passes from core)
 select cast(passes as bigint) passes, n n_rows, u n_users, i n_items, n loop_rows, u loop_users, i loop_items
 from last, sizes"""
 
@@ -204,13 +221,25 @@ SPLIT_COLUMNS = 'user_idx, item_idx, "timestamp", order_key, line_number, cents'
 EVENT_COLUMNS = 'user_id, item_id, "timestamp", event_id'
 
 
-SAMPLE_KEY = "user_id, item_id, cast(order_key as varchar), cast(line_number as varchar), cast(cents as varchar)"
-SAMPLE_ORDER = "user_id, item_id, order_key, line_number, cents"
+def digest(columns: str, *salts: int) -> str:
+    """md5 of the values, each after its length; nulls are `n;`."""
+    values = [f"cast({c.strip()} as varchar)" for c in columns.split(",")] + [f"'{salt}'" for salt in salts]
+    return "md5(" + " || ".join(f"coalesce(length({v}) || ':' || {v}, 'n;')" for v in values) + ")"
+
+
+CHOSEN = f"""
+chosen as (
+  select * from test
+  order by {digest('user_idx, item_idx', 42, 1)}, user_idx, item_idx
+  limit 500)"""
+
+SAMPLE_KEY = "user_id, item_id, order_key, line_number, cents"
+SAMPLE_ORDER = f"{digest(SAMPLE_KEY, 42)}, {digest(LINE_COLUMNS)}"
 
 
 def sampled(fraction: float) -> str:
     return f"""with {LINES_ONLY}, placed as (
-  select *, row_number() over (order by md5(concat_ws('|', {SAMPLE_KEY}, '42')), {SAMPLE_ORDER}) place
+  select *, row_number() over (order by {SAMPLE_ORDER}) place
   from lines)
 select {LINE_COLUMNS} from placed where place <= (select round_even({fraction} * count(*), 0) from lines)"""
 
@@ -261,7 +290,20 @@ def summary_of(train_users: str, train_items: str) -> str:
 ORACLE_SQL.update({
     "interactions": f"with {LINES_ONLY} select {LINE_COLUMNS} from lines",
     "interactions_events": f"with {EVENTS} select {EVENT_COLUMNS} from clicks",
-    "ratings_csv": f'with {LINES} select user_id, item_id, rating, "timestamp" from lines',
+    "ratings_csv": f"""with {LINES}
+select case when order_key % 5 = 0 then 'a"b""c,' || user_id else user_id end user_id,
+       case when order_key % 7 = 0 then null else item_id end item_id,
+       case when line_number % 3 = 0 then null else rating end rating, "timestamp" from lines""",
+    "sample_exact_collisions": f"""with {LINES_ONLY}, clashing as (
+  select unnest([user_id || '|' || item_id, user_id, null, '']) user_id,
+         unnest(['c', item_id || '|c', item_id, item_id]) item_id, order_key, line_number, cents from lines),
+placed as (
+  select *, row_number() over (order by {digest('user_id, item_id', 42)},
+    {digest('user_id, item_id, order_key, line_number, cents')}) place from clashing)
+select * exclude (place) from placed where place <= (select round_even(0.34 * count(*), 0) from clashing)""",
+    "sample_exact_repeats": f"""with {LINES_ONLY}, placed as (
+  select *, row_number() over (order by {digest('user_id', 42)}, {digest(LINE_COLUMNS)}) place from lines)
+select {LINE_COLUMNS} from placed where place <= (select round_even(0.3 * count(*), 0) from lines)""",
     "training_relation": on_lines("select user_idx, item_idx, 1.0::double r, 1.0::double w from train"),
     "train_preview": on_lines(
         'select user_idx, item_idx, "timestamp", order_key, line_number, cents from train '
@@ -273,11 +315,13 @@ ORACLE_SQL.update({
 select 'user' side, user_id id, count(*) n from lines group by 2
 union all select 'item', item_id, count(*) from lines group by 2""",
     "kcore_single_pass": f"""with recursive {LINES_ONLY},
-{kcore_passes('lines', LINE_COLUMNS, LINES_K, 1)} select {LINE_COLUMNS} from core where it = 1""",
+{kcore_passes('lines', LINE_COLUMNS, LINES_K)} select {LINE_COLUMNS} from core where it = 1""",
     "kcore": f"""with recursive {LINES_ONLY},
-{kcore_passes('lines', LINE_COLUMNS, LINES_K)} select {LINE_COLUMNS} from core where it = 16""",
+{kcore_passes('lines', LINE_COLUMNS, LINES_K)} select {LINE_COLUMNS} from settled""",
     "kcore_events": f"""with recursive {EVENTS},
-{kcore_passes('clicks', EVENT_COLUMNS, EVENTS_K)} select {EVENT_COLUMNS} from core where it = 16""",
+{kcore_passes('clicks', EVENT_COLUMNS, EVENTS_K)} select {EVENT_COLUMNS} from settled""",
+    "kcore_many_passes": f"""with recursive {CHAIN}, {kcore_passes('chain', 'user_id, item_id', 2)}
+select user_id, item_id, cast((select max(it) + 1 from core) as bigint) passes from settled""",
     "kcore_stats": kcore_stats(LINES_K),
     "kcore_empty": kcore_stats(LINES_EMPTY_K),
     "id_dictionary_user": on_lines("select user_id id, idx from users"),
@@ -362,8 +406,8 @@ from items left join (select item_idx, count(*) n from train group by 1) c on c.
         "join items i on i.idx = item_idx", grid_start(4), best("p0", "q0", 4, 10)
     ),
     "seen_items": on_lines("select user_idx, item_idx from seen"),
-    "eval_subsample": on_lines("""select user_idx, item_idx from (
-  select *, row_number() over (order by md5(concat_ws('|', cast(user_idx as varchar), cast(item_idx as varchar), '42', '0')),
+    "eval_subsample": on_lines(f"""select user_idx, item_idx from (
+  select *, row_number() over (order by {digest('user_idx, item_idx', 42, 0)},
     user_idx, item_idx) place from test) where place <= 500"""),
     "test_item_rank": on_lines(
         "select user_idx, item_idx, rk as rank from ranks", grid_start(2), ranks("p0", "q0", 2)
@@ -399,11 +443,11 @@ _uniform8, _uniform8_select = _variant("_a", "uniform", 0.0, 8)
 
 ORACLE_SQL.update({
     "experiment_run": f"""with recursive {LINES_ONLY}, placed as (
-  select *, row_number() over (order by md5(concat_ws('|', {SAMPLE_KEY}, '42')), {SAMPLE_ORDER}) place from lines),
+  select *, row_number() over (order by {SAMPLE_ORDER}) place from lines),
 sampled as (
   select * exclude (place) from placed where place <= (select round_even(0.5 * count(*), 0) from lines)),
 {kcore_passes('sampled', LINE_COLUMNS, 8)},
-kept as (select {LINE_COLUMNS} from core where it = 16),
+kept as (select {LINE_COLUMNS} from settled),
 {prepared('kept', LINE_LAST)},
 {','.join([digest_start(8), *_uniform8, *_popular8])},
 records as ({_uniform8_select} union all {_popular8_select})
@@ -421,11 +465,10 @@ select variant, epoch best_epoch, hr, ndcg, true timed from (
     "hr_ndcg": on_lines(_metrics_sql(), grid_start(2), ranks("p0", "q0", 2)),
     "hr_ndcg_events": on_events(_metrics_sql(20), grid_start(4), ranks("p0", "q0", 4)),
     "hr_ndcg_subsample": on_lines(
-        _metrics_sql(), """
-chosen as (
-  select * from test
-  order by md5(concat_ws('|', cast(user_idx as varchar), cast(item_idx as varchar), '42', '1')), user_idx, item_idx
-  limit 500)""", grid_start(2), ranks("p0", "q0", 2, test="chosen")
+        _metrics_sql(), CHOSEN, grid_start(2), ranks("p0", "q0", 2, test="chosen")
+    ),
+    "evaluator_subsample": on_lines(
+        _metrics_sql(), CHOSEN, grid_start(2), ranks("p0", "q0", 2, test="chosen")
     ),
     "format_history": on_history('select variant, epoch, time_s, hr "HR@100", ndcg "NDCG@100" from h'),
     "history_csv": on_history("select variant, epoch, time_s, hr, ndcg from h"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +66,14 @@ def interactions_events(spark, sf_dir):
 @query
 def ratings_csv(spark, sf_dir):
     path = new_path(spark, "ratings-csv")
-    write_ratings(order_line_ratings(spark, sf_dir), path)
+    rows = order_line_ratings(spark, sf_dir)
+    quoted = F.when(F.col("order_key") % 5 == 0, F.concat(F.lit('a"b""c,'), "user_id")).otherwise(F.col("user_id"))
+    write_ratings(
+        rows.withColumn("user_id", quoted)
+        .withColumn("item_id", F.when(F.col("order_key") % 7 != 0, F.col("item_id")))
+        .withColumn("rating", F.when(F.col("line_number") % 3 != 0, F.col("rating"))),
+        path,
+    )
     return read_ratings(spark, path)
 
 
@@ -90,6 +99,28 @@ def sample_exact_half(spark, sf_dir):
     return tr.sample_exact(lines(spark, sf_dir), 0.5, LINE_KEY)
 
 
+@query
+def sample_exact_collisions(spark, sf_dir):
+    """Ids that read alike once they are joined, among them null and the empty string."""
+    ids = F.inline(F.array(*[
+        F.struct(user.alias("user_id"), item.alias("item_id"))
+        for user, item in (
+            (F.concat_ws("|", "user_id", "item_id"), F.lit("c")),
+            (F.col("user_id"), F.concat("item_id", F.lit("|c"))),
+            (F.lit(None).cast("string"), F.col("item_id")),
+            (F.lit(""), F.col("item_id")),
+        )
+    ]))
+    rows = lines(spark, sf_dir).select(ids, "order_key", "line_number", "cents")
+    return tr.sample_exact(rows, 0.34, ["user_id", "item_id"])
+
+
+@query
+def sample_exact_repeats(spark, sf_dir):
+    """A key that names many rows."""
+    return tr.sample_exact(lines(spark, sf_dir), 0.3, ["user_id"])
+
+
 # --- k-core -------------------------------------------------------------------------
 
 @query
@@ -135,6 +166,26 @@ def kcore_empty(spark, sf_dir):
     return _kcore_stats(lines(spark, sf_dir), LINES_EMPTY_K)
 
 
+@query
+def kcore_many_passes(spark, sf_dir):
+    """A chain that falls apart one link per pass, beside a dense core."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("n"))
+    chain = nations.select("n", F.explode(F.array(F.lit(0), F.lit(1))).alias("d")).select(
+        F.concat(F.lit("u"), F.col("n").cast("string")).alias("user_id"),
+        F.concat(F.lit("i"), (F.col("n") + F.col("d")).cast("string")).alias("item_id"),
+    )
+    dense = orders.select("o_custkey").distinct().select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("user_id"),
+        F.explode(F.transform(
+            F.array(F.lit(0), F.lit(1), F.lit(2)),
+            lambda d: F.concat(F.lit("d"), (F.col("o_custkey") % 10 + d).cast("string")),
+        )).alias("item_id"),
+    )
+    core = tr.kcore(chain.unionByName(dense), 2)
+    return core.rows.withColumn("passes", F.lit(core.passes).cast("bigint"))
+
+
 # --- encoding, split ----------------------------------------------------------------
 
 @query
@@ -386,9 +437,10 @@ def epoch_history(spark, sf_dir):
 @query
 def compare_variants(spark, sf_dir):
     data = line_data(spark, sf_dir)
-    return _history_columns(
-        _variant_records(data, "uniform", 0.0).unionByName(_variant_records(data, "popularity", 0.5))
-    )
+    variants = {
+        name: tr.Params(factors=4, alpha=alpha, epochs=2, top_k=TOP_K) for name, alpha in (("uniform", 0.0), ("popularity", 0.5))
+    }
+    return _history_columns(tr.compare_variants(data, variants, init=grid_factors(data, 4))[0])
 
 
 @query
@@ -430,11 +482,18 @@ def predict_user(spark, sf_dir):
 @query
 def predict_all(spark, sf_dir):
     users, items = grid_factors(line_data(spark, sf_dir), 4)
-    return tr.predict_all(users, items).groupBy("user_idx").agg(
-        F.sum(F.size("scores")).alias("n_scores"),
-        F.max(F.array_max("scores")).alias("max_score"),
-        F.min(F.array_min("scores")).alias("min_score"),
-        F.sum(F.aggregate("scores", F.lit(0.0), lambda total, s: total + s)).alias("sum_scores"),
+
+    def statistics(batch):
+        s = batch.scores
+        columns = [batch.users, np.full(len(s), s.shape[1]), s.max(axis=1), s.min(axis=1), s.sum(axis=1)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in columns], names=["user_idx", "n", "highest", "lowest", "total"]
+        )
+
+    schema = "user_idx bigint, n bigint, highest double, lowest double, total double"
+    return tr.predict_all(users, items, statistics, schema).groupBy("user_idx").agg(
+        F.sum("n").alias("n_scores"), F.max("highest").alias("max_score"),
+        F.min("lowest").alias("min_score"), F.sum("total").alias("sum_scores"),
     )
 
 
@@ -517,6 +576,14 @@ def hr_ndcg_subsample(spark, sf_dir):
     return _metrics(tr.test_item_rank(users, items, chosen, data.train), TOP_K)
 
 
+@query
+def evaluator_subsample(spark, sf_dir):
+    data = line_data(spark, sf_dir)
+    users, items = grid_factors(data)
+    evaluator = tr.Evaluator(data.test, data.train, data.n_items, TOP_K, EVAL_USERS, round_no=1)
+    return evaluator(users, items).select("n", rounded("hr", 6).alias("hr"), rounded("ndcg", 6).alias("ndcg"))
+
+
 # --- comparison of histories --------------------------------------------------------
 
 @query
@@ -571,7 +638,7 @@ def hr_pivot(spark, sf_dir):
 def train_and_recommend(spark, sf_dir):
     """Train a small model on all order lines and recommend to every user."""
     data = line_data(spark, sf_dir)
-    result = train_variant(data, tr.Params(factors=8, epochs=2), "popularity", evaluate=False)
+    result = train_variant(data, tr.Params(factors=8, epochs=2), "popularity")
     best = tr.recommend_all(result.users, result.items, data.train, TOP_N)
     named = tr.decode(best, data.users, data.items)
     return named.select("user_id", "item_id", rounded("score", 6).alias("score"), "rn")

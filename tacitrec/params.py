@@ -16,7 +16,7 @@ class Params:
     """Model, data and evaluation parameters, with the layout limits of the Spark jobs."""
 
     min_interactions: int = 10
-    sample_fraction: float = 0.2
+    sample_fraction: float = 1.0
     seed: int = 42
 
     factors: int = 64
@@ -27,18 +27,16 @@ class Params:
     epochs: int = 20
 
     top_k: int = 100
-    max_eval_users: int | None = 2000
+    max_eval_users: int | None = None
 
-    # Observed pairs one training block should hold. It bounds the memory of a task:
-    # a block needs at most this many factor vectors from the other side.
-    pairs_per_block: int = 500_000
     # An entity with more distinct partners than this is split over several blocks.
     hot_degree: int = 100_000
-    # Number of training blocks; None derives it from the data size and the cluster.
+    # Number of training blocks; None takes one per core of the cluster. Every vector is copied
+    # to at most so many blocks in a half-step, and a task holds one block with its vectors.
     blocks: int | None = None
 
     def __post_init__(self) -> None:
         if self.factors < 1:
             raise ValueError("factors must be at least 1")
-        if self.hot_degree < 1 or self.pairs_per_block < 1:
-            raise ValueError("hot_degree and pairs_per_block must be positive")
+        if self.hot_degree < 1:
+            raise ValueError("hot_degree must be positive")

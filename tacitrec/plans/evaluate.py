@@ -13,6 +13,7 @@ from tacitrec.functions.vectors import packed
 from tacitrec.operators.grid import CellBatch, plan_grid, score_grid
 from tacitrec.operators.sample import smallest_digests
 from tacitrec.operators.score import score_pairs
+from tacitrec.tables import write_table
 
 
 def seen_items(train: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def seen_items(train: DataFrame) -> DataFrame:
 
 
 def eval_subsample(
-    test: DataFrame, max_users: int | None = 2000, seed: int = 42, round_no: int = 0
+    test: DataFrame, max_users: int | None = None, seed: int = 42, round_no: int = 0
 ) -> DataFrame:
     """All test rows, or exactly `max_users` of them where there are more.
 
@@ -40,8 +41,9 @@ def test_item_rank(users: DataFrame, items: DataFrame, test: DataFrame, train: D
     catalogue without the user's training items. A test item that was also trained on
     counts as masked itself: every unseen item lies above it.
     """
-    seen = _seen_by(test, train)
-    tests = _test_pairs(test, seen)
+    # Written, as both are read several times.
+    seen = write_table(_seen_by(test, train), "seen-pairs")
+    tests = write_table(_test_pairs(test, seen), "test-pairs")
     n_users = tests.agg(F.countDistinct("user_idx")).first()[0]
     return _ranks(users, items, tests, seen, n_users, items.count())
 
@@ -107,7 +109,7 @@ class Evaluator:
 
     def __init__(
         self, test: DataFrame, train: DataFrame, n_items: int, top_k: int = 100,
-        max_eval_users: int | None = 2000, seed: int = 42, round_no: int = 0,
+        max_eval_users: int | None = None, seed: int = 42, round_no: int = 0,
     ) -> None:
         self.top_k = top_k
         self.n_items = n_items

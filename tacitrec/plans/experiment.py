@@ -17,7 +17,7 @@ from tacitrec.operators.summary import dataset_summary
 from tacitrec.operators.weights import item_confidence
 from tacitrec.params import Params
 from tacitrec.plans.evaluate import Evaluator
-from tacitrec.plans.train import FitResult, fit
+from tacitrec.plans.train import FitResult, Layout, fit
 from tacitrec.sources.history import HISTORY_SCHEMA, write_history
 from tacitrec.tables import drop_table, write_table
 
@@ -33,6 +33,11 @@ class Dataset:
     n_users: int
     n_items: int
 
+    def close(self) -> None:
+        """Delete the written tables; the frames cannot be read any more."""
+        for table in (self.train, self.test, self.users, self.items):
+            drop_table(table)
+
 
 def split_dataset(
     rows: DataFrame, order: Sequence[str] = ("timestamp",),
@@ -71,28 +76,40 @@ def prepare(
     return data
 
 
-def train_variant(data: Dataset, params: Params, variant: str, evaluate: bool = True) -> FitResult:
-    """Train one model on a data set, evaluated after each epoch."""
+def train_variant(
+    data: Dataset, params: Params, variant: str, evaluator: Evaluator | None = None,
+    layout: Layout | None = None, init: tuple[DataFrame, DataFrame] | None = None,
+) -> FitResult:
+    """Train one model on a data set; with an evaluator, it is scored after each epoch."""
     confidence = item_confidence(data.train, data.n_items, params.c0, params.alpha)
     relation = training_relation(data.train, params.w_obs)
-    evaluator = None
-    if evaluate:
-        evaluator = Evaluator(
-            data.test, data.train, data.n_items, params.top_k, params.max_eval_users, params.seed
-        )
-    try:
-        return fit(
-            relation, confidence, data.n_users, data.n_items, params,
-            evaluator=evaluator, variant=variant,
-        )
-    finally:
-        if evaluator is not None:
-            evaluator.close()
+    return fit(
+        relation, confidence, data.n_users, data.n_items, params, init, evaluator, variant, layout
+    )
 
 
-def compare_variants(data: Dataset, variants: Mapping[str, Params]) -> tuple[DataFrame, dict[str, FitResult]]:
-    """Train each variant from the same start; return the joint history and the models."""
-    results = {name: train_variant(data, params, name) for name, params in variants.items()}
+def compare_variants(
+    data: Dataset, variants: Mapping[str, Params], init: tuple[DataFrame, DataFrame] | None = None
+) -> tuple[DataFrame, dict[str, FitResult]]:
+    """Train each variant from the same start; return the joint history and the models.
+
+    Variants that lay out their pairs alike share one layout, and those that are scored on the
+    same users one evaluator.
+    """
+    layouts: dict[tuple, Layout] = {}
+    evaluators: dict[tuple, Evaluator] = {}
+    results = {}
+    try:
+        for name, p in variants.items():
+            laid_out, scored = (p.w_obs, p.hot_degree, p.blocks), (p.top_k, p.max_eval_users, p.seed)
+            if laid_out not in layouts:
+                layouts[laid_out] = Layout(training_relation(data.train, p.w_obs), p)
+            if scored not in evaluators:
+                evaluators[scored] = Evaluator(data.test, data.train, data.n_items, *scored)
+            results[name] = train_variant(data, p, name, evaluators[scored], layouts[laid_out], init)
+    finally:
+        for used in (*layouts.values(), *evaluators.values()):
+            used.close()
     records = [record for result in results.values() for record in result.records]
     return data.train.sparkSession.createDataFrame(records, HISTORY_SCHEMA), results
 

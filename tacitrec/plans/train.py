@@ -1,10 +1,12 @@
 """Training: alternating half-steps over cached blocks of observed pairs.
 
-The state of a side is a written table `(idx, c, vec, home, routes)`: `c` is the weight
-of the entity in the Gram matrix (1 for users), `home` the block that updates it and
-`routes` lists the blocks of the other side's update that need its vector. A half-step sends
-each vector once to each block that needs it, each old vector to its home, and joins both
-with the cached tiles by block. Only the k x k Gram matrix passes through the driver.
+The state of a side is a written table `(idx, c, vec, home)`: `c` is the weight of the entity
+in the Gram matrix (1 for users), `home` the block that updates it. Which blocks of the other
+side's update need its vector stands in a table of its own, written once with the layout. A
+half-step sends each vector once to each block that needs it, each old vector to its home, and
+joins both with the cached tiles by block. Blocks are as many as the cluster has cores, so a
+vector has at most that many copies however large the data. Only the k x k Gram matrix passes
+through the driver.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from tacitrec.params import Params
 from tacitrec.sources.history import HISTORY_SCHEMA
 from tacitrec.tables import drop_table, together, write_table
 
-STATE_SCHEMA = "idx bigint, c double, vec binary, home int, routes string"
-STATE_NAMES = ["idx", "c", "vec", "home", "routes"]
+STATE_SCHEMA = "idx bigint, c double, vec binary, home int"
+STATE_NAMES = ["idx", "c", "vec", "home"]
 # A block's output: finished entities (equation null), and rows of [A | b] of hot ones.
 STEP_SCHEMA = STATE_SCHEMA + ", equation int, sums array<double>"
 STEP_NAMES = [*STATE_NAMES, "equation", "sums"]
@@ -56,6 +58,12 @@ class FitResult:
     items: DataFrame
     history: DataFrame
     records: list[tuple] = field(repr=False, default_factory=list)
+    tables: tuple[DataFrame, ...] = field(repr=False, default=())
+
+    def close(self) -> None:
+        """Delete the factor tables; the frames cannot be read any more."""
+        for table in self.tables:
+            drop_table(table)
 
 
 def initial_factors(spark: SparkSession, side: str, n: int, params: Params) -> DataFrame:
@@ -65,6 +73,33 @@ def initial_factors(spark: SparkSession, side: str, n: int, params: Params) -> D
     )
 
 
+class Layout:
+    """The pairs of a training relation, laid out for the half-steps of both sides.
+
+    It depends on neither the number of factors nor the item weights, so one layout serves
+    the trainers of all variants. Close it after them.
+    """
+
+    def __init__(self, relation: DataFrame, params: Params = Params()) -> None:
+        self.spark = relation.sparkSession
+        self._pairs = write_table(observed_pairs(relation), "training-pairs")
+        n_blocks = params.blocks or self._block_count(self._pairs.count())
+        self.user_blocks, self.item_blocks = together(
+            self.spark,
+            lambda: build_blocks(self._pairs, "user_idx", "item_idx", n_blocks, params.hot_degree),
+            lambda: build_blocks(self._pairs, "item_idx", "user_idx", n_blocks, params.hot_degree),
+        )
+
+    def _block_count(self, n_pairs: int) -> int:
+        return max(1, min(self.spark.sparkContext.defaultParallelism, -(-n_pairs // 4096)))
+
+    def close(self) -> None:
+        """Release the cached blocks and the tables."""
+        self.user_blocks.close()
+        self.item_blocks.close()
+        drop_table(self._pairs)
+
+
 class Trainer:
     """The layout of one training relation and the current factors.
 
@@ -80,6 +115,7 @@ class Trainer:
         n_items: int,
         params: Params = Params(),
         init: tuple[DataFrame, DataFrame] | None = None,
+        layout: Layout | None = None,
     ) -> None:
         if n_users == 0 or n_items == 0:
             raise ValueError(
@@ -89,13 +125,9 @@ class Trainer:
         self.spark = relation.sparkSession
         self.epochs_done = 0
         self._handed_out: list[DataFrame] = []  # states whose factors a caller may still read
-        pairs = self._pairs = write_table(observed_pairs(relation), "training-pairs")
-        n_blocks = params.blocks or self._block_count(pairs.count())
-        self.user_blocks, self.item_blocks = together(
-            self.spark,
-            lambda: build_blocks(pairs, "user_idx", "item_idx", n_blocks, params.hot_degree),
-            lambda: build_blocks(pairs, "item_idx", "user_idx", n_blocks, params.hot_degree),
-        )
+        self._own_layout = layout is None
+        self.layout = layout or Layout(relation, params)
+        self.user_blocks, self.item_blocks = self.layout.user_blocks, self.layout.item_blocks
         users, items = init or (
             initial_factors(self.spark, "user", n_users, params),
             initial_factors(self.spark, "item", n_items, params),
@@ -105,19 +137,13 @@ class Trainer:
         items = packed(items).join(confidence, "idx")
         self.users, self.items = together(
             self.spark,
-            lambda: self._state(users, self.user_blocks, self.item_blocks, "users"),
-            lambda: self._state(items, self.item_blocks, self.user_blocks, "items"),
+            lambda: self._state(users, self.user_blocks, "users"),
+            lambda: self._state(items, self.item_blocks, "items"),
         )
 
-    def _block_count(self, n_pairs: int) -> int:
-        by_size = -(-n_pairs // self.params.pairs_per_block)
-        by_cores = min(self.spark.sparkContext.defaultParallelism, -(-n_pairs // 4096))
-        return max(by_size, by_cores, 1)
-
     @staticmethod
-    def _state(vectors: DataFrame, own: Blocks, other: Blocks, name: str) -> DataFrame:
-        state = own.with_home(vectors).join(other.routes, "idx", "left")
-        return write_table(state.select(*STATE_NAMES), f"{name}-0")
+    def _state(vectors: DataFrame, own: Blocks, name: str) -> DataFrame:
+        return write_table(own.with_home(vectors).select(*STATE_NAMES), f"{name}-0")
 
     def user_step(self) -> None:
         """Update all users from the items."""
@@ -135,20 +161,18 @@ class Trainer:
     def _half_step(self, blocks: Blocks, sources: DataFrame, targets: DataFrame, name: str) -> DataFrame:
         k, reg = self.params.factors, self.params.reg
         gram = gram_array(sources, k)
-        inbound = sources.select(
-            F.explode(F.split("routes", ",").cast("array<int>")).alias("block"),
-            F.lit(SOURCE).alias("role"), "idx", "c", "vec", F.lit(None).cast("string").alias("routes"),
+        inbound = sources.join(blocks.routes, "idx").select(
+            F.explode("blocks").alias("block"), F.lit(SOURCE).alias("role"), "idx", "c", "vec"
         ).unionByName(
             targets.filter(F.col("home") != HOT_HOME).select(
-                F.col("home").alias("block"), F.lit(TARGET).alias("role"), "idx", "c", "vec", "routes"
+                F.col("home").alias("block"), F.lit(TARGET).alias("role"), "idx", "c", "vec"
             )
         )
         if blocks.hot_shares is not None:
             weights = _hot(targets).select("idx", "c")
             inbound = inbound.unionByName(
                 blocks.hot_shares.join(weights, "idx").select(
-                    "block", F.lit(SHARE).alias("role"), "idx", "c",
-                    F.lit(None).cast("binary").alias("vec"), F.lit(None).cast("string").alias("routes"),
+                    "block", F.lit(SHARE).alias("role"), "idx", "c", F.lit(None).cast("binary").alias("vec")
                 )
             )
 
@@ -186,7 +210,7 @@ class Trainer:
                 ndcg = None if metrics["ndcg"] is None else round(metrics["ndcg"], 4)
             records.append((variant, self.epochs_done, seconds, hr, ndcg))
         history = self.spark.createDataFrame(records, HISTORY_SCHEMA)
-        return FitResult(self.user_factors, self.item_factors, history, records)
+        return FitResult(self.user_factors, self.item_factors, history, records, (self.users, self.items))
 
     @property
     def user_factors(self) -> DataFrame:
@@ -201,10 +225,12 @@ class Trainer:
         return unpacked(self.items)
 
     def close(self) -> None:
-        """Release the cached blocks and the pairs; factors that were handed out stay readable."""
-        self.user_blocks.close()
-        self.item_blocks.close()
-        drop_table(self._pairs)
+        """Release the trainer's own layout and states; factors that were handed out stay readable."""
+        if self._own_layout:
+            self.layout.close()
+        for state in (self.users, self.items):
+            if not any(state is table for table in self._handed_out):
+                drop_table(state)
 
     def __enter__(self) -> Trainer:
         return self
@@ -216,10 +242,10 @@ class Trainer:
 def fit(
     relation: DataFrame, confidence: DataFrame, n_users: int, n_items: int, params: Params = Params(),
     init: tuple[DataFrame, DataFrame] | None = None, evaluator: MetricsOf | None = None,
-    variant: str = "model",
+    variant: str = "model", layout: Layout | None = None,
 ) -> FitResult:
-    """Lay out the relation, train for `params.epochs` epochs, release the layout."""
-    with Trainer(relation, confidence, n_users, n_items, params, init) as trainer:
+    """Train for `params.epochs` epochs on a given layout, or on one of its own."""
+    with Trainer(relation, confidence, n_users, n_items, params, init, layout) as trainer:
         return trainer.fit(evaluator=evaluator, variant=variant)
 
 
@@ -259,7 +285,7 @@ def _block_update(k: int, reg: float, gram: np.ndarray) -> Callable[[pa.Table, p
         finished = pa.table(
             [
                 targets["idx"], targets["c"], from_matrix(target_vec),
-                pa.array(np.full(len(target_idx), block, np.int32)), targets["routes"],
+                pa.array(np.full(len(target_idx), block, np.int32)),
                 pa.nulls(len(target_idx), pa.int32()),
                 pa.nulls(len(target_idx), pa.list_(pa.float64())),
             ],
@@ -274,7 +300,6 @@ def _block_update(k: int, reg: float, gram: np.ndarray) -> Callable[[pa.Table, p
                 pa.array(np.repeat(share_idx, k)), pa.array(np.repeat(share_c, k)),
                 pa.nulls(hot_rows, pa.binary()),
                 pa.array(np.full(hot_rows, HOT_HOME, np.int32)),
-                pa.nulls(hot_rows, finished.schema.field("routes").type),
                 pa.array(np.tile(np.arange(k, dtype=np.int32), len(share_idx))),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(share_sums.ravel())),
             ],
@@ -302,7 +327,7 @@ def _solve_hot(equations: DataFrame, hot: DataFrame, k: int, reg: float, gram: n
             c = batch.column("c").to_numpy(zero_copy_only=False)
             new = sweep_normal(old, c, sums, gram, reg)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("idx"), batch.column("c"), from_matrix(new), batch.column("home"), batch.column("routes")],
+                [batch.column("idx"), batch.column("c"), from_matrix(new), batch.column("home")],
                 names=STATE_NAMES,
             )
 

@@ -7,10 +7,13 @@ produced it, and its schema is known, so reading it back starts no job.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import cache
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,18 +24,25 @@ _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a temporary one only for a local master."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of `spark.checkpoint.dir`.
+
+    Without that setting, a local master gets a temporary folder of this process, which goes
+    when the process ends; the session is left as it is.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="tacitrec-")
-    context.setCheckpointDir(own)
-    return context.getCheckpointDir().rstrip("/")
+    return "file://" + _own_dir()
+
+
+@cache
+def _own_dir() -> str:
+    folder = tempfile.mkdtemp(prefix="tacitrec-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import tacitrec as tr
-from tacitrec.operators.sample import smallest_digests
+from tacitrec.operators.sample import row_digest, smallest_digests
 from tacitrec.sources.ratings import read_ratings, write_ratings
 
 
@@ -40,11 +40,30 @@ def test_spellings_of_missing_ids_are_dropped(spark, tmp_path, token):
     assert rows_of(tr.interactions(read_ratings(spark, path)), "user_id") == [("u1",)]
 
 
-@pytest.mark.parametrize("line", ["u1,i1,5.0,abc", "u1,i1,5.0,1.5", "u1,i1,5.0", "u1,i1,5.0,"])
-def test_malformed_times_fail(spark, tmp_path, line):
-    path = write_lines(tmp_path / "r.csv", line)
+@pytest.mark.parametrize("token", ["NA", "null", "", "NaN"])
+def test_spellings_of_missing_ratings_are_null(spark, tmp_path, token):
+    path = write_lines(tmp_path / "r.csv", "u1,i1,5.0,100", f"u2,i2,{token},101")
+    assert [row["rating"] for row in read_ratings(spark, path).orderBy("user_id").collect()] == [5.0, None]
+
+
+@pytest.mark.parametrize("line", [
+    "u1,i1,5.0,abc", "u1,i1,5.0,1.5", "u1,i1,5.0", "u1,i1,5.0,", "u1,i1,abc,5", "u1,i1,5.0,5,6", "u1,i1,5d,5", "u1,i1,5.0,NA",
+])
+@pytest.mark.parametrize("use", [
+    lambda ratings: tr.interactions(ratings).collect(),
+    lambda ratings: ratings.count(),
+    lambda ratings: ratings.select("item_id").collect(),
+    lambda ratings: ratings.collect(),
+])
+def test_malformed_lines_fail_whatever_is_selected(spark, tmp_path, line, use):
+    path = write_lines(tmp_path / "r.csv", "u0,i0,1.0,1", line)
     with pytest.raises((PySparkException, Py4JError)):
-        tr.interactions(read_ratings(spark, path)).collect()
+        use(read_ratings(spark, path))
+
+
+def test_quoted_ids(spark, tmp_path):
+    path = write_lines(tmp_path / "r.csv", '"x""y","a,b",5.0,100', "plain,back\\slash,1,2")
+    assert rows_of(read_ratings(spark, path), "user_id", "item_id") == [("plain", "back\\slash"), ('x"y', "a,b")]
 
 
 def test_ratings_round_trip(spark, tmp_path):
@@ -57,31 +76,38 @@ def test_ratings_round_trip(spark, tmp_path):
 # --- k-core -------------------------------------------------------------------------
 
 def test_core_counts_rows_not_partners(interactions_of):
-    rows = interactions_of([
-        ("u1", "i1", 100), ("u1", "i1", 101), ("u1", "i2", 102), ("u1", "i2", 103), ("u2", "i1", 104),
-    ])
-    core = tr.kcore(rows, 2)
-    assert core.n_rows == 4
-    assert rows_of(core.rows.distinct(), "user_id") == [("u1",)] * 4
+    rows = [("ann", "p", t) for t in (3, 1, 2)] + [("ann", "q", t) for t in (9, 8, 7)]
+    core = tr.kcore(interactions_of([*rows, ("bob", "p", 4), ("bob", "q", 5)]), 3)
+    assert core.n_rows == 6
+    assert rows_of(core.rows, "*") == sorted(rows)
 
 
 def test_core_cascades(interactions_of):
-    rows = interactions_of([
-        ("u1", "i1", 100), ("u1", "i2", 101), ("u2", "i1", 102), ("u2", "i2", 103),
-        ("u3", "i1", 104), ("u3", "i4", 105),
-    ])
-    core = tr.kcore(rows, 2)
-    assert {row["user_id"] for row in core.rows.collect()} == {"u1", "u2"}
-    assert (core.passes, core.n_rows, core.n_users, core.n_items) == (3, 4, 2, 2)
+    """A ring of three readers and three books stays; a tail that hangs on it comes off link by link."""
+    ring = [("a", "p", 1), ("a", "q", 2), ("b", "q", 3), ("b", "r", 4), ("c", "r", 5), ("c", "p", 6)]
+    tail = [("d", "p", 7), ("d", "x", 8), ("e", "x", 9), ("e", "y", 10)]
+    core = tr.kcore(interactions_of(tail + ring), 2)
+    assert rows_of(core.rows, "*") == sorted(ring)
+    assert (core.passes, core.n_rows, core.n_users, core.n_items) == (5, 6, 3, 3)
 
 
 def test_core_may_be_empty(interactions_of):
-    core = tr.kcore(interactions_of([("u1", "i1", 100), ("u2", "i2", 101)]), 10)
+    core = tr.kcore(interactions_of([("a", "p", 1), ("b", "q", 2), ("b", "r", 3)]), 4)
     assert core.is_empty and core.rows.count() == 0
     assert (core.passes, core.n_users, core.n_items) == (2, 0, 0)
     assert core.rows.columns == ["user_id", "item_id", "timestamp"]
 
 
+def test_core_over_many_passes(interactions_of):
+    """More passes than lie between two rewrites of the pairs."""
+    chain = [(f"u{n}", f"i{n + d}", n) for n in range(23) for d in (0, 1)]
+    ring = [("a", "p", 1), ("a", "q", 2), ("b", "q", 3), ("b", "p", 4)]
+    expected, passes = naive_core(chain + ring, 2)
+    core = tr.kcore(interactions_of(chain + ring), 2)
+    assert rows_of(core.rows, "*") == sorted(expected) == sorted(ring)
+    assert core.passes == passes > 20
+
+
 def naive_core(rows, k):
     passes = 0
     while True:
@@ -115,12 +141,12 @@ def test_core_equals_the_naive_loop(interactions_of, pairs, k):
 # --- sampling -----------------------------------------------------------------------
 
 def test_sample_is_repeatable_and_exact(interactions_of):
-    rows = interactions_of([(f"u{i}", f"i{i % 3}", 100 + i) for i in range(50)])
-    first = tr.sample_exact(rows, 0.5, rows.columns, 42)
-    assert first.count() == 25
-    assert rows_of(first, "*") == rows_of(tr.sample_exact(rows.repartition(7), 0.5, rows.columns, 42), "*")
-    assert rows_of(first, "*") != rows_of(tr.sample_exact(rows, 0.5, rows.columns, 43), "*")
-    assert tr.sample_exact(rows, 1.0, rows.columns).count() == 50
+    rows = interactions_of([(f"r{i % 11}", f"m{i // 4}", 1000 - i) for i in range(44)])
+    first = tr.sample_exact(rows, 0.25, rows.columns, 6)
+    assert first.count() == 11
+    assert rows_of(first, "*") == rows_of(tr.sample_exact(rows.repartition(7), 0.25, rows.columns, 6), "*")
+    assert rows_of(first, "*") != rows_of(tr.sample_exact(rows, 0.25, rows.columns, 7), "*")
+    assert tr.sample_exact(rows, 1.0, rows.columns).count() == 44
 
 
 @pytest.mark.parametrize("n, expected", [(1, 0), (3, 2), (5, 2), (7, 4), (9, 4)])
@@ -130,20 +156,17 @@ def test_sample_size_rounds_halves_to_even(interactions_of, n, expected):
 
 
 @pytest.mark.parametrize("n", [1, 37, 500, 999, 1000, 1200])
-def test_histogram_path_equals_a_sort(spark, monkeypatch, n):
+def test_sample_equals_a_sort(spark, monkeypatch, n):
     import tacitrec.operators.sample as sample
 
     rows = spark.range(1000).select(F.col("id").cast("string").alias("user_id"))
-    by_sort = rows_of(smallest_digests(rows, n, ["user_id"], 7), "user_id")
-    monkeypatch.setattr(sample, "TAIL_ROWS", 3)
-    monkeypatch.setattr(sample, "PREFIX_STEP", 1)
-    assert rows_of(smallest_digests(rows, n, ["user_id"], 7), "user_id") == by_sort
-
+    by_sort = rows.orderBy(row_digest(["user_id"], 7)).limit(n).collect()
+    for step in (1, 3):
+        monkeypatch.setattr(sample, "PREFIX_STEP", step)
+        assert rows_of(smallest_digests(rows, n, ["user_id"], 7), "user_id") == sorted(tuple(r) for r in by_sort)
 
-def test_histogram_path_with_very_many_copies_of_a_row(spark, monkeypatch):
-    import tacitrec.operators.sample as sample
 
-    monkeypatch.setattr(sample, "TAIL_ROWS", 3)
+def test_sample_with_very_many_copies_of_a_row(spark):
     rows = spark.range(300).select(F.when(F.col("id") < 200, 0).otherwise(F.col("id")).alias("user_id"))
     taken = smallest_digests(rows, 150, ["user_id"], 7).collect()
     counts = {}
@@ -153,6 +176,16 @@ def test_histogram_path_with_very_many_copies_of_a_row(spark, monkeypatch):
     assert all(count == 1 for user, count in counts.items() if user)
 
 
+@pytest.mark.parametrize("fraction, size", [(0.5, 3), (0.34, 2), (0.2, 1), (0.84, 5)])
+def test_sample_size_with_ids_that_read_alike(spark, fraction, size):
+    rows = [("a|b", "c", n) for n in range(2)] + [("a", "b|c", n) for n in range(2)] + [(None, "x", 1), ("", "x", 1)]
+    table = spark.createDataFrame(rows, "user_id string, item_id string, n int")
+    for key in (["user_id", "item_id"], ["n"], table.columns):
+        taken = tr.sample_exact(table, fraction, key)
+        assert taken.count() == size and set(rows_of(taken.fillna("-"), "n")) <= {(0,), (1,)}
+    assert taken.distinct().count() == size
+
+
 # --- encoding -----------------------------------------------------------------------
 
 def test_dictionary_numbers_strings_in_code_point_order(interactions_of):
@@ -186,16 +219,17 @@ SPLIT = "user_idx bigint, item_idx bigint, timestamp bigint"
 
 
 def test_last_row_is_held_out(spark):
-    train, test = tr.leave_one_out(spark.createDataFrame([(0, 10, 100), (0, 20, 300), (0, 30, 200)], SPLIT))
-    assert rows_of(test, "item_idx") == [(20,)]
-    assert rows_of(train, "item_idx") == [(10,), (30,)]
+    rows = [(4, 7, 50), (4, 9, 90), (4, 5, 70), (4, 1, 10)]
+    train, test = tr.leave_one_out(spark.createDataFrame(rows, SPLIT))
+    assert rows_of(test, "item_idx") == [(9,)]
+    assert rows_of(train, "item_idx") == [(1,), (5,), (7,)]
 
 
 def test_split_is_disjoint_and_complete(spark):
-    rows = [(0, 1, 1), (0, 2, 2), (1, 3, 3), (1, 4, 4), (1, 5, 5)]
+    rows = [(6, 8, 9), (2, 8, 5), (7, 3, 1), (6, 1, 7), (2, 3, 4), (6, 2, 8)]
     train, test = tr.leave_one_out(spark.createDataFrame(rows, SPLIT))
-    assert rows_of(train, "*") == [(0, 1, 1), (1, 3, 3), (1, 4, 4)]
-    assert rows_of(test, "*") == [(0, 2, 2), (1, 5, 5)]
+    assert rows_of(train, "*") == [(2, 3, 4), (6, 1, 7), (6, 2, 8)]
+    assert rows_of(test, "*") == [(2, 8, 5), (6, 8, 9), (7, 3, 1)]
 
 
 def test_one_of_several_copies_is_held_out(spark):
@@ -213,18 +247,17 @@ def confidences(spark, items, n_items, c0, alpha):
 
 
 def test_uniform_confidence(spark):
-    assert confidences(spark, [0, 0, 1, 2, 2, 2], 3, 30.0, 0) == [10.0, 10.0, 10.0]
+    assert confidences(spark, [1, 3, 1, 0, 1], 4, 20.0, 0) == [5.0, 5.0, 5.0, 5.0]
 
 
-@pytest.mark.parametrize("items, expected", [
-    ([0, 0, 1, 2, 2, 2], [21.82920815, 15.43558111, 26.73521073]),
-    ([0, 1, 2, 2, 2, 2], [16.0, 16.0, 32.0]),
-    ([0, 0, 1, 1], [31.9999774, 31.9999774, 4.52548020e-05]),
+@pytest.mark.parametrize("items, n_items, c0, alpha", [
+    ([4, 4, 4, 1, 0, 1], 5, 12.0, 0.5), ([2, 2, 0], 3, 7.0, 1.0), ([0, 3, 3, 3, 3, 1, 1, 2], 4, 100.0, 0.3),
 ])
-def test_popularity_confidence(spark, items, expected):
-    weights = confidences(spark, items, 3, 64.0, 0.5)
-    assert weights == pytest.approx(expected, rel=1e-8)
-    assert sum(weights) == pytest.approx(64.0)
+def test_popularity_confidence(spark, items, n_items, c0, alpha):
+    share = [max(items.count(i) / len(items), 1e-12) ** alpha for i in range(n_items)]
+    weights = confidences(spark, items, n_items, c0, alpha)
+    assert weights == pytest.approx([c0 * s / sum(share) for s in share], rel=1e-9)
+    assert sum(weights) == pytest.approx(c0)
 
 
 def test_confidence_tends_to_uniform(spark):
@@ -234,9 +267,9 @@ def test_confidence_tends_to_uniform(spark):
 # --- preparation --------------------------------------------------------------------
 
 def test_preparing_nothing_fails_with_an_explanation(interactions_of):
-    rows = interactions_of([("u1", "i1", 100), ("u2", "i2", 101)])
+    rows = interactions_of([("a", "p", 1), ("b", "q", 2), ("b", "r", 3)])
     with pytest.raises(ValueError, match="min_interactions"):
-        tr.prepare(rows, tr.Params(min_interactions=10, sample_fraction=1.0))
+        tr.prepare(rows, tr.Params(min_interactions=4))
 
 
 def test_summaries(spark):

@@ -85,9 +85,7 @@ def test_users_who_have_seen_everything_get_nothing(spark, factors_of):
     assert [tuple(row) for row in lists] == [(1, 1, 4.0, 1)]
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_lists_for_some_users_only(spark, factors_of, monkeypatch, few):
-    monkeypatch.setattr(tr.plans.recommend, "FEW_USERS", few)
+def test_lists_for_some_users_only(spark, factors_of):
     p, q, train, _ = random_case(25, 30, 4, 13, True)
     users, items = factors_of(p), factors_of(q)
     train_rows = spark.createDataFrame(train, PAIRS)

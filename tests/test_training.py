@@ -1,11 +1,11 @@
 """Factor updates: published values, the naive rule, layout independence, skew."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import matrix_of
 
 import tacitrec as tr
-from tacitrec.functions.sweep import normal_sums, sweep_normal, sweep_pairs
 
 RELATION = "user_idx bigint, item_idx bigint, r double, w double"
 
@@ -72,8 +72,13 @@ def test_golden_epoch(spark, factors_of, blocks, hot_degree):
     result = trainer.fit(1)
     np.testing.assert_allclose(matrix_of(result.users), P1, rtol=1e-12)
     np.testing.assert_allclose(matrix_of(result.items), Q1, rtol=1e-12)
-    scores = tr.predict_all(result.users, result.items).orderBy("user_idx").collect()
-    np.testing.assert_allclose([row["scores"] for row in scores], np.array(P1) @ np.array(Q1).T, rtol=1e-12)
+
+    def best(batch):
+        return pa.RecordBatch.from_arrays([pa.array(batch.users), pa.array(batch.scores.max(1))], names=["user_idx", "most"])
+
+    most = tr.predict_all(result.users, result.items, best, "user_idx bigint, most double").groupBy("user_idx").max("most")
+    scores = (np.array(P1) @ np.array(Q1).T).max(1)
+    np.testing.assert_allclose([row[1] for row in most.orderBy("user_idx").collect()], scores, rtol=1e-12)
 
 
 def random_case(seed, n_users=23, n_items=17, k=5, n_rows=260):
@@ -173,19 +178,7 @@ def test_observed_weight_is_honoured(spark, factors_of):
     np.testing.assert_allclose(matrix_of(result.items), expected[1], rtol=1e-12)
 
 
-def test_the_two_sweeps_agree():
-    rng = np.random.default_rng(5)
-    sizes = np.array([1, 7, 30, 2])
-    n, k = sizes.sum(), 9
-    x, partners = rng.normal(size=(4, k)), rng.normal(size=(n, k))
-    c_x, weight, swr = rng.uniform(0.1, 1, 4), rng.uniform(0.1, 2, n), rng.uniform(0, 2, n)
-    gram = partners.T @ partners
-    left = sweep_normal(x, c_x, normal_sums(sizes, partners, weight, swr), gram, 0.01)
-    right = sweep_pairs(x, c_x, sizes, partners, weight, swr, gram, 0.01)
-    np.testing.assert_allclose(left, right, atol=1e-12)
-
-
-def test_many_factors_take_the_other_way(spark, factors_of):
+def test_many_factors(spark, factors_of):
     rng = np.random.default_rng(6)
     k = 100
     rows = [(int(u), int(i), 1.0, 1.0) for u, i in rng.integers(0, 6, (20, 2))]
