@@ -54,16 +54,21 @@ literal{level} as (
     on c.host = t.host and c.template = t.template
     where c.n >= {p.min_support} and c.n >= total * {p.min_share}
 ),
-sums{level} as (
-    select *, sum(labelled) over s - labelled as others, sum(bad) over s - bad as their_bad, count(*) over s as width
-    from literal{level} window s as (partition by host, template)
+lagged{level} as (
+    select *, lag(labelled) over s as seen, lag(bad) over s as was_bad, lag(rate) over s as was
+    from (select *, case when labelled > 0 then bad / labelled end as rate from literal{level})
+    window s as (partition by host, template order by rate nulls last, segment)
+),
+started{level} as (
+    select *, sum(starts) over (partition by host, template order by rate nulls last, segment) as cluster from (
+        select *, case when seen is null then 0 when rate is null then case when was is null then 0 else 1 end
+            when rate - was > {p.max_z} * sqrt(mean * (1 - mean) * (1 / labelled + 1 / seen)) then 1 else 0 end as starts
+        from (select *, (bad + was_bad) / nullif(labelled + seen, 0) as mean from lagged{level}))
 ),
-means{level} as (select *, (bad + their_bad) / nullif(labelled + others, 0) as mean from sums{level}),
 tokens{level} as (
-    select host, template, segment, case when width = 1 or (labelled > 0 and others > 0
-        and abs(bad / labelled - their_bad / others) > {p.max_z} * sqrt(mean * (1 - mean) * (1 / labelled + 1 / others)))
-        then segment else '+' end as token
-    from means{level}
+    select host, template, segment, case when count(*) over (partition by host, template, cluster) > 1
+        then '+' || cluster::varchar else segment end as token
+    from started{level}
 ),
 tree{level + 1} as (
     select t.host, path, segments, case when len(segments) <= {level} then t.template

@@ -1,9 +1,9 @@
 """URL filter: a tree of path templates per host, judged by labelled purity.
 
 Paths are taken level by level from the root. A segment stays literal if it holds a share of its
-parent's urls; the others, such as ids and slugs, become the wildcard `*`. Literal siblings whose
-labelled rates do not differ (two-proportion z test of a branch against its siblings) are merged
-into `+`. A path of more than `depth` segments ends in `**`. The leaves are the templates. The
+parent's urls; the others, such as ids and slugs, become the wildcard `*`. Literal siblings are
+put in the order of their labelled bad shares, and neighbours that do not differ by a
+two-proportion z test are merged into `+0`, `+1` and so on. A path of more than `depth` segments ends in `**`. The leaves are the templates. The
 purity of a template is its good share, smoothed towards its host's, which is smoothed towards
 the share of all labelled urls; templates below `min_purity` are blocked. Rules by host and path
 prefix come before the tree.
@@ -70,17 +70,23 @@ def _branches(urls: DataFrame, level: int, p: TemplateParams) -> DataFrame:
     literal = children.filter(F.col("n") >= p.min_support).join(parents, ["host", "template"]).filter(
         F.col("n") >= F.col("all") * p.min_share
     )
-    siblings = Window.partitionBy("host", "template")  # at most 1 / min_share rows
-    others, their_bad = (F.sum(c).over(siblings) - F.col(c) for c in ("labelled", "bad"))
-    sums = literal.select("*", others.alias("others"), their_bad.alias("their_bad"), F.count("*").over(siblings).alias("width"))
-    mean = (F.col("bad") + F.col("their_bad")) / (F.col("labelled") + F.col("others"))
-    spread = F.sqrt(mean * (1 - mean) * (1 / F.col("labelled") + 1 / F.col("others")))
-    apart = F.abs(F.col("bad") / F.col("labelled") - F.col("their_bad") / F.col("others"))
-    differs = (F.col("labelled") > 0) & (F.col("others") > 0) & (apart > p.max_z * spread)
-    alone = F.col("width") == 1
-    return sums.select(
-        "host", "template", "segment", F.when(alone | differs, F.col("segment")).otherwise("+").alias("token")
+    # Literal siblings, at most 1 / min_share of them, in the order of their bad shares: a branch
+    # that does not differ from the one before it is merged with it. Unlabelled ones come last.
+    rated = literal.withColumn("rate", F.when(F.col("labelled") > 0, F.col("bad") / F.col("labelled")))
+    siblings = Window.partitionBy("host", "template").orderBy(F.col("rate").asc_nulls_last(), "segment")
+    lagged = rated.withColumns({
+        "seen": F.lag("labelled").over(siblings), "was_bad": F.lag("bad").over(siblings), "was": F.lag("rate").over(siblings),
+    })
+    mean = (F.col("bad") + F.col("was_bad")) / (F.col("labelled") + F.col("seen"))
+    spread = F.sqrt(mean * (1 - mean) * (1 / F.col("labelled") + 1 / F.col("seen")))
+    starts = (
+        F.when(F.col("seen").isNull(), 0).when(F.col("rate").isNull(), F.when(F.col("was").isNull(), 0).otherwise(1))
+        .when(F.col("rate") - F.col("was") > p.max_z * spread, 1).otherwise(0)
     )
+    started = lagged.withColumn("starts", starts).withColumn("cluster", F.sum("starts").over(siblings))
+    width = F.count("*").over(Window.partitionBy("host", "template", "cluster"))
+    token = F.when(width > 1, F.concat(F.lit("+"), F.col("cluster").cast("string"))).otherwise(F.col("segment"))
+    return started.select("host", "template", "segment", token.alias("token"))
 
 
 def template_verdicts(
