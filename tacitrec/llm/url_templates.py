@@ -3,10 +3,10 @@
 Paths are taken level by level from the root. A segment stays literal if it holds a share of its
 parent's urls; the others, such as ids and slugs, become the wildcard `*`. Literal siblings are
 put in the order of their labelled bad shares, and neighbours that do not differ by a
-two-proportion z test are merged into `+0`, `+1` and so on. A path of more than `depth` segments ends in `**`. The leaves are the templates. The
-purity of a template is its good share, smoothed towards its host's, which is smoothed towards
-the share of all labelled urls; templates below `min_purity` are blocked. Rules by host and path
-prefix come before the tree.
+two-proportion z test are merged into `+0`, `+1` and so on. A path of more than `depth` segments
+ends in `**`. The leaves are the templates. The purity of a template is its good share, smoothed
+towards its host's, which is smoothed towards the share of all labelled urls; templates below
+`min_purity` are blocked. Rules by host and path prefix come before the tree.
 
 Every level works on distinct (host, path) with counts, so repeated urls and hot hosts are added
 up before they are shuffled; a branch table holds at most 1 / min_share literals per parent. Only
