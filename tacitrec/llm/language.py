@@ -66,7 +66,13 @@ def words_of(texts: list[str | None]) -> Words:
             words.append(distinct)
             counts.append(n)
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return Words(list(numbers), join(docs), join(words), join(counts))
+    doc, word, count = join(docs), join(words), join(counts)
+    # The pattern also lets signs like a raised two pass; a word needs a letter.
+    lettered = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in numbers], bool)
+    if not lettered.all():
+        kept = lettered[word]
+        doc, word, count = doc[kept], word[kept], count[kept]
+    return Words(list(numbers), doc, word, count)
 
 
 def ngram_buckets(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -194,9 +194,9 @@ def test_single_and_mixed_texts(docs_of, model):
 
 
 def test_odd_texts_have_results(docs_of, model):
-    docs = docs_of([*ODD_TEXTS, "123 456", "_ - !"]).withColumn("score", F.lit("x"))
+    docs = docs_of([*ODD_TEXTS, "123 456", "_ - !", "² ½", "m² der"]).withColumn("score", F.lit("x"))
     rows = identify(docs, model).orderBy("doc_id").collect()
-    assert len(rows) == len(ODD_TEXTS) + 2
+    assert len(rows) == len(ODD_TEXTS) + 4
     for r in rows:
         letters = any(c.isalpha() for c in r["text"] or "")
         assert (r["lang_pred"] != "und") == letters and 0 <= r["score"] <= 1
