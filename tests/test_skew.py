@@ -91,3 +91,27 @@ def test_skewed_core(spark, skewed):
         once = spark.createDataFrame(smaller.collect(), rows.schema)
     assert sorted(map(tuple, core.rows.collect())) == sorted(map(tuple, once.collect()))
     assert 0 < core.n_rows < len(skewed)
+
+
+def test_skew_without_broadcasts(spark, factors_of, skewed):
+    """The same results when no join may send a side to all tasks."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        rng = np.random.default_rng(23)
+        p, q = rng.normal(0, 0.3, (N_USERS, K)), rng.normal(0, 0.3, (N_ITEMS, K))
+        c = rng.uniform(0.05, 0.4, N_ITEMS)
+        rows = [(u, i, 1.0, 1.0) for u, i in skewed]
+        result = tr.Trainer(
+            spark.createDataFrame(rows, RELATION), confidence_of(spark, c.tolist()), N_USERS, N_ITEMS,
+            tr.Params(factors=K, hot_degree=12, blocks=6), (factors_of(p), factors_of(q)),
+        ).fit(1)
+        expected = naive_epoch(p, q, rows, c, 0.01)
+        np.testing.assert_allclose(matrix_of(result.items), expected[1], atol=1e-9)
+        pairs = spark.createDataFrame(sorted(set(skewed)), "user_idx bigint, item_idx bigint")
+        scores = {(r["user_idx"], r["item_idx"]): r["score"] for r in tr.score_pairs(pairs, factors_of(p), factors_of(q)).collect()}
+        assert set(scores) == set(skewed)
+        assert all(abs(s - p[u] @ q[i]) < 1e-12 for (u, i), s in scores.items())
+    finally:
+        spark.conf.set(key, before)
