@@ -57,6 +57,13 @@ def bucketed_table(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table)
 
 
+def partitioned_table(df: DataFrame, column: str, name: str) -> tuple[DataFrame, str]:
+    """Write `df` in one folder per value of `column`, its last; return the table and its path."""
+    path = new_path(df.sparkSession, name)
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     """The columns of `df` without those named, then the named ones: ours win on a clash of names."""
     taken = {name.lower() for name in columns}

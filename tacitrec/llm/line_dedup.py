@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacitrec.llm.common import BLANKS, UPPER, delete_path, lower_ascii, replaced
-from tacitrec.tables import drop_table, new_path, write_table
+from tacitrec.llm.common import BLANKS, UPPER, delete_path, lower_ascii, partitioned_table, replaced
+from tacitrec.tables import new_path, write_table
 
 
 def line_key(line: Column) -> Column:
@@ -127,9 +127,9 @@ def drop_frequent_lines(
 ) -> DataFrame:
     """`df` without the lines that stand in `min_docs` documents, with `n_lines` and `n_dropped`."""
     spark = df.sparkSession
-    lines = write_table(
-        lines_of(df, text, min_chars).withColumn("batch", F.pmod(F.xxhash64("text_digest"), F.lit(batches))), "document-lines"
-    )
+    # A folder per batch, so that a batch reads its own lines only.
+    batch = F.pmod(F.xxhash64("text_digest"), F.lit(batches)).cast("int")
+    lines, path = partitioned_table(lines_of(df, text, min_chars).withColumn("batch", batch), "batch", "document-lines")
     runs = LineRuns(spark, min_docs, fanout)
     for number in range(batches):
         runs.add(lines.filter(F.col("batch") == number))
@@ -139,7 +139,7 @@ def drop_frequent_lines(
         "dropped-lines",
     )
     runs.close()
-    drop_table(lines)
+    delete_path(spark, path)
     joined = df.join(drops, text_digest(F.col(f"`{text}`")) == F.col("__digest"), "left")
     rebuild = F.pandas_udf(_rebuild, "text string, n_lines bigint, n_dropped bigint")
     result = joined.withColumn("__new", rebuild(F.col(f"`{text}`"), F.col("__drops")))
