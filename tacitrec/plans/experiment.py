@@ -45,7 +45,8 @@ def split_dataset(
 ) -> Dataset:
     """Encode ids and hold out each user's last interaction.
 
-    `users` and `items` may hold the ids that occur, where they are known already. Train and test carry indices only; `decode` brings the ids back.
+    `users` and `items` may hold the ids that occur, where they are known already. Train and
+    test carry indices only; `decode` brings the ids back.
     """
     encoded = encode_ids(rows, users, items)
     if encoded.n_users == 0 or encoded.n_items == 0:
