@@ -2,9 +2,10 @@
 
 Zstandard tells repetitive text (it shrinks too much) from text without structure (it hardly
 shrinks). Both limits depend on the length, as short text always shrinks less. The whole text
-and its chunks of fixed size are compressed; a document fails if the whole lies outside its band
-or if more than `bad_share` of the bytes lie in chunks outside theirs. Chunks find a repetitive
-or random passage in an otherwise ordinary document.
+and its chunks of fixed size are compressed; a document fails if the whole lies outside its band,
+if more than `bad_share` of the bytes lie in chunks outside theirs, or if `bad_run` such chunks
+follow each other. Chunks find a repetitive or random passage in an otherwise ordinary document;
+a text that fits in one chunk is cut into short ones.
 
 A few plain counts come along, and base rules on them come before the bands. All of it is per
 document: no shuffle, and a task holds one Arrow batch. Null text has no words and fails the
@@ -25,15 +26,20 @@ from pyspark.sql import functions as F
 from tacitrec.llm.common import BLANKS, replaced
 
 # (bytes from, smallest ratio, largest ratio). Prose lies well inside: at 1 kB near 0.5 to 0.6,
-# at 100 kB near 0.35 to 0.45. Under 128 bytes the frame itself decides, so there is no band.
+# at 100 kB near 0.35 to 0.45. Random base64 words lie above from about 400 bytes on (0.84 at 512,
+# 0.74 in the limit). Under 128 bytes the frame itself decides, so there is no band.
 BANDS = (
     (0, 0.0, float("inf")),
     (128, 0.30, 1.10),
-    (256, 0.30, 0.88),
-    (1024, 0.26, 0.76),
-    (4096, 0.22, 0.70),
-    (16384, 0.18, 0.66),
-    (65536, 0.15, 0.64),
+    (256, 0.30, 0.86),
+    (384, 0.30, 0.82),
+    (512, 0.30, 0.79),
+    (768, 0.30, 0.76),
+    (1024, 0.26, 0.72),
+    (2048, 0.26, 0.65),
+    (4096, 0.22, 0.60),
+    (16384, 0.18, 0.54),
+    (65536, 0.15, 0.50),
 )
 
 MEASURES = (
@@ -49,7 +55,9 @@ class BandParams:
     max_repeat_percent: int = 30
     level: int = 3
     chunk_bytes: int = 4096
+    short_chunk_bytes: int = 512
     bad_share: float = 0.3
+    bad_run: int = 2
     bands: Sequence[tuple[int, float, float]] = BANDS
 
 
@@ -99,12 +107,17 @@ def measure(text: str | None, p: BandParams, compressor: zstandard.ZstdCompresso
         return ratio, not low <= ratio <= high
 
     ratio, failed = outside(data) if data else (0.0, False)
-    bad_share = 0.0
-    if len(data) > p.chunk_bytes:
-        chunks = [data[i : i + p.chunk_bytes] for i in range(0, len(data), p.chunk_bytes)]
-        bad_share = sum(len(c) for c in chunks if outside(c)[1]) / len(data)
+    size = p.chunk_bytes if len(data) > p.chunk_bytes else p.short_chunk_bytes
+    bad_bytes = run = longest = 0
+    if len(data) > size:
+        for i in range(0, len(data), size):
+            part = data[i : i + size]
+            run = run + 1 if outside(part)[1] else 0
+            bad_bytes += len(part) if run else 0
+            longest = max(longest, run)
+    bad_share = bad_bytes / len(data) if data else 0.0
     base_failed = len(words) < p.min_words or 100 * repeated > p.max_repeat_percent * len(words)
-    kept = not base_failed and not failed and bad_share <= p.bad_share
+    kept = not base_failed and not failed and bad_share <= p.bad_share and longest < p.bad_run
     return (
         len(words), len(text) - blanks, symbols, len(lines) - len(set(lines)), repeated,
         ratio, bad_share, base_failed, kept,

@@ -159,6 +159,32 @@ def test_bands_tell_texts_apart(docs_of):
     assert not any(r["base_failed"] for r in rows)
 
 
+def test_random_and_repeated_passages_of_any_length(docs_of):
+    draw = np.random.default_rng(5)
+    sounds = [a + b for a in "bdfgklmnprstvw" for b in ("a", "e", "i", "o", "u", "an", "er", "is")]
+    common = ["".join(draw.choice(sounds, draw.integers(1, 4))) for _ in range(3000)]
+    rank = 1 / np.arange(1, 3001)
+    digits = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+
+    def prose(n):
+        return " ".join(draw.choice(common, n // 4, p=rank / rank.sum()))[:n]
+
+    def noise(n):
+        return " ".join("".join(draw.choice(digits, 9)) for _ in range(n // 9 + 1))[:n]
+
+    line = "buy our cheap gold watches today "  # with a number after it, no eight words repeat
+    spam = "".join(line + str(i) + " " for i in range(100))
+    good = [prose(n) for n in (300, 900, 3900, 40_000, 400_000)]
+    bad = [
+        noise(900), noise(2340) + " " + prose(1560), prose(1200) + " " + noise(1300) + " " + prose(1200),
+        prose(288_000) + " " + noise(112_000), prose(30_000) + " " + noise(14_000) + " " + prose(300_000),
+        prose(1950) + " " + spam[:1950],
+    ]
+    rows = compression_bands(docs_of([*good, *bad])).orderBy("doc_id").collect()
+    assert [r["kept"] for r in rows] == [True] * len(good) + [False] * len(bad)
+    assert not any(r["base_failed"] for r in rows)
+
+
 def test_bands_query_is_brute_force(spark, small_tables):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small_tables}/documents.parquet").collect()}
     rows = QUERIES["op3_compression_bands"](spark, small_tables).collect()
