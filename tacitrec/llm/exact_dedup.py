@@ -4,7 +4,8 @@ A streaming aggregation keeps, per digest of the normalised text, the row that s
 points in the original text, then smallest id), where its content lies (file and row) and how
 many rows have come. The state lives in RocksDB on the executors' disks and is committed to
 `state_dir` with every micro-batch, so a lost executor costs a reload, and `advance` on files
-that came later goes on where the last call ended. Only DataFrame expressions run.
+that came later goes on where the last call ended, however old their times are. Only DataFrame
+expressions run.
 
 `verdicts` looks every row up in the state. Where a digest has several rows, their whole
 normalised texts are compared, and a digest that stands for different texts is split by the
@@ -35,6 +36,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 SALTS = 16
+# Files much older than the newest one seen would be skipped; copies and backups keep old times.
+MAX_FILE_AGE = "36500d"
 
 
 def without_blanks(text: Column) -> Column:
@@ -76,7 +79,8 @@ class StreamingDedup:
         """Take in the files that came since the last call, in micro-batches."""
         # A file source wants a folder or a pattern, and the table may be one file.
         pattern = f"{self.path[:-1]}[{self.path[-1]}]"
-        source = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(pattern)
+        reader = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files_per_batch)
+        source = reader.option("maxFileAge", MAX_FILE_AGE).parquet(pattern)
         groups = self._rows(source).groupBy("digest").agg(F.min(self._rank()).alias("keep"), F.count("*").alias("n"))
         with self._settings():  # the query copies the settings when it starts
             running = (
@@ -126,10 +130,18 @@ class StreamingDedup:
         return contents.groupBy("digest").agg(F.count("*").alias("texts")).filter(F.col("texts") > 1).select("digest")
 
     def verdicts(self) -> DataFrame:
-        """`(id, keep_id, group_size, kept, digest)` for every row."""
+        """`(id, keep_id, group_size, kept, digest)` for every row.
+
+        Fails if the files hold other rows than the state has taken in.
+        """
         rows, groups = self._rows(self._documents()), self.groups()
+        there, taken = self._documents().count(), groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if there != taken:
+            raise ValueError(f"{self.path} has {there} rows, and the state has taken in {taken}: call advance(), or start a new state")
         colliding = write_table(self.colliding(groups), "dedup-collisions")
-        looked_up = self._judged(rows.drop("normal").join(groups, "digest"))
+        found = rows.drop("normal").join(groups, "digest", "left")
+        missing = F.raise_error(F.concat(F.lit("no state for digest "), "digest"))
+        looked_up = self._judged(found.withColumn("n", F.when(F.col("n").isNull(), missing).otherwise(F.col("n"))))
         if colliding.isEmpty():
             return looked_up
         mixed = rows.join(colliding, "digest", "left_semi")

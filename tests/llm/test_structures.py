@@ -82,6 +82,23 @@ def test_state_goes_on_with_new_files(spark, docs_of, tmp_path):
     assert "rocksdb" not in str(spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")).lower()
 
 
+def test_late_files_with_old_times_are_taken_in(spark, docs_of, tmp_path):
+    path, state = str(tmp_path / "d.parquet"), new_path(spark, "state")
+    written(docs_of(["one", "two"]), path)
+    StreamingDedup(spark, path, state).advance()
+    before = set(os.listdir(path))
+    written(docs_of(["t w o", "three"], ids=[10, 11]), path, "append")
+    for name in set(os.listdir(path)) - before:
+        os.utime(f"{path}/{name}", (1e9, 1e9))
+    again = StreamingDedup(spark, path, state)
+    with pytest.raises(ValueError, match="4 rows"):
+        again.verdicts()
+    again.advance()
+    assert {r["id"]: (r["keep_id"], r["group_size"]) for r in again.verdicts().collect()} == {
+        0: (0, 1), 1: (10, 2), 10: (10, 2), 11: (11, 1),
+    }
+
+
 def test_dedup_of_an_empty_table(spark, docs_of, tmp_path):
     path = written(docs_of(["x"]).limit(0), str(tmp_path / "d.parquet"))
     dedup = StreamingDedup(spark, path, new_path(spark, "state"))
