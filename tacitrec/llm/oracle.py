@@ -243,6 +243,70 @@ kept as (
 select doc_id, n_bytes::bigint as n_bytes, n_removed::bigint as n_removed, n_spans, sha256(unhex(rest)) as kept_sha256 from kept
 """
 
+def _merkle_tier(name: str, bottom: str, travellers: str, levels: int) -> str:
+    """SQL of the trees over `bottom` (tree, idx, digest), climbed by `travellers`.
+
+    A traveller has (tree, place, siblings, folded): at each level it takes up the siblings of its
+    place and folds them with what it carries.
+    """
+    steps = [f"""
+{name}0 as (select tree, idx, digest, count(*) over (partition by tree) as size from {bottom}),
+{name}_way0 as (select * from {travellers})"""]
+    for level in range(levels):
+        steps.append(f"""
+{name}_run{level} as (
+    select tree, idx // 16 as idx, list(digest order by idx) as run, any_value(size) as size from {name}{level} group by 1, 2
+),
+{name}{level + 1} as (
+    select tree, idx, case when size = 1 then run[1] else sha256(array_to_string(run, '')) end as digest, (size + 15) // 16 as size
+    from {name}_run{level}
+),
+{name}_way{level + 1} as (
+    select w.* replace (
+        w.place // 16 as place,
+        case when r.size = 1 then siblings
+            else siblings || array_to_string(list_filter(run, lambda d, i: i <> w.place % 16 + 1), '') end as siblings,
+        case when r.size = 1 then folded else sha256(array_to_string(
+            list_transform(run, lambda d, i: case when i = w.place % 16 + 1 then folded else d end), '')) end as folded
+    )
+    from {name}_way{level} w join {name}_run{level} r on r.tree = w.tree and r.idx = w.place // 16
+)""")
+    return ",".join(steps)
+
+
+def op11(levels: int = 6) -> str:
+    """Six levels per tier: up to 16 million leaves a source, and as many sources."""
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value})::varchar || ':' || {value}, '-')"
+
+    head = " || ".join(field(f"{name}::varchar") for name in ("doc_id", "source", "lang", "n_chars"))
+    shown = f"case when tampered then {field(LOWER.format('text'))} else {field('text')} end"
+    return f"""
+with crc as ({CRC_TABLE}),
+rows as (
+    select *, {head} as head, xor(list_reduce([4294967295::bigint] || list_transform(
+        string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 as tampered
+    from documents, crc
+),
+digests as (select doc_id, source, sha256(head || {field('text')}) as digest, sha256(head || {shown}) as shown from rows),
+leaves as (
+    select *, dense_rank() over (order by source nulls first) - 1 as tree,
+        row_number() over (partition by source order by doc_id nulls first, digest) - 1 as idx
+    from digests
+),
+climbers as (select doc_id, digest as leaf, tree, idx as place, '' as siblings, shown as folded from leaves),{_merkle_tier("low", "leaves", "climbers", levels)},
+subroots as (select 0 as tree, tree as idx, digest from low{levels}),
+arrived as (
+    select w.doc_id, w.leaf, s.digest as subroot, 0 as tree, w.tree as place, siblings, folded
+    from low_way{levels} w join subroots s on s.idx = w.tree
+),{_merkle_tier("high", "subroots", "arrived", levels)}
+select doc_id, leaf, subroot, r.digest as root, sha256(siblings) as proof_sha256, folded as folded_root, folded = r.digest as verified
+from high_way{levels}, high{levels} r
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1,
     "op4_url_templates": op4(),
@@ -250,4 +314,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_mixing": OP8,
     "op9_line_dedup": OP9,
     "op10_sharding": OP10,
+    "op11_merkle": op11(),
 }

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacitrec.llm.common import documents, word_count
+from tacitrec.llm.common import documents, lower_ascii, word_count
 from tacitrec.llm.compression import compression_bands
 from tacitrec.llm.exact_dedup import StreamingDedup
 from tacitrec.llm.language import LanguageModel, fit, held_out, identify
 from tacitrec.llm.line_dedup import drop_frequent_lines
+from tacitrec.llm.merkle import build, prove
 from tacitrec.llm.mixing import mix
 from tacitrec.llm.packing import PackParams, pack
 from tacitrec.llm.repeats import remove_repeats
@@ -130,3 +131,18 @@ def op10_sharding(spark, sf_dir):
     return slots(rows, "shard", ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query
+def op11_merkle(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    shown = F.when(tampered, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    proofs = prove(build(documents(spark, sf_dir), LEAF_FIELDS, shown={"text": shown}))
+    return proofs.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+        F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
