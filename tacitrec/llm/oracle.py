@@ -307,6 +307,22 @@ from high_way{levels}, high{levels} r
 """
 
 
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {at + 1}, 5))::bigint >> {shift}) & 31)::bigint + 1, 1)"
+    for at in range(0, 40, 5) for shift in (15, 10, 5, 0)
+)
+OP12 = f"""
+with rows as (
+    select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h,
+        max(page_id) over (partition by coalesce(html, '')) as keep
+    from pages
+)
+select page_id, payload_bytes::bigint as payload_bytes, {_BASE32} as payload_digest,
+    case when page_id is not distinct from keep then 'response' else 'revisit' end as record_type,
+    case when page_id is distinct from keep then keep end as refers_to
+from rows
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1,
     "op4_url_templates": op4(),
@@ -315,4 +331,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": OP9,
     "op10_sharding": OP10,
     "op11_merkle": op11(),
+    "op12_warc": OP12,
 }

@@ -19,6 +19,7 @@ from tacitrec.llm.repeats import remove_repeats
 from tacitrec.llm.sharding import assign, balanced_tree, slots, with_one_more
 from tacitrec.llm.simhash import near_duplicates
 from tacitrec.llm.url_templates import filter_urls, path_of
+from tacitrec.llm.warc import archived_pages, new_archive, with_revisits, write_archive
 from tacitrec.tables import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +147,10 @@ def op11_merkle(spark, sf_dir):
         F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query
+def op12_warc(spark, sf_dir):
+    path = new_archive(spark)
+    write_archive(with_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
+    return archived_pages(spark, path)
