@@ -323,6 +323,26 @@ select page_id, payload_bytes::bigint as payload_bytes, {_BASE32} as payload_dig
 from rows
 """
 
+OP13_TERMS = (
+    "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+OP13 = f"""
+with tokens as (select doc_id, unnest({OP13_TERMS}) as term from documents),
+counts as (select doc_id, term, count(*) as tf from tokens group by all),
+lengths as (select doc_id, sum(tf)::bigint as n from counts group by doc_id),
+corpus as (select count(*) as docs, sum(n)::bigint as words from lengths),
+frequency as (select term, count(*) as df from counts group by term),
+weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w from frequency, corpus),
+norms as (select doc_id, 100 - 50 + (50 * n * docs) // words as m from lengths, corpus),
+asked as (select distinct item_id, unnest({OP13_TERMS}) as term from benchmark),
+scored as (
+    select item_id, c.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score
+    from asked a join weights using (term) join counts c using (term) join norms d on d.doc_id = c.doc_id group by 1, 2
+),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from scored where score > 0)
+select item_id, place::int as rank, doc_id, score from ranked where place <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1,
     "op4_url_templates": op4(),
@@ -332,4 +352,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_sharding": OP10,
     "op11_merkle": op11(),
     "op12_warc": OP12,
+    "op13_ranked_search": OP13,
 }

@@ -15,6 +15,7 @@ from tacitrec.llm.line_dedup import drop_frequent_lines
 from tacitrec.llm.merkle import build, prove
 from tacitrec.llm.mixing import mix
 from tacitrec.llm.packing import PackParams, pack
+from tacitrec.llm.ranked import build_index, search
 from tacitrec.llm.repeats import remove_repeats
 from tacitrec.llm.sharding import assign, balanced_tree, slots, with_one_more
 from tacitrec.llm.simhash import near_duplicates
@@ -154,3 +155,8 @@ def op12_warc(spark, sf_dir):
     path = new_archive(spark)
     write_archive(with_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
     return archived_pages(spark, path)
+
+
+@query
+def op13_ranked_search(spark, sf_dir):
+    return search(build_index(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
