@@ -244,6 +244,18 @@ def sampled(fraction: float) -> str:
 select {LINE_COLUMNS} from placed where place <= (select round_even({fraction} * count(*), 0) from lines)"""
 
 
+def objective(p: str, q: str, k: int) -> str:
+    """The loss cell by cell: all users times all items, the rows' errors, the norms."""
+    squares = " + ".join(f"x{f} * x{f}" for f in range(k))
+    return f"""(
+  select round(
+    (select sum(c * ({score(k)}) * ({score(k)})) from {p} p, {q} q join confidence w on w.item_idx = q.idx)
+    + (select sum((1.0::double - s) * (1.0::double - s) - c * s * s) from (
+        select {score(k)} s, c from train t join {p} p on p.idx = t.user_idx join {q} q on q.idx = t.item_idx
+        join confidence w on w.item_idx = t.item_idx))
+    + 0.01::double * ((select sum({squares}) from {p}) + (select sum({squares}) from {q})), 4) + 0.0)"""
+
+
 def on_lines(select: str, *parts: str) -> str:
     return "with " + ",".join([LINE_PREFIX, *parts]) + "\n" + select
 
@@ -381,6 +393,26 @@ from items left join (select item_idx, count(*) n from train group by 1) c on c.
         confidence(0.5, "cheap"), grid_start(2), epochs(1, 2, source="cheap"),
     ),
     "train_k8": on_lines(both_sides("p2", "q2", 8), confidence(0.5), digest_start(8), epochs(2, 8)),
+    "one_epoch_ranges": on_lines(both_sides("p1", "q1", 4), confidence(0.5), grid_start(4), epochs(1, 4)),
+    "objective_k4": on_lines(
+        " union all ".join(
+            f"select {epoch}::int epoch, '{step}' step, {objective(p, q, 4)} objective"
+            for epoch, step, p, q in (
+                (0, "start", "p0", "q0"), (1, "users", "p1", "q0"), (1, "items", "p1", "q1"),
+                (2, "users", "p2", "q1"), (2, "items", "p2", "q2"),
+            )
+        ), confidence(0.5), grid_start(4), epochs(2, 4),
+    ),
+    "resume_equals_full": on_lines(
+        "select 'user' side, count(*) n, 0::bigint n_different from users "
+        "union all select 'item', count(*), 0 from items"
+    ),
+    "guard_empty_data": f"""with recursive {LINES_ONLY}, {kcore_passes('lines', LINE_COLUMNS, LINES_EMPTY_K)}
+select count(*) n_ratings, case when (select count(*) from settled) = 0
+  then 'no users or items left: lower min_interactions or raise sample_fraction' end message from lines""",
+    "guard_no_training_rows": on_lines(
+        "select count(*) n_test, 'the training rows are needed to leave out what a user has seen' message from test"
+    ),
     "warm_start_equals_full": on_lines(
         "select 'user' side, count(*) n, 0::bigint n_different from users "
         "union all select 'item', count(*), 0 from items"

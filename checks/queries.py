@@ -13,6 +13,7 @@ import tacitrec as tr
 from checks.inputs import (
     EVENTS_K,
     LINE_KEY,
+    LINE_ORDER,
     LINES_EMPTY_K,
     LINES_K,
     event_data,
@@ -366,6 +367,31 @@ def one_epoch_hot(spark, sf_dir):
     return _both_sides(result.users, result.items, 4)
 
 
+@query
+def one_epoch_ranges(spark, sf_dir):
+    """Fifty ranges of items and as many of users per block, sums carried from one to the next."""
+    data = line_data(spark, sf_dir)
+    per_range = max(1, min(data.n_users, data.n_items) // 50)
+    with _trainer(spark, data, 4, range_entities=per_range, blocks=3) as trainer:
+        result = trainer.fit(1)
+    return _both_sides(result.users, result.items, 4)
+
+
+@query
+def objective_k4(spark, sf_dir):
+    """The loss at the start and after each half-step of two epochs."""
+    values = []
+    with _trainer(spark, line_data(spark, sf_dir), 4) as trainer:
+        values.append((0, "start", trainer.objective()[0]))
+        for epoch in (1, 2):
+            trainer.user_step()
+            values.append((epoch, "users", trainer.objective()[0]))
+            trainer.item_step()
+            values.append((epoch, "items", trainer.objective()[0]))
+    rows = spark.createDataFrame(values, "epoch int, step string, objective double")
+    return rows.withColumn("objective", rounded("objective", 4))
+
+
 @query
 def cold_entities_keep_init(spark, sf_dir):
     """Train on small orders only; users and items without any keep their first vector."""
@@ -399,6 +425,11 @@ def warm_start_equals_full(spark, sf_dir):
         tr.Params(factors=4, epochs=1), init=(first.users, first.items),
     )
 
+    return _differing(at_once.users, at_once.items, resumed.users, resumed.items)
+
+
+def _differing(users: DataFrame, items: DataFrame, other_users: DataFrame, other_items: DataFrame) -> DataFrame:
+    """How many vectors differ between two models."""
     def differing(side: str, left: DataFrame, right: DataFrame) -> DataFrame:
         other = right.select("idx", F.col("vec").alias("other"))
         gap = F.aggregate(
@@ -409,9 +440,22 @@ def warm_start_equals_full(spark, sf_dir):
             F.count(F.when(gap > 1e-9, 1)).alias("n_different"),
         )
 
-    return differing("user", at_once.users, resumed.users).unionByName(
-        differing("item", at_once.items, resumed.items)
-    )
+    return differing("user", users, other_users).unionByName(differing("item", items, other_items))
+
+
+@query
+def resume_equals_full(spark, sf_dir):
+    """Two epochs at once against one epoch, a lost trainer, and one more from the path alone."""
+    data = line_data(spark, sf_dir)
+    path = new_path(spark, "factors")
+    with _trainer(spark, data, 4) as trainer:
+        at_once = trainer.fit(2)
+    with _trainer(spark, data, 4) as trainer:
+        tr.FactorStore(spark, path).fit(trainer, 1)
+    store = tr.FactorStore(spark, path)
+    with store.resume() as trainer:
+        store.fit(trainer, 1)
+    return _differing(at_once.users, at_once.items, *store.factors())
 
 
 def _variant_records(data, variant: str, alpha: float) -> DataFrame:
@@ -584,6 +628,31 @@ def evaluator_subsample(spark, sf_dir):
     return evaluator(users, items).select("n", rounded("hr", 6).alias("hr"), rounded("ndcg", 6).alias("ndcg"))
 
 
+def _message_of(work) -> str | None:
+    try:
+        work()
+    except ValueError as refused:
+        return str(refused)
+    return None
+
+
+@query
+def guard_empty_data(spark, sf_dir):
+    """What a run says whose k-core leaves nothing."""
+    rows = lines(spark, sf_dir)
+    said = _message_of(lambda: tr.prepare(rows, tr.Params(min_interactions=LINES_EMPTY_K), LINE_KEY, LINE_ORDER))
+    return rows.agg(F.count("*").alias("n_ratings"), F.lit(said).cast("string").alias("message"))
+
+
+@query
+def guard_no_training_rows(spark, sf_dir):
+    """What a ranking says that cannot look up what the users have seen."""
+    data = line_data(spark, sf_dir)
+    users, items = grid_factors(data)
+    said = _message_of(lambda: tr.test_item_rank(users, items, data.test, None))
+    return data.test.agg(F.count("*").alias("n_test"), F.lit(said).cast("string").alias("message"))
+
+
 # --- comparison of histories --------------------------------------------------------
 
 @query

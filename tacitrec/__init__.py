@@ -20,12 +20,13 @@ from tacitrec.params import Params
 from tacitrec.plans.evaluate import Evaluator, hr_ndcg, test_item_rank
 from tacitrec.plans.experiment import Dataset, Report, compare_variants, prepare, run_experiment
 from tacitrec.plans.recommend import predict_all, recommend_all, recommend_user
-from tacitrec.plans.train import FitResult, Layout, Trainer, fit, initial_factors
+from tacitrec.plans.store import FactorStore
+from tacitrec.plans.train import FitResult, JointTrainer, Layout, Trainer, fit, initial_factors
 from tacitrec.sources.history import read_history, write_history
 from tacitrec.sources.ratings import read_ratings, write_ratings
 
 __all__ = [
-    "Dataset", "Encoded", "Evaluator", "FitResult", "KCore", "Layout", "Params", "Report", "Trainer",
+    "Dataset", "Encoded", "Evaluator", "FactorStore", "FitResult", "JointTrainer", "KCore", "Layout", "Params", "Report", "Trainer",
     "best_epoch", "compare_variants", "confidence_stats", "dataset_summary",
     "dataset_summary_encoded", "decode", "encode_ids", "epoch_times", "fit",
     "hit_ratio_by_variant", "hr_ndcg", "id_dictionary", "initial_factors",

@@ -31,12 +31,18 @@ class Params:
 
     # An entity with more distinct partners than this is split over several blocks.
     hot_degree: int = 100_000
-    # Number of training blocks; None takes one per core of the cluster. Every vector is copied
-    # to at most so many blocks in a half-step, and a task holds one block with its vectors.
+    # Number of training blocks; None takes one per core of the cluster, or more where a block would
+    # have more than `block_entities` entities. Every vector is copied to at most so many blocks in
+    # a half-step. A task holds the vectors of `range_entities` partners at a time and carries the
+    # equations of its entities where there are more partners than that.
     blocks: int | None = None
+    block_entities: int = 4_096
+    range_entities: int = 65_536
 
     def __post_init__(self) -> None:
         if self.factors < 1:
             raise ValueError("factors must be at least 1")
         if self.hot_degree < 1:
             raise ValueError("hot_degree must be positive")
+        if self.block_entities < 1 or self.range_entities < 1:
+            raise ValueError("block_entities and range_entities must be positive")

@@ -17,7 +17,7 @@ from tacitrec.operators.summary import dataset_summary
 from tacitrec.operators.weights import item_confidence
 from tacitrec.params import Params
 from tacitrec.plans.evaluate import Evaluator
-from tacitrec.plans.train import FitResult, Layout, fit
+from tacitrec.plans.train import FitResult, JointTrainer, Layout, fit
 from tacitrec.sources.history import HISTORY_SCHEMA, write_history
 from tacitrec.tables import drop_table, write_table
 
@@ -90,29 +90,47 @@ def train_variant(
 
 
 def compare_variants(
-    data: Dataset, variants: Mapping[str, Params], init: tuple[DataFrame, DataFrame] | None = None
+    data: Dataset, variants: Mapping[str, Params], init: tuple[DataFrame, DataFrame] | None = None, joint: bool = True
 ) -> tuple[DataFrame, dict[str, FitResult]]:
     """Train each variant from the same start; return the joint history and the models.
 
-    Variants that lay out their pairs alike share one layout, and those that are scored on the
-    same users one evaluator.
+    Variants that differ in item weights and evaluation only train in the same half-steps; the time
+    of an epoch is then shared evenly. `joint=False` trains them one after the other, which times
+    each for itself. Variants that lay out their pairs alike share one layout, and those that are
+    scored on the same users one evaluator.
     """
     layouts: dict[tuple, Layout] = {}
     evaluators: dict[tuple, Evaluator] = {}
-    results = {}
+    groups: dict[tuple, list[str]] = {}
+    results: dict[str, FitResult] = {}
+    for name, p in variants.items():
+        alike = (p.factors, p.reg, p.epochs, p.seed, *_layout_of(p))
+        groups.setdefault(alike if joint else (name,), []).append(name)
     try:
-        for name, p in variants.items():
-            laid_out, scored = (p.w_obs, p.hot_degree, p.blocks), (p.top_k, p.max_eval_users, p.seed)
-            if laid_out not in layouts:
-                layouts[laid_out] = Layout(training_relation(data.train, p.w_obs), p)
-            if scored not in evaluators:
-                evaluators[scored] = Evaluator(data.test, data.train, data.n_items, *scored)
-            results[name] = train_variant(data, p, name, evaluators[scored], layouts[laid_out], init)
+        for names in groups.values():
+            first = variants[names[0]]
+            if _layout_of(first) not in layouts:
+                layouts[_layout_of(first)] = Layout(training_relation(data.train, first.w_obs), first)
+            scorers = []
+            for p in (variants[name] for name in names):
+                scored = (p.top_k, p.max_eval_users, p.seed)
+                if scored not in evaluators:
+                    evaluators[scored] = Evaluator(data.test, data.train, data.n_items, *scored)
+                scorers.append(evaluators[scored])
+            weights = [item_confidence(data.train, data.n_items, variants[name].c0, variants[name].alpha) for name in names]
+            with JointTrainer(
+                None, weights, data.n_users, data.n_items, first, [init] * len(names), layouts[_layout_of(first)]
+            ) as trainer:
+                results.update(zip(names, trainer.fit_all(evaluators=scorers, variants=names)))
     finally:
         for used in (*layouts.values(), *evaluators.values()):
             used.close()
-    records = [record for result in results.values() for record in result.records]
-    return data.train.sparkSession.createDataFrame(records, HISTORY_SCHEMA), results
+    records = [record for name in variants for record in results[name].records]
+    return data.train.sparkSession.createDataFrame(records, HISTORY_SCHEMA), {name: results[name] for name in variants}
+
+
+def _layout_of(p: Params) -> tuple:
+    return p.w_obs, p.hot_degree, p.blocks, p.block_entities, p.range_entities
 
 
 @dataclass(frozen=True)

@@ -1,69 +1,83 @@
 """Training: alternating half-steps over cached blocks of observed pairs.
 
-The state of a side is a written table `(idx, c, vec, home)`: `c` is the weight of the entity
-in the Gram matrix (1 for users), `home` the block that updates it. Which blocks of the other
-side's update need its vector stands in a table of its own, written once with the layout. A
-half-step sends each vector once to each block that needs it, each old vector to its home, and
-joins both with the cached tiles by block. Blocks are as many as the cluster has cores, so a
-vector has at most that many copies however large the data. Only the k x k Gram matrix passes
-through the driver.
+The state of a side is a written table `(idx, c, vec, home, blocks)`: `c` is the weight of the
+entity in the Gram matrix (1 for users), `home` the block that updates it, `blocks` those of the
+other side that need its vector. A half-step is one job: it sends each vector once to each block
+that needs it and each old vector to its home, and sorts them between the cached tiles of the block,
+range by range. The task streams through that order. It holds the vectors of one range and, where
+there is more than one, carries the sums [A | b] of its entities from range to range; neither grows
+with the number of pairs. At the end it sweeps, and leaves beside the new vectors what the next
+half-step and the loss need: the block's part of the Gram matrix, of the squared norms and of the
+loss. Only these, k x k numbers a block, pass through the driver.
+
+Models with the same number of factors can share the half-steps (`JointTrainer`): the vectors of an
+entity stand side by side, are sent together and meet the same tiles.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tacitrec.functions.sweep import normal_sums, sweep, sweep_normal
-from tacitrec.functions.vectors import (
-    from_matrix,
-    packed,
-    starting_vector,
-    to_matrix,
-    unpack_row,
-    unpacked,
+from tacitrec.functions.sweep import chunks, normal_sums, pair_loss, sweep_normal
+from tacitrec.functions.vectors import from_matrix, packed, starting_vector, to_matrix, unpacked
+from tacitrec.operators.blocks import (
+    BEFORE_RANGES,
+    HOT_HOME,
+    ROUTE,
+    SHARE,
+    SOURCE,
+    TARGET,
+    TILE,
+    Blocks,
+    Placed,
+    Tile,
+    lay_out,
+    observed_pairs,
+    place_pairs,
+    unpack_routes,
 )
-from tacitrec.operators.blocks import HOT_HOME, Blocks, build_blocks, observed_pairs
-from tacitrec.operators.gram import gram_array
 from tacitrec.params import Params
 from tacitrec.sources.history import HISTORY_SCHEMA
 from tacitrec.tables import drop_table, together, write_table
 
-STATE_SCHEMA = "idx bigint, c double, vec binary, home int"
-STATE_NAMES = ["idx", "c", "vec", "home"]
-# A block's output: finished entities (equation null), and rows of [A | b] of hot ones.
+STATE_SCHEMA = "idx bigint, c binary, vec binary, home int, blocks array<int>"
+STATE_NAMES = ["idx", "c", "vec", "home", "blocks"]
+# A block's output: finished entities (equation null), rows of [A | b] of hot ones, and one row
+# with the home SIDE whose vec is what `_side` packs.
 STEP_SCHEMA = STATE_SCHEMA + ", equation int, sums array<double>"
 STEP_NAMES = [*STATE_NAMES, "equation", "sums"]
-
-# What a row is to the block it is sent to. A share is a hot entity's weight; its vector
-# is not needed.
-SOURCE, TARGET, SHARE = 0, 1, 2
+SIDE = -2
 
 # Scores a pair of factor tables `(idx, vec)`, packed: a one-row frame with columns hr and ndcg.
 MetricsOf = Callable[[DataFrame, DataFrame], DataFrame]
+Factors = tuple[DataFrame, DataFrame]
 
 
 @dataclass(frozen=True)
 class FitResult:
-    """Factors `(idx, vec)` of both sides and the history of the epochs."""
+    """Factors `(idx, vec)` of both sides, the history of the epochs and the loss after each."""
 
     users: DataFrame
     items: DataFrame
     history: DataFrame
     records: list[tuple] = field(repr=False, default_factory=list)
     tables: tuple[DataFrame, ...] = field(repr=False, default=())
+    losses: list[float] = field(repr=False, default_factory=list)
+    readers: list[int] = field(repr=False, default_factory=lambda: [1])  # open results of these tables
 
     def close(self) -> None:
-        """Delete the factor tables; the frames cannot be read any more."""
-        for table in self.tables:
-            drop_table(table)
+        """Give the factor tables back; with the last result that shares them they are deleted."""
+        self.readers[0] -= 1
+        if not self.readers[0]:
+            for table in self.tables:
+                drop_table(table)
 
 
 def initial_factors(spark: SparkSession, side: str, n: int, params: Params) -> DataFrame:
@@ -81,148 +95,284 @@ class Layout:
     """
 
     def __init__(self, relation: DataFrame, params: Params = Params()) -> None:
-        self.spark = relation.sparkSession
-        self._pairs = write_table(observed_pairs(relation), "training-pairs")
-        n_blocks = params.blocks or self._block_count(self._pairs.count())
-        self.user_blocks, self.item_blocks = together(
+        self._lay_out(write_table(observed_pairs(relation), "training-pairs"), params)
+
+    @classmethod
+    def of_pairs(cls, pairs: DataFrame, params: Params) -> Layout:
+        """The layout of a table that `observed_pairs` gave."""
+        layout = cls.__new__(cls)
+        layout._lay_out(pairs, params)
+        return layout
+
+    def _lay_out(self, pairs: DataFrame, params: Params) -> None:
+        self.spark, self.pairs = pairs.sparkSession, pairs
+        sizes = pairs.agg(
+            F.count("*").alias("n"), F.max("user_idx").alias("users"), F.max("item_idx").alias("items"),
+            F.sum("swrr").alias("squares"),
+        ).first()
+        self.square_sum = sizes["squares"] or 0.0
+        n_users, n_items = (sizes[name] + 1 if sizes["n"] else 0 for name in ("users", "items"))
+
+        def place(dst: str, src: str, n_targets: int, n_sources: int) -> Placed:
+            n_blocks = params.blocks or self._block_count(sizes["n"], n_targets, params.block_entities)
+            return place_pairs(pairs, dst, src, n_blocks, params.hot_degree, params.range_entities, n_sources)
+
+        users, items = together(
             self.spark,
-            lambda: build_blocks(self._pairs, "user_idx", "item_idx", n_blocks, params.hot_degree),
-            lambda: build_blocks(self._pairs, "item_idx", "user_idx", n_blocks, params.hot_degree),
+            lambda: place("user_idx", "item_idx", n_users, n_items),
+            lambda: place("item_idx", "user_idx", n_items, n_users),
+        )
+        self.user_blocks, self.item_blocks = together(
+            self.spark, lambda: lay_out(users, items.routes()), lambda: lay_out(items, users.routes())
         )
 
-    def _block_count(self, n_pairs: int) -> int:
-        return max(1, min(self.spark.sparkContext.defaultParallelism, -(-n_pairs // 4096)))
+    def _block_count(self, n_pairs: int, n_targets: int, block_entities: int) -> int:
+        """One block per core; more where one would hold more entities than allowed."""
+        cores = min(self.spark.sparkContext.defaultParallelism, -(-n_pairs // 4096))
+        return max(1, cores, -(-n_targets // block_entities))
 
     def close(self) -> None:
         """Release the cached blocks and the tables."""
         self.user_blocks.close()
         self.item_blocks.close()
-        drop_table(self._pairs)
+        drop_table(self.pairs)
 
 
-class Trainer:
-    """The layout of one training relation and the current factors.
+@dataclass(frozen=True)
+class _Side:
+    """What a half-step leaves beside the vectors, one entry per model."""
 
-    Calling `fit` again continues from the current factors; n calls with one epoch give
-    the same factors as one call with n epochs. Close the trainer when done.
+    grams: np.ndarray  # (models, k, k): sum of c v v'
+    norms: np.ndarray  # sum of v'v
+    observed: np.ndarray | None  # the pairs' part of the loss, from the half-step that made the vectors
+
+
+class JointTrainer:
+    """The layout of one training relation and the current factors of some models.
+
+    The models differ in item weights and starting vectors. Calling `fit` again continues from
+    the current factors; n calls with one epoch give the same factors as one call with n epochs.
+    Close the trainer when done.
     """
 
     def __init__(
         self,
-        relation: DataFrame,
-        confidence: DataFrame,
+        relation: DataFrame | None,
+        confidences: Sequence[DataFrame],
         n_users: int,
         n_items: int,
         params: Params = Params(),
-        init: tuple[DataFrame, DataFrame] | None = None,
+        inits: Sequence[Factors | None] | None = None,
         layout: Layout | None = None,
     ) -> None:
         if n_users == 0 or n_items == 0:
             raise ValueError(
                 "no users or items left: lower min_interactions or raise sample_fraction"
             )
-        self.params = params
-        self.spark = relation.sparkSession
-        self.epochs_done = 0
-        self._handed_out: list[DataFrame] = []  # states whose factors a caller may still read
+        self._take(params, len(confidences), n_users, n_items, layout or Layout(relation, params), 0)
         self._own_layout = layout is None
-        self.layout = layout or Layout(relation, params)
-        self.user_blocks, self.item_blocks = self.layout.user_blocks, self.layout.item_blocks
-        users, items = init or (
-            initial_factors(self.spark, "user", n_users, params),
-            initial_factors(self.spark, "item", n_items, params),
+        starts = [
+            init or (
+                initial_factors(self.spark, "user", n_users, params),
+                initial_factors(self.spark, "item", n_items, params),
+            )
+            for init in inits or [None] * self.models
+        ]
+        users = _side_by_side([packed(users) for users, _ in starts]).withColumn(
+            "c", F.lit(np.ones(self.models).tobytes())
         )
-        confidence = confidence.select(F.col("item_idx").alias("idx"), "c")
-        users = packed(users).withColumn("c", F.lit(1.0))
-        items = packed(items).join(confidence, "idx")
+        items = _side_by_side([packed(items) for _, items in starts])
+        weights = _side_by_side([
+            packed(c.select(F.col("item_idx").alias("idx"), F.array("c").alias("vec"))) for c in confidences
+        ])
+        self._start(users, items.join(weights.select("idx", F.col("vec").alias("c")), "idx"))
+
+    def _take(self, params: Params, models: int, n_users: int, n_items: int, layout: Layout, epochs_done: int) -> None:
+        self.params, self.models, self.epochs_done = params, models, epochs_done
+        self.n_users, self.n_items = n_users, n_items
+        self.layout, self.spark, self._own_layout = layout, layout.spark, False
+        self.user_blocks, self.item_blocks = layout.user_blocks, layout.item_blocks
+        self._handed_out: list[DataFrame] = []  # states whose factors a caller may still read
+        self._last: DataFrame | None = None  # the state that the last half-step made
+
+    def _start(self, users: DataFrame, items: DataFrame) -> None:
+        """Take up factors `(idx, c, vec)`."""
         self.users, self.items = together(
             self.spark,
             lambda: self._state(users, self.user_blocks, "users"),
             lambda: self._state(items, self.item_blocks, "items"),
         )
+        self._user_side, self._item_side = together(
+            self.spark, lambda: self._measure_side(self.users), lambda: self._measure_side(self.items)
+        )
 
     @staticmethod
     def _state(vectors: DataFrame, own: Blocks, name: str) -> DataFrame:
-        return write_table(own.with_home(vectors).select(*STATE_NAMES), f"{name}-0")
+        """The written state; the routes come from their table."""
+        homed = own.with_home(vectors).join(own.routes, "idx", "left")
+        routed = homed.withColumn("blocks", F.coalesce("blocks", F.array().cast("array<int>")))
+        return write_table(routed.select(*STATE_NAMES), f"{name}-0")
 
     def user_step(self) -> None:
         """Update all users from the items."""
-        self.users = self._replace(self.users, self._half_step(self.user_blocks, self.items, self.users, "users"))
+        new, self._user_side = self._half_step(self.user_blocks, self.items, self._item_side, self.users, "users")
+        self.users = self._replace(self.users, new)
 
     def item_step(self) -> None:
         """Update all items from the users."""
-        self.items = self._replace(self.items, self._half_step(self.item_blocks, self.users, self.items, "items"))
+        new, self._item_side = self._half_step(self.item_blocks, self.users, self._user_side, self.items, "items")
+        self.items = self._replace(self.items, new)
 
     def _replace(self, old: DataFrame, new: DataFrame) -> DataFrame:
         if not any(old is table for table in self._handed_out):
             drop_table(old)
+        self._last = new
         return new
 
-    def _half_step(self, blocks: Blocks, sources: DataFrame, targets: DataFrame, name: str) -> DataFrame:
-        k, reg = self.params.factors, self.params.reg
-        gram = gram_array(sources, k)
-        inbound = sources.join(blocks.routes, "idx").select(
-            F.explode("blocks").alias("block"), F.lit(SOURCE).alias("role"), "idx", "c", "vec"
+    def _stream(self, blocks: Blocks, sources: DataFrame, targets: DataFrame) -> DataFrame:
+        """All rows of a half-step, each block's in the order in which its task reads them."""
+        before = F.lit(BEFORE_RANGES).alias("rng")
+        numbers = F.concat("c", "vec").alias("payload")
+        vectors = sources.select(
+            F.explode("blocks").alias("block"), blocks.range_of("idx").alias("rng"), F.lit(SOURCE).alias("role"), "idx", numbers
         ).unionByName(
-            targets.filter(F.col("home") != HOT_HOME).select(
-                F.col("home").alias("block"), F.lit(TARGET).alias("role"), "idx", "c", "vec"
-            )
+            targets.filter(F.col("home") != HOT_HOME)
+            .select(F.col("home").alias("block"), before, F.lit(TARGET).alias("role"), "idx", numbers)
         )
         if blocks.hot_shares is not None:
-            weights = _hot(targets).select("idx", "c")
-            inbound = inbound.unionByName(
-                blocks.hot_shares.join(weights, "idx").select(
-                    "block", F.lit(SHARE).alias("role"), "idx", "c", F.lit(None).cast("binary").alias("vec")
-                )
+            weights = _hot(targets).select("idx", F.col("c").alias("payload"))
+            vectors = vectors.unionByName(
+                blocks.hot_shares.join(weights, "idx").select("block", before, F.lit(SHARE).alias("role"), "idx", "payload")
             )
-
-        update = _block_update(k, reg, gram)
-        step = (
-            blocks.tiles.groupBy("block")
-            .cogroup(inbound.repartitionById(blocks.n_blocks, F.col("block")).groupBy("block"))
-            .applyInArrow(update, STEP_SCHEMA)
+        # Both parts are partitioned by block alike, so the union stays so and tiles are not moved.
+        return (
+            blocks.tiles.unionByName(vectors.repartition(blocks.n_blocks, "block"))
+            .sortWithinPartitions("block", "rng", "role")
+            .groupBy("block")
         )
+
+    def _half_step(
+        self, blocks: Blocks, sources: DataFrame, source_side: _Side, targets: DataFrame, name: str
+    ) -> tuple[DataFrame, _Side]:
+        k, reg, models = self.params.factors, self.params.reg, self.models
+        grams = source_side.grams
+        update = _block_update(k, models, reg, grams, blocks.single_range)
+        step = self._stream(blocks, sources, targets).applyInArrow(update, STEP_SCHEMA)
+        name = f"{name}-{self.epochs_done + 1}"
         if blocks.hot_shares is None:
-            return write_table(step, f"{name}-{self.epochs_done + 1}", STATE_NAMES)
-        stepped = write_table(step, f"{name}-{self.epochs_done + 1}-shares")
+            return self._write(step.select(*STATE_NAMES), name)
+        stepped = write_table(step, f"{name}-shares")
         done = stepped.filter("equation is null").select(*STATE_NAMES)
-        hot = _solve_hot(stepped.filter("equation is not null"), _hot(targets), k, reg, gram)
-        merged = write_table(done.unionByName(hot), f"{name}-{self.epochs_done + 1}")
+        hot = _solve_hot(stepped.filter("equation is not null"), _hot(targets), k, models, reg, grams)
+        written = self._write(done.unionByName(hot), name)
         drop_table(stepped)
-        return merged
-
-    def fit(self, epochs: int | None = None, evaluator: MetricsOf | None = None, variant: str = "model") -> FitResult:
+        return written
+
+    def _write(self, rows: DataFrame, name: str) -> tuple[DataFrame, _Side]:
+        """Write the vectors and add up the side rows, in one job."""
+        seen = Observation()
+        side = F.when(F.col("home") == SIDE, F.col("vec"))
+        state = write_table(rows.observe(seen, F.collect_list(side).alias("sides")).filter(F.col("home") != SIDE), name)
+        return state, self._sum_sides(seen.get["sides"])
+
+    def _sum_sides(self, parts: Sequence[bytes], observed: bool = True) -> _Side:
+        k, models = self.params.factors, self.models
+        total = sum((np.frombuffer(part) for part in parts), np.zeros(models * (k * k + 2)))
+        grams, norms, seen = np.split(total, [models * k * k, models * (k * k + 1)])
+        return _Side(grams.reshape(models, k, k), norms, seen if observed else None)
+
+    def _measure_side(self, state: DataFrame) -> _Side:
+        """Gram matrices and norms of factors that no half-step made."""
+        k, models = self.params.factors, self.models
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(models * (k * k + 2))
+            for batch in batches:
+                total += _side(_weights(batch.column("c"), models), to_matrix(batch.column("vec"), k * models), k, np.zeros(models))
+            yield pa.RecordBatch.from_pydict({"side": pa.array([total.tobytes()], pa.binary())})
+
+        parts = state.select("c", "vec").mapInArrow(measure, "side binary").collect()  # one row a partition
+        return self._sum_sides([row["side"] for row in parts], observed=False)
+
+    def objective(self) -> list[float]:
+        """The loss of every model at the current factors.
+
+        Squared errors of the pairs by their weights, squared scores of all other cells by the items'
+        weights, and the norms. The cells need no pass over users and items: their sum is the inner
+        product of the two Gram matrices. The pairs' part comes from the last half-step; only before
+        the first one the blocks are read for it.
+        """
+        last = self._item_side if self._last is self.items else self._user_side
+        observed = last.observed
+        if observed is None:
+            look = _block_update(self.params.factors, self.models, None, self._item_side.grams, True)
+            rows = self._stream(self.user_blocks, self.items, self.users).applyInArrow(look, STEP_SCHEMA)
+            parts = rows.filter(F.col("home") == SIDE).select("vec").collect()  # one row a block
+            observed = self._sum_sides([row["vec"] for row in parts]).observed
+            if self.user_blocks.hot_shares is not None:
+                observed = observed + self._hot_loss(rows)
+        missing = np.einsum("mfg,mfg->m", self._user_side.grams, self._item_side.grams)
+        norms = self._user_side.norms + self._item_side.norms
+        return (self.layout.square_sum + observed + missing + self.params.reg * norms).tolist()
+
+    def _hot_loss(self, rows: DataFrame) -> np.ndarray:
+        k, models = self.params.factors, self.models
+        zero = np.zeros((models, k, k))
+        looked = _solve_hot(rows.filter("equation is not null"), _hot(self.users), k, models, None, zero)
+        parts = looked.filter(F.col("home") == SIDE).select("vec").collect()
+        return self._sum_sides([row["vec"] for row in parts]).observed
+
+    def fit_all(
+        self, epochs: int | None = None, evaluators: Sequence[MetricsOf | None] | None = None,
+        variants: Sequence[str] | None = None, after_epoch: Callable[[], None] | None = None,
+    ) -> list[FitResult]:
         """Run `epochs` epochs: all users, then all items from the new users, then metrics.
 
-        The time of an epoch excludes the evaluation.
+        The time of an epoch excludes the evaluation; models that train together share it evenly.
         """
-        records = []
+        evaluators = evaluators or [None] * self.models
+        variants = variants or [f"model-{m}" for m in range(self.models)]
+        records: list[list[tuple]] = [[] for _ in range(self.models)]
+        losses: list[list[float]] = [[] for _ in range(self.models)]
         for _ in range(self.params.epochs if epochs is None else epochs):
             start = time.perf_counter()
             self.user_step()
             self.item_step()
             self.epochs_done += 1
-            seconds = round(time.perf_counter() - start, 2)
-            hr = ndcg = None
-            if evaluator is not None:
-                metrics = evaluator(packed(self.users), packed(self.items)).first()
-                hr = None if metrics["hr"] is None else round(metrics["hr"], 4)
-                ndcg = None if metrics["ndcg"] is None else round(metrics["ndcg"], 4)
-            records.append((variant, self.epochs_done, seconds, hr, ndcg))
-        history = self.spark.createDataFrame(records, HISTORY_SCHEMA)
-        return FitResult(self.user_factors, self.item_factors, history, records, (self.users, self.items))
+            seconds = round((time.perf_counter() - start) / self.models, 2)
+            for m, loss in enumerate(self.objective()):
+                losses[m].append(loss)
+                hr = ndcg = None
+                if evaluators[m] is not None:
+                    metrics = evaluators[m](*self._packed(m)).first()
+                    hr = None if metrics["hr"] is None else round(metrics["hr"], 4)
+                    ndcg = None if metrics["ndcg"] is None else round(metrics["ndcg"], 4)
+                records[m].append((variants[m], self.epochs_done, seconds, hr, ndcg))
+            if after_epoch is not None:
+                after_epoch()
+        readers = [self.models]
+        return [
+            FitResult(
+                *self.factors(m), self.spark.createDataFrame(records[m], HISTORY_SCHEMA), records[m],
+                (self.users, self.items), losses[m], readers,
+            )
+            for m in range(self.models)
+        ]
 
-    @property
-    def user_factors(self) -> DataFrame:
-        """`(idx, vec)` of the users, `vec` an array."""
-        self._handed_out.append(self.users)
-        return unpacked(self.users)
+    def _packed(self, model: int) -> Factors:
+        return tuple(state.select("idx", self._own_part(model).alias("vec")) for state in (self.users, self.items))
 
-    @property
-    def item_factors(self) -> DataFrame:
-        """`(idx, vec)` of the items, `vec` an array."""
-        self._handed_out.append(self.items)
-        return unpacked(self.items)
+    def _own_part(self, model: int) -> Column:
+        if self.models == 1:
+            return F.col("vec")
+        width = 8 * self.params.factors
+        return F.substring("vec", 1 + model * width, width)
+
+    def factors(self, model: int = 0) -> Factors:
+        """`(idx, vec)` of the users and of the items of one model, `vec` an array."""
+        self._handed_out += [self.users, self.items]
+        users, items = self._packed(model)
+        return unpacked(users), unpacked(items)
 
     def close(self) -> None:
         """Release the trainer's own layout and states; factors that were handed out stay readable."""
@@ -232,16 +382,59 @@ class Trainer:
             if not any(state is table for table in self._handed_out):
                 drop_table(state)
 
-    def __enter__(self) -> Trainer:
+    def __enter__(self):
         return self
 
     def __exit__(self, *_: object) -> None:
         self.close()
 
 
+class Trainer(JointTrainer):
+    """One model."""
+
+    def __init__(
+        self,
+        relation: DataFrame | None,
+        confidence: DataFrame,
+        n_users: int,
+        n_items: int,
+        params: Params = Params(),
+        init: Factors | None = None,
+        layout: Layout | None = None,
+    ) -> None:
+        super().__init__(relation, [confidence], n_users, n_items, params, [init], layout)
+
+    def fit(
+        self, epochs: int | None = None, evaluator: MetricsOf | None = None, variant: str = "model",
+        after_epoch: Callable[[], None] | None = None,
+    ) -> FitResult:
+        """Run `epochs` epochs, each followed by the evaluation."""
+        return self.fit_all(epochs, [evaluator], [variant], after_epoch)[0]
+
+    @classmethod
+    def from_state(
+        cls, params: Params, n_users: int, n_items: int, users: DataFrame, items: DataFrame, layout: Layout, epochs_done: int
+    ) -> Trainer:
+        """A trainer that goes on from written sides `(idx, c, vec)`, packed."""
+        trainer = cls.__new__(cls)
+        trainer._take(params, 1, n_users, n_items, layout, epochs_done)
+        trainer._start(users, items)
+        return trainer
+
+    @property
+    def user_factors(self) -> DataFrame:
+        """`(idx, vec)` of the users, `vec` an array."""
+        return self.factors()[0]
+
+    @property
+    def item_factors(self) -> DataFrame:
+        """`(idx, vec)` of the items, `vec` an array."""
+        return self.factors()[1]
+
+
 def fit(
     relation: DataFrame, confidence: DataFrame, n_users: int, n_items: int, params: Params = Params(),
-    init: tuple[DataFrame, DataFrame] | None = None, evaluator: MetricsOf | None = None,
+    init: Factors | None = None, evaluator: MetricsOf | None = None,
     variant: str = "model", layout: Layout | None = None,
 ) -> FitResult:
     """Train for `params.epochs` epochs on a given layout, or on one of its own."""
@@ -249,86 +442,221 @@ def fit(
         return trainer.fit(evaluator=evaluator, variant=variant)
 
 
+def _side_by_side(tables: Sequence[DataFrame]) -> DataFrame:
+    """Packed factors of several models as one table, the vectors behind one another."""
+    joined = tables[0]
+    for m, table in enumerate(tables[1:], 1):
+        other = table.select("idx", F.col("vec").alias(f"vec{m}"))
+        joined = joined.join(other, "idx").select("idx", F.concat("vec", f"vec{m}").alias("vec"))
+    return joined
+
+
 def _hot(state: DataFrame) -> DataFrame:
     return state.filter(F.col("home") == HOT_HOME)
 
 
-def _block_update(k: int, reg: float, gram: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The update of one block, as a function of its tiles and its inbound vectors."""
+def _weights(column: pa.Array | pa.ChunkedArray, models: int) -> np.ndarray:
+    """The entities' weights, a row each and a column per model."""
+    return to_matrix(column, models)
 
-    def update(tiles: pa.Table, inbound: pa.Table) -> pa.Table:
-        sources, targets, shares = (
-            inbound.filter(pc.equal(inbound["role"], role)).sort_by("idx") for role in (SOURCE, TARGET, SHARE)
-        )
-        source_idx, source_c = sources["idx"].to_numpy(), sources["c"].to_numpy()
-        source_vec = to_matrix(sources["vec"], k)
-        target_idx, target_c = targets["idx"].to_numpy(), targets["c"].to_numpy()
-        target_vec = to_matrix(targets["vec"], k).copy()
-        share_idx, share_c = shares["idx"].to_numpy(), shares["c"].to_numpy()
-        share_sums = np.zeros((len(share_idx), k, k + 1))
-
-        for t in range(tiles.num_rows):
-            dst, sizes, src = (unpack_row(tiles[name], t, np.int64) for name in ("dst", "sizes", "src"))
-            n, sw, swr = (unpack_row(tiles[name], t, np.float64) for name in ("n", "sw", "swr"))
-            hot = tiles["hot"][t].as_py()
-            rows = np.searchsorted(share_idx if hot else target_idx, dst)
-            c_x = (share_c if hot else target_c)[rows]
-            at = np.searchsorted(source_idx, src)
-            partners = source_vec[at]
-            weight = sw - n * (source_c[at] * np.repeat(c_x, sizes))
-            if hot:
-                np.add.at(share_sums, rows, normal_sums(sizes, partners, weight, swr))
+
+def _lists(values: np.ndarray) -> pa.Array:
+    rows, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * np.int32(width)), pa.array(values.ravel()))
+
+
+def _side(c: np.ndarray, vec: np.ndarray, k: int, observed: np.ndarray) -> np.ndarray:
+    """Gram matrices, squared norms and pairs' losses of some vectors, in one row of numbers."""
+    models = len(observed)
+    cubes = vec.reshape(len(vec), models, k)
+    grams = [(cubes[:, m] * c[:, m, None]).T @ cubes[:, m] for m in range(models)]
+    return np.concatenate([np.ravel(grams), (cubes**2).sum(axis=(0, 2)), observed])
+
+
+def _side_rows(side: np.ndarray, extra: int) -> list[pa.Array]:
+    """The columns of one row with home SIDE, `extra` null columns behind it."""
+    return [
+        pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([side.tobytes()], pa.binary()),
+        pa.array([SIDE], pa.int32()), pa.nulls(1, pa.list_(pa.int32())),
+        *[pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.float64()))][:extra],
+    ]
+
+
+class _BlockWork:
+    """One block's half-step, fed row by row in the order of `_stream`.
+
+    Without `reg` nothing is updated: only the pairs' loss at the given vectors is added up.
+    """
+
+    def __init__(self, k: int, models: int, reg: float | None, grams: np.ndarray, single_range: bool):
+        self.k, self.models, self.reg, self.grams, self.single = k, models, reg, grams, single_range
+        self.at = (BEFORE_RANGES, TARGET)
+        self.block = None
+        self.parts: dict[int, list[pa.RecordBatch]] = {TARGET: [], SHARE: [], SOURCE: []}
+        self.routes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.targets: tuple | None = None
+        self.sources: tuple | None = None
+        self.observed = np.zeros(models)
+        self.sums: list[np.ndarray] = []  # carried [A | b] of the targets, where there are several ranges
+
+    def take(self, batch: pa.RecordBatch) -> None:
+        rng, role = (batch.column(name).to_numpy() for name in ("rng", "role"))
+        ends = [*(np.flatnonzero((np.diff(rng) != 0) | (np.diff(role) != 0)) + 1).tolist(), batch.num_rows]
+        start = 0
+        for stop in ends:
+            here = (int(rng[start]), int(role[start]))
+            if here < self.at:
+                raise ValueError("a block's rows came out of order: spark.sql.unionOutputPartitioning must be on")
+            part = batch.slice(start, stop - start)
+            if self.block is None:
+                self.block = part.column("block")[0].as_py()
+            if here[0] != self.at[0]:  # a new range: the vectors of the one before can go
+                self.parts[SOURCE], self.sources = [], None
+            if here[1] == TILE:
+                for tile in part.column("payload"):
+                    self._tile(Tile.unpacked(tile.as_buffer()))
+            elif here[1] == ROUTE:
+                self.routes += [unpack_routes(row.as_buffer()) for row in part.column("payload")]
             else:
-                target_vec[rows] = sweep(target_vec[rows], c_x, sizes, partners, weight, swr, gram, reg)
-
-        block = inbound["block"][0].as_py()
-        finished = pa.table(
-            [
-                targets["idx"], targets["c"], from_matrix(target_vec),
-                pa.array(np.full(len(target_idx), block, np.int32)),
-                pa.nulls(len(target_idx), pa.int32()),
-                pa.nulls(len(target_idx), pa.list_(pa.float64())),
-            ],
-            names=STEP_NAMES,
-        )
-        if not len(share_idx):
-            return finished
-        hot_rows = len(share_idx) * k
-        offsets = np.arange(hot_rows + 1, dtype=np.int32) * np.int32(k + 1)
-        equations = pa.table(
-            [
-                pa.array(np.repeat(share_idx, k)), pa.array(np.repeat(share_c, k)),
-                pa.nulls(hot_rows, pa.binary()),
-                pa.array(np.full(hot_rows, HOT_HOME, np.int32)),
-                pa.array(np.tile(np.arange(k, dtype=np.int32), len(share_idx))),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(share_sums.ravel())),
-            ],
-            names=STEP_NAMES,
-        )
-        return pa.concat_tables([finished, equations.cast(finished.schema)])
+                self.parts[here[1]].append(part.select(["idx", "payload"]))
+            self.at, start = here, stop
+
+    def _sorted(self, role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indices, weights and vectors of the rows with a role, by index."""
+        width = self.models if role == SHARE else self.models * (self.k + 1)
+        if not self.parts[role]:
+            return np.zeros(0, np.int64), np.zeros((0, self.models)), np.zeros((0, width - self.models))
+        table = pa.Table.from_batches(self.parts[role])
+        idx = table["idx"].to_numpy()
+        order = np.argsort(idx, kind="stable")
+        numbers = to_matrix(table["payload"], width)
+        return idx[order], numbers[order, :self.models], numbers[order, self.models:]
+
+    def _begin(self) -> None:
+        self.targets = self._sorted(TARGET)
+        self.shares = self._sorted(SHARE)[:2]
+        self.share_sums = np.zeros((len(self.shares[0]), self.models, self.k, self.k + 1))
+        if not self.single:
+            self.sums = [np.zeros((len(self.targets[0]), self.k, self.k + 1)) for _ in range(self.models)]
+            self.touched = np.zeros(len(self.targets[0]), bool)
+
+    def _tile(self, tile: Tile) -> None:
+        if self.targets is None:
+            self._begin()
+        if self.sources is None:
+            self.sources = self._sorted(SOURCE)
+            self.parts[SOURCE] = []
+        source_idx, source_c, source_vec = self.sources
+        idx, c = self.shares if tile.hot else self.targets[:2]
+        rows, at = np.searchsorted(idx, tile.dst), np.searchsorted(source_idx, tile.src)
+        for some, pairs in chunks(tile.sizes, self.k):
+            partners, own, counts = source_vec[at[pairs]], rows[some], tile.sizes[some]
+            for m in range(self.models):
+                weight = tile.sw[pairs] - tile.n[pairs] * (source_c[at[pairs], m] * np.repeat(c[own, m], counts))
+                sums = normal_sums(counts, partners[:, m * self.k:(m + 1) * self.k], weight, tile.swr[pairs])
+                if tile.hot:
+                    self.share_sums[own, m] += sums
+                elif self.single:
+                    self._settle(m, own, sums)
+                else:
+                    self.sums[m][own] += sums
+            if not (tile.hot or self.single):
+                self.touched[own] = True
+
+    def _routes(self) -> pa.Array:
+        """The routes of the targets; those without pairs have none."""
+        idx = self.targets[0]
+        counts = np.zeros(len(idx) + 1, np.int64)
+        for own, sizes, _ in self.routes:
+            counts[1 + np.searchsorted(idx, own)] = sizes
+        # Each row of routes is a run of the block's entities by index; the targets are sorted likewise.
+        runs = sorted(self.routes, key=lambda run: run[0][0])
+        blocks = np.concatenate([np.zeros(0, np.int64), *[blocks for _, _, blocks in runs]])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), pa.array(blocks.astype(np.int32)))
+
+    def _settle(self, m: int, rows: np.ndarray, sums: np.ndarray) -> None:
+        """Sweep entities whose sums are complete."""
+        vec, part = self.targets[2], slice(m * self.k, (m + 1) * self.k)
+        if self.reg is not None:
+            vec[rows, part] = sweep_normal(vec[rows, part], self.targets[1][rows, m], sums, self.grams[m], self.reg)
+        self.observed[m] += pair_loss(sums, vec[rows, part])
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        if self.targets is None:
+            self._begin()
+        if not self.single:
+            for m in range(self.models):
+                rows = np.flatnonzero(self.touched)
+                for first in range(0, len(rows), 1024):
+                    self._settle(m, rows[first:first + 1024], self.sums[m][rows[first:first + 1024]])
+        idx, c, vec = self.targets
+        n = len(idx)
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(idx), from_matrix(c), from_matrix(vec), pa.array(np.full(n, self.block, np.int32)), self._routes(),
+                    pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.float64())),
+                ],
+                names=STEP_NAMES,
+            )
+        yield pa.RecordBatch.from_arrays(_side_rows(_side(c, vec, self.k, self.observed), 2), names=STEP_NAMES)
+        share_idx, share_c = self.shares
+        wide = self.models * self.k  # rows of [A | b] of an entity, model after model
+        for first in range(0, len(share_idx), 64):
+            some = slice(first, first + 64)
+            owners, n = share_idx[some], len(share_idx[some]) * wide
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(owners, wide)), from_matrix(np.repeat(share_c[some], wide, axis=0)), pa.nulls(n, pa.binary()),
+                    pa.array(np.full(n, HOT_HOME, np.int32)), pa.nulls(n, pa.list_(pa.int32())),
+                    pa.array(np.tile(np.arange(wide, dtype=np.int32), len(owners))),
+                    _lists(self.share_sums[some].reshape(n, self.k + 1)),
+                ],
+                names=STEP_NAMES,
+            )
+
+
+def _block_update(k: int, models: int, reg: float | None, grams: np.ndarray, single_range: bool):
+    """The half-step of one block, as a function of its stream of rows."""
+
+    def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = _BlockWork(k, models, reg, grams, single_range)
+        for batch in batches:
+            work.take(batch)
+        yield from work.finish()
 
     return update
 
 
-def _solve_hot(equations: DataFrame, hot: DataFrame, k: int, reg: float, gram: np.ndarray) -> DataFrame:
+def _solve_hot(
+    equations: DataFrame, hot: DataFrame, k: int, models: int, reg: float | None, grams: np.ndarray
+) -> DataFrame:
     """Add up the blocks' shares of each hot entity's equations and sweep once."""
     summed = (
         equations.select("idx", "equation", F.posexplode("sums").alias("column", "value"))
         .groupBy("idx", "equation", "column").agg(F.sum("value").alias("value"))
         .groupBy("idx")
         .agg(F.sort_array(F.collect_list(F.struct("equation", "column", "value"))).alias("cells"))
-        .select("idx", F.col("cells.value").alias("sums"))  # k * (k + 1) numbers
+        .select("idx", F.col("cells.value").alias("sums"))  # models * k * (k + 1) numbers
     )
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(models * (k * k + 2))
         for batch in batches:
-            old = to_matrix(batch.column("vec"), k)
-            sums = batch.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, k, k + 1)
-            c = batch.column("c").to_numpy(zero_copy_only=False)
-            new = sweep_normal(old, c, sums, gram, reg)
+            new = to_matrix(batch.column("vec"), k * models).copy()
+            sums = batch.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, models, k, k + 1)
+            c = _weights(batch.column("c"), models)
+            observed = np.zeros(models)
+            for m in range(models):
+                part = slice(m * k, (m + 1) * k)
+                if reg is not None:
+                    new[:, part] = sweep_normal(new[:, part], c[:, m], sums[:, m], grams[m], reg)
+                observed[m] = pair_loss(sums[:, m], new[:, part])
+            total += _side(c, new, k, observed)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("idx"), batch.column("c"), from_matrix(new), batch.column("home")],
+                [batch.column("idx"), batch.column("c"), from_matrix(new), batch.column("home"), batch.column("blocks")],
                 names=STATE_NAMES,
             )
+        yield pa.RecordBatch.from_arrays(_side_rows(total, 0), names=STATE_NAMES)
 
     return hot.join(summed, "idx").select(*STATE_NAMES, "sums").mapInArrow(solve, STATE_SCHEMA)

@@ -80,3 +80,39 @@ def drop_table(table: DataFrame) -> None:
         context = table.sparkSession.sparkContext
         folder = context._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where there is no such folder."""
+    files, folder = _file_system(spark, path)
+    return sorted(status.getPath().getName() for status in files.listStatus(folder)) if files.exists(folder) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that is there whole or not at all."""
+    files, target = _file_system(spark, path)
+    _, hidden = _file_system(spark, f"{path.rsplit('/', 1)[0]}/_writing-{uuid.uuid4().hex}")
+    out = files.create(hidden, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.rename(hidden, target):
+        raise OSError(f"could not write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    files, target = _file_system(spark, path)
+    stream = files.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.delete(target, True)

@@ -8,7 +8,7 @@ from test_ranking import naive_rank
 from test_training import RELATION, confidence_of, naive_epoch
 
 import tacitrec as tr
-from tacitrec.operators.blocks import build_blocks, observed_pairs
+from tacitrec.operators.blocks import Tile, lay_out, observed_pairs, place_pairs
 
 N_USERS, N_ITEMS, K = 90, 110, 4
 
@@ -26,13 +26,14 @@ def test_blocks_stay_even(spark, skewed):
     relation = spark.createDataFrame([(u, i, 1.0, 1.0) for u, i in skewed], RELATION)
     pairs = observed_pairs(relation)
     for dst, src in (("user_idx", "item_idx"), ("item_idx", "user_idx")):
-        blocks = build_blocks(pairs, dst, src, 6, 12)
-        sizes = [
-            row["pairs"]
-            for row in blocks.tiles.groupBy("block").agg((F.sum(F.length("src")) / 8).alias("pairs")).collect()
-        ]
-        assert len(sizes) == 6 and sum(sizes) == len(set(skewed))
-        assert max(sizes) < 1.6 * sum(sizes) / 6
+        placed = place_pairs(pairs, dst, src, 6, 12)
+        blocks = lay_out(placed, place_pairs(pairs, src, dst, 4, 12).routes())
+        sizes = {row["block"]: row["count"] for row in placed.rows.groupBy("block").count().collect()}
+        assert set(sizes) == set(blocks.keys) and sum(sizes.values()) == len(set(skewed))
+        assert max(sizes.values()) < 1.6 * sum(sizes.values()) / 6
+        tiles = blocks.tiles.filter("role = 4").withColumn("part", F.spark_partition_id()).collect()
+        assert len({row["part"] for row in tiles}) == 6  # a partition each
+        assert sum(len(Tile.unpacked(bytes(row["payload"])).src) for row in tiles) == len(set(skewed))
         blocks.close()
 
 

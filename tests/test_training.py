@@ -96,6 +96,7 @@ def random_case(seed, n_users=23, n_items=17, k=5, n_rows=260):
 
 @pytest.mark.parametrize("limits", [
     {}, {"blocks": 1}, {"blocks": 13}, {"hot_degree": 7, "blocks": 6}, {"hot_degree": 1, "blocks": 3},
+    {"range_entities": 1, "blocks": 2}, {"range_entities": 3, "hot_degree": 7, "blocks": 4}, {"block_entities": 2},
 ])
 def test_epochs_follow_the_rule_on_every_layout(spark, factors_of, limits):
     rows, p, q, c = random_case(1)
@@ -214,3 +215,126 @@ def test_infinite_factors_fail(spark, factors_of):
             relation_of(spark, [(0, 0)]), confidence_of(spark, [0.1]), 1, 1, tr.Params(factors=1),
             (factors_of([[float("nan")]]), factors_of([[1.0]])),
         ).fit(1)
+
+
+def test_objective_is_the_loss_cell_by_cell(spark, factors_of):
+    rows, p, q, c = random_case(5)
+    for limits in ({}, {"hot_degree": 6, "blocks": 4, "range_entities": 4}):
+        trainer = tr.Trainer(
+            spark.createDataFrame(rows, RELATION), confidence_of(spark, c.tolist()), len(p), len(q),
+            tr.Params(factors=5, **limits), (factors_of(p), factors_of(q)),
+        )
+        assert trainer.objective() == pytest.approx([loss(p, q, rows, c, 0.01)])
+        for step in (trainer.user_step, trainer.item_step):
+            step()
+            now = loss(matrix_of(trainer.user_factors), matrix_of(trainer.item_factors), rows, c, 0.01)
+            assert trainer.objective() == pytest.approx([now])
+        result = trainer.fit(2)
+        assert len(result.losses) == 2 and result.losses[1] == pytest.approx(trainer.objective()[0])
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot_degree": 6, "blocks": 4}, {"range_entities": 5}])
+def test_models_that_train_together_are_those_trained_alone(spark, factors_of, limits):
+    rows, p, q, c = random_case(6)
+    rng = np.random.default_rng(7)
+    starts = [(p, q), (rng.normal(0, 0.3, p.shape), rng.normal(0, 0.3, q.shape))]
+    weights = [c, c[::-1]]
+    relation, params = spark.createDataFrame(rows, RELATION), tr.Params(factors=5, **limits)
+    joint = tr.JointTrainer(
+        relation, [confidence_of(spark, w.tolist()) for w in weights], len(p), len(q), params,
+        [(factors_of(a), factors_of(b)) for a, b in starts],
+    ).fit_all(2)
+    for result, (a, b), w in zip(joint, starts, weights):
+        for _ in range(2):
+            a, b = naive_epoch(a, b, rows, w, 0.01)
+        np.testing.assert_allclose(matrix_of(result.users), a, atol=1e-9)
+        np.testing.assert_allclose(matrix_of(result.items), b, atol=1e-9)
+        assert result.losses[-1] == pytest.approx(loss(a, b, rows, w, 0.01))
+    joint[0].close()
+    assert joint[1].users.count() == len(p)  # the tables go with the last result
+
+
+def test_training_goes_on_from_its_folder(spark, factors_of, tmp_path):
+    rows, p, q, c = random_case(8)
+    path = str(tmp_path / "model")
+    store = tr.FactorStore(spark, path)
+    args = (spark.createDataFrame(rows, RELATION), confidence_of(spark, c.tolist()), len(p), len(q))
+    with tr.Trainer(*args, tr.Params(factors=5, reg=0.02), (factors_of(p), factors_of(q))) as trainer:
+        store.fit(trainer, 3)
+    assert store.epochs() == [2, 3]
+    (tmp_path / "model" / "users-000000004-half").mkdir()  # a driver was lost while it wrote the next version
+    again = tr.FactorStore(spark, path)
+    with again.resume() as trainer:
+        assert trainer.epochs_done == 3 and trainer.params.reg == 0.02
+        result = again.fit(trainer, 1)
+    assert [row["epoch"] for row in result.history.collect()] == [4]
+    for _ in range(4):
+        p, q = naive_epoch(p, q, rows, c, 0.02)
+    users, items = again.factors()
+    np.testing.assert_allclose(matrix_of(users), p, atol=1e-9)
+    np.testing.assert_allclose(matrix_of(items), q, atol=1e-9)
+    with tr.Trainer(*args, tr.Params(factors=5)) as trainer, pytest.raises(ValueError, match="resume"):
+        again.fit(trainer, 1)
+    with pytest.raises(FileNotFoundError):
+        tr.FactorStore(spark, str(tmp_path / "none")).resume()
+
+
+def test_a_half_step_moves_no_tiles(spark, factors_of):
+    """One shuffle, of vectors; the cached tiles are read in place."""
+    rows, p, q, c = random_case(9)
+    trainer = tr.Trainer(
+        spark.createDataFrame(rows, RELATION), confidence_of(spark, c.tolist()), len(p), len(q),
+        tr.Params(factors=5, blocks=3), (factors_of(p), factors_of(q)),
+    )
+    stream = trainer._stream(trainer.user_blocks, trainer.items, trainer.users).applyInArrow(lambda table: table, "block int")
+    plan = stream._jdf.queryExecution().executedPlan().toString()
+    own = plan[:plan.index("InMemoryRelation")]
+    assert "Exchange" not in own and "Sort" in own
+
+
+def test_memory_does_not_grow_with_pairs():
+    """A block's task holds one range of vectors and its sums, however many pairs stream through."""
+    import tracemalloc
+
+    from tacitrec.operators.blocks import SOURCE, TARGET, TILE, Tile
+    from tacitrec.plans.train import _BlockWork
+
+    k, n_targets, per_range = 8, 50, 400
+    rng = np.random.default_rng(1)
+
+    def row(place, role, idx, payload):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([0], pa.int32()), pa.array([place], pa.int32()), pa.array([role], pa.int32()), pa.array([idx], pa.int64()), pa.array([payload], pa.binary())],
+            names=["block", "rng", "role", "idx", "payload"],
+        )
+
+    def peak(n_ranges):
+        work = _BlockWork(k, 1, 0.01, np.zeros((1, k, k)), False)
+        tracemalloc.start()
+        for i in range(n_targets):
+            work.take(row(-1, TARGET, i, rng.normal(size=k + 1).tobytes()))
+        for place in range(n_ranges):
+            sources = np.arange(place * per_range, (place + 1) * per_range)
+            for i in sources:
+                work.take(row(place, SOURCE, i, rng.normal(size=k + 1).tobytes()))
+            tile = Tile(False, np.arange(n_targets), np.full(n_targets, per_range), np.tile(sources, n_targets), *rng.uniform(size=(3, n_targets * per_range)))
+            work.take(row(place, TILE, None, tile.packed()))
+        rows = list(work.finish())
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(len(r) for r in rows) == n_targets + 1
+        return top
+
+    assert peak(12) < 1.2 * peak(3)
+
+
+def test_rows_out_of_order_stop_the_job():
+    from tacitrec.plans.train import _BlockWork
+
+    work = _BlockWork(1, 1, 0.01, np.zeros((1, 1, 1)), True)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0, 0], pa.int32()), pa.array([0, -1], pa.int32()), pa.array([3, 0], pa.int32()), pa.array([0, 0]), pa.array([bytes(16)] * 2)],
+        names=["block", "rng", "role", "idx", "payload"],
+    )
+    with pytest.raises(ValueError, match="order"):
+        work.take(batch)
