@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tacitrec.operators.heavy import heavy_keys, join_salted
 from tacitrec.tables import together, write_table
 
 # monotonically_increasing_id keeps the row number within a partition in its low bits.
@@ -58,18 +59,21 @@ def encode_ids(df: DataFrame, users: DataFrame | None = None, items: DataFrame |
     """Add `user_idx` and `item_idx` to every row.
 
     `users` and `items` may hold the ids that occur in `df`, where they are known already;
-    otherwise `df` is searched for them.
+    otherwise `df` is searched for them. Rows of ids that a sketch finds very frequent are spread.
     """
-    (users, n_users), (items, n_items) = together(
+    (heavy_users, heavy_items), (users, n_users), (items, n_items) = together(
         df.sparkSession,
+        lambda: heavy_keys(df, "user_id", "item_id"),
         lambda: id_dictionary(df if users is None else users, "user_id"),
         lambda: id_dictionary(df if items is None else items, "item_id"),
     )
-    rows = (
-        df.join(users.select(F.col("id").alias("user_id"), F.col("idx").alias("user_idx")), "user_id")
-        .join(items.select(F.col("id").alias("item_id"), F.col("idx").alias("item_idx")), "item_id")
-        .select(*df.columns, "user_idx", "item_idx")
-    )
+    rows = df
+    for key, idx, dictionary, heavy in (
+        ("user_id", "user_idx", users, heavy_users), ("item_id", "item_idx", items, heavy_items)
+    ):
+        names = dictionary.select(F.col("id").alias(key), F.col("idx").alias(idx))
+        rows = join_salted(rows, names, key, heavy)
+    rows = rows.select(*df.columns, "user_idx", "item_idx")
     return Encoded(rows, users, items, n_users, n_items)
 
 

@@ -18,12 +18,18 @@ MOST, TRACKED = 1_000, 10_000
 SALTS = 32
 
 
-def heavy_keys(df: DataFrame, key: str, least: int = 4096) -> list:
-    """The values of `key` that hold over 1/1,000 of the rows and `least` rows or more."""
-    sketch = F.expr(f"approx_top_k(`{key}`, {MOST}, {TRACKED})")
-    found = df.agg(sketch.alias("top"), F.count("*").alias("rows")).first()
+def heavy_keys(df: DataFrame, *keys: str, least: int = 4096) -> list[list]:
+    """Per column of `keys`, the values that hold over 1/1,000 of the rows and `least` rows or more.
+
+    One pass; its result is at most `MOST` values a column.
+    """
+    sketches = [F.expr(f"approx_top_k(`{key}`, {MOST}, {TRACKED})").alias(f"top{i}") for i, key in enumerate(keys)]
+    found = df.agg(*sketches, F.count("*").alias("rows")).first()
     floor = max(least, found["rows"] // MOST)
-    return [entry["item"] for entry in found["top"] or [] if entry["item"] is not None and entry["count"] >= floor]
+    return [
+        [entry["item"] for entry in found[f"top{i}"] or [] if entry["item"] is not None and entry["count"] >= floor]
+        for i in range(len(keys))
+    ]
 
 
 def join_salted(

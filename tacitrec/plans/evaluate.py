@@ -12,6 +12,7 @@ from tacitrec.functions.ranking import count_above
 from tacitrec.functions.vectors import packed
 from tacitrec.operators.grid import CellBatch, plan_grid, score_grid
 from tacitrec.operators.sample import smallest_digests
+from tacitrec.operators.heavy import heavy_keys
 from tacitrec.operators.score import score_pairs
 from tacitrec.tables import write_table
 
@@ -45,7 +46,7 @@ def test_item_rank(users: DataFrame, items: DataFrame, test: DataFrame, train: D
     seen = write_table(_seen_by(test, train), "seen-pairs")
     tests = write_table(_test_pairs(test, seen), "test-pairs")
     n_users = tests.agg(F.countDistinct("user_idx")).first()[0]
-    return _ranks(users, items, tests, seen, n_users, items.count())
+    return _ranks(users, items, tests, seen, n_users, items.count(), _heavy(tests))
 
 
 def _seen_by(test: DataFrame, train: DataFrame | None) -> DataFrame:
@@ -65,12 +66,18 @@ def _test_pairs(test: DataFrame, seen: DataFrame) -> DataFrame:
     )
 
 
+def _heavy(tests: DataFrame) -> tuple[list, list]:
+    """Users and items of very many test rows."""
+    return tuple(heavy_keys(tests, "user_idx", "item_idx"))
+
+
 def _ranks(
-    users: DataFrame, items: DataFrame, tests: DataFrame, seen: DataFrame, n_users: int, n_items: int
+    users: DataFrame, items: DataFrame, tests: DataFrame, seen: DataFrame, n_users: int, n_items: int,
+    heavy: tuple[list, list],
 ) -> DataFrame:
     tested = tests.select(F.col("user_idx").alias("idx")).distinct()
     own, items = packed(users).join(tested, "idx", "left_semi"), packed(items)
-    limits = score_pairs(tests.filter(~F.col("known")), own, items).withColumnRenamed("score", "value")
+    limits = score_pairs(tests.filter(~F.col("known")), own, items, heavy).withColumnRenamed("score", "value")
     masked = tests.filter("known").select("user_idx", "item_idx", F.lit(float("-inf")).alias("value"))
 
     def count(batch: CellBatch) -> pa.RecordBatch:
@@ -117,9 +124,11 @@ class Evaluator:
         self.seen = _seen_by(chosen, train).persist(StorageLevel.MEMORY_AND_DISK)
         self.tests = _test_pairs(chosen, self.seen).persist(StorageLevel.MEMORY_AND_DISK)
         self.n_users = self.tests.agg(F.countDistinct("user_idx")).first()[0]
+        self.heavy = _heavy(self.tests)
 
     def __call__(self, users: DataFrame, items: DataFrame) -> DataFrame:
-        return hr_ndcg(_ranks(users, items, self.tests, self.seen, self.n_users, self.n_items), self.top_k)
+        ranks = _ranks(users, items, self.tests, self.seen, self.n_users, self.n_items, self.heavy)
+        return hr_ndcg(ranks, self.top_k)
 
     def close(self) -> None:
         self.tests.unpersist()

@@ -9,6 +9,8 @@ from test_training import RELATION, confidence_of, naive_epoch
 
 import tacitrec as tr
 from tacitrec.operators.blocks import Tile, lay_out, observed_pairs, place_pairs
+from tacitrec.operators.encode import encode_ids
+from tacitrec.operators.heavy import heavy_keys
 
 N_USERS, N_ITEMS, K = 90, 110, 4
 
@@ -114,5 +116,22 @@ def test_skew_without_broadcasts(spark, factors_of, skewed):
         scores = {(r["user_idx"], r["item_idx"]): r["score"] for r in tr.score_pairs(pairs, factors_of(p), factors_of(q)).collect()}
         assert set(scores) == set(skewed)
         assert all(abs(s - p[u] @ q[i]) < 1e-12 for (u, i), s in scores.items())
+        heavy = tr.score_pairs(pairs, factors_of(p), factors_of(q), ([0], [0]))  # as if both held very many
+        assert {(r["user_idx"], r["item_idx"]): r["score"] for r in heavy.collect()} == scores
+        plan = heavy._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and plan.count("_salt") > 2
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_sketch_finds_the_keys_of_very_many_rows(spark, interactions_of):
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id"))).alias("user_id"),
+        (F.col("id") % 7000).cast("string").alias("item_id"), F.col("id").alias("timestamp"),
+    )
+    assert heavy_keys(rows, "user_id", "item_id") == [["hot"], []]
+    assert heavy_keys(rows.limit(0), "user_id") == [[]]
+    encoded = encode_ids(rows)
+    found = encoded.rows.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("user_idx").alias("ids")).orderBy(F.desc("n"))
+    assert encoded.rows.count() == 30_000 and tuple(found.first()) == ("hot", 10_000, 1)
+    assert "_salt" in encoded.rows._jdf.queryExecution().executedPlan().toString()
