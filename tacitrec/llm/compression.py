@@ -2,14 +2,17 @@
 
 Zstandard tells repetitive text (it shrinks too much) from text without structure (it hardly
 shrinks). Both limits depend on the length, as short text always shrinks less. The whole text
-and its chunks of fixed size are compressed; a document fails if the whole lies outside its band,
-if more than `bad_share` of the bytes lie in chunks outside theirs, or if `bad_run` such chunks
-follow each other. Chunks find a repetitive or random passage in an otherwise ordinary document;
-a text that fits in one chunk is cut into short ones.
+and its chunks of `chunk_bytes` are compressed; a document fails if the whole lies outside its
+band, if more than `bad_share` of the bytes lie in chunks outside theirs, or if `bad_run` such
+chunks follow each other. Chunks find a repetitive or random passage in an otherwise ordinary
+document; they are the same for texts of every length, so a byte more or less changes no rule.
+The last chunk may be shorter and is judged by the band of its own length.
 
 A few plain counts come along, and base rules on them come before the bands. All of it is per
-document: no shuffle, and a task holds one Arrow batch. Null text has no words and fails the
-base rules like an empty one. Columns of the input that share a name with a measure are replaced.
+document: no shuffle, and a task holds one Arrow batch; a very long text is judged whole, chunk
+after chunk. Null text has no words and fails the base rules like an empty one. Repeated rows are
+judged each for itself, and an empty table gives no rows. Columns of the input that share a name
+with a measure are replaced.
 """
 
 from __future__ import annotations
@@ -54,9 +57,8 @@ class BandParams:
     window: int = 8
     max_repeat_percent: int = 30
     level: int = 3
-    chunk_bytes: int = 4096
-    short_chunk_bytes: int = 512
-    bad_share: float = 0.3
+    chunk_bytes: int = 512
+    bad_share: float = 0.2
     bad_run: int = 2
     bands: Sequence[tuple[int, float, float]] = BANDS
 
@@ -107,14 +109,12 @@ def measure(text: str | None, p: BandParams, compressor: zstandard.ZstdCompresso
         return ratio, not low <= ratio <= high
 
     ratio, failed = outside(data) if data else (0.0, False)
-    size = p.chunk_bytes if len(data) > p.chunk_bytes else p.short_chunk_bytes
     bad_bytes = run = longest = 0
-    if len(data) > size:
-        for i in range(0, len(data), size):
-            part = data[i : i + size]
-            run = run + 1 if outside(part)[1] else 0
-            bad_bytes += len(part) if run else 0
-            longest = max(longest, run)
+    for i in range(0, len(data), p.chunk_bytes) if len(data) > p.chunk_bytes else ():
+        part = data[i : i + p.chunk_bytes]
+        run = run + 1 if outside(part)[1] else 0
+        bad_bytes += len(part) if run else 0
+        longest = max(longest, run)
     bad_share = bad_bytes / len(data) if data else 0.0
     base_failed = len(words) < p.min_words or 100 * repeated > p.max_repeat_percent * len(words)
     kept = not base_failed and not failed and bad_share <= p.bad_share and longest < p.bad_run
