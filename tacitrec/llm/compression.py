@@ -2,11 +2,12 @@
 
 Zstandard tells repetitive text (it shrinks too much) from text without structure (it hardly
 shrinks). Both limits depend on the length, as short text always shrinks less. The whole text
-and its chunks of `chunk_bytes` are compressed; a document fails if the whole lies outside its
-band, if more than `bad_share` of the bytes lie in chunks outside theirs, or if `bad_run` such
-chunks follow each other. Chunks find a repetitive or random passage in an otherwise ordinary
-document; they are the same for texts of every length, so a byte more or less changes no rule.
-The last chunk may be shorter and is judged by the band of its own length.
+and its chunks of `chunk_bytes`, one every `chunk_step` bytes, are compressed; a document fails if
+the whole lies outside its band, if more than `bad_share` of its chunks lie outside theirs, or if
+`bad_run` such chunks follow each other. Chunks find a repetitive or random passage in an otherwise
+ordinary document; they overlap, so that it hardly matters where the passage begins, and are the
+same for texts of every length, so a byte more or less changes no rule. The last chunk may be
+shorter and is judged by the band of its own length.
 
 A few plain counts come along, and base rules on them come before the bands. All of it is per
 document: no shuffle, and a task holds one Arrow batch; a very long text is judged whole, chunk
@@ -58,6 +59,7 @@ class BandParams:
     max_repeat_percent: int = 30
     level: int = 3
     chunk_bytes: int = 512
+    chunk_step: int = 256
     bad_share: float = 0.2
     bad_run: int = 2
     bands: Sequence[tuple[int, float, float]] = BANDS
@@ -94,6 +96,11 @@ def band_of(n_bytes: int, bands: Sequence[tuple[int, float, float]]) -> tuple[fl
     return low, high
 
 
+def chunk_starts(n_bytes: int, p: BandParams) -> range:
+    """Where chunks begin; none in a text of one chunk, the last one reaches the end."""
+    return range(0, n_bytes - p.chunk_bytes + p.chunk_step, p.chunk_step) if n_bytes > p.chunk_bytes else range(0)
+
+
 def measure(text: str | None, p: BandParams, compressor: zstandard.ZstdCompressor) -> tuple:
     text = text or ""
     data = text.encode()
@@ -109,13 +116,12 @@ def measure(text: str | None, p: BandParams, compressor: zstandard.ZstdCompresso
         return ratio, not low <= ratio <= high
 
     ratio, failed = outside(data) if data else (0.0, False)
-    bad_bytes = run = longest = 0
-    for i in range(0, len(data), p.chunk_bytes) if len(data) > p.chunk_bytes else ():
-        part = data[i : i + p.chunk_bytes]
-        run = run + 1 if outside(part)[1] else 0
-        bad_bytes += len(part) if run else 0
-        longest = max(longest, run)
-    bad_share = bad_bytes / len(data) if data else 0.0
+    n_chunks = bad = run = longest = 0
+    for i in chunk_starts(len(data), p):
+        failing = outside(data[i : i + p.chunk_bytes])[1]
+        run = run + 1 if failing else 0
+        n_chunks, bad, longest = n_chunks + 1, bad + failing, max(longest, run)
+    bad_share = bad / n_chunks if n_chunks else 0.0
     base_failed = len(words) < p.min_words or 100 * repeated > p.max_repeat_percent * len(words)
     kept = not base_failed and not failed and bad_share <= p.bad_share and longest < p.bad_run
     return (
