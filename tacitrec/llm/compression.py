@@ -60,7 +60,7 @@ class BandParams:
     level: int = 3
     chunk_bytes: int = 512
     chunk_step: int = 256
-    bad_share: float = 0.2
+    bad_share: float = 0.1
     bad_run: int = 2
     bands: Sequence[tuple[int, float, float]] = BANDS
 

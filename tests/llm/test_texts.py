@@ -137,7 +137,7 @@ def check_measures(rows, texts):
 
 
 def within_bands(data):
-    """The whole in its band, at most a fifth of the chunks bad, no two of them in a row."""
+    """The whole in its band, at most a tenth of the chunks bad, no two of them in a row."""
     import zstandard
 
     def outside(part):
@@ -150,7 +150,7 @@ def within_bands(data):
     while len(data) > 512 and (start == 0 or start + 256 < len(data)):  # until a chunk has reached the end
         bad.append(outside(data[start:start + 512]))
         start += 256
-    return not outside(data) and sum(bad) <= 0.2 * len(bad) and not any(a and b for a, b in zip(bad, bad[1:]))
+    return not outside(data) and sum(bad) <= 0.1 * len(bad) and not any(a and b for a, b in zip(bad, bad[1:]))
 
 
 def test_measures_of_odd_texts(docs_of):
