@@ -20,26 +20,28 @@ from tacitrec.llm.queries import pack_params
 from tacitrec.llm.simhash import one_per_component
 from tacitrec.tables import write_table
 
-# A text goes if it has no letters, or if no language has as much as this share of it.
-LEAST_LANGUAGE_SHARE = 0.4
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Null texts and texts without letters go, and texts in which no language prevails.
+    """Null texts and texts without letters go, and texts that no mixture of languages explains.
 
-    The model learns from the rows of `docs` that are labelled and not held out. Without any
-    label nothing can be told, and all rows with letters stay.
+    The model learns from the rows of `docs` that are labelled and not held out. A text goes if its
+    n-grams are less likely, under the best mixture of learned languages, than text of these languages
+    of its length is; one in several learned languages stays. Without any label nothing can be told,
+    and all rows with letters stay. Repeated rows are judged alike; columns of any name are kept.
     """
     model = fit(docs.filter(~held_out()))
     if not model.languages:
         return docs.filter(F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
     found = identify(docs.select(F.struct("*").alias("doc"), "text"), model)
-    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE)
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("fit_score") >= F.col("expected_fit"))
     return found.filter(known).select("doc.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of ten documents or more go; `n_chars` follows the text; emptied documents stay."""
+    """Lines of ten documents or more go; `n_chars` follows the text; emptied documents stay.
+
+    Repeated rows count as documents each; columns of any name are kept.
+    """
     kept = drop_frequent_lines(docs.select(F.struct("*").alias("doc"), "text"), min_docs=10)
     fields = [
         F.col("text") if name == "text"
@@ -51,12 +53,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked fingerprints stays."""
+    """The document with the smallest id of each group of linked fingerprints stays.
+
+    Of rows with that same id one stays; null ids come last. Columns of any name are kept.
+    """
     return one_per_component(docs, shingle=4, seed=42, distance=4)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeated so that the words of the sources come near their targets."""
+    """Rows repeated so that the words of the sources come near their targets.
+
+    Rows of equal ids are drawn alike; columns of any name are kept.
+    """
     wrapped = docs.select(F.struct("*").alias("doc"), "doc_id", "source", word_count(F.col("text")).alias("words"))
     return emit(mix(wrapped, "doc_id", "source", F.col("words")).select("doc", "copies")).select("doc.*")
 

@@ -7,10 +7,18 @@ in a document; the set of languages is grown along the order of their shares as
 penalised likelihood (BIC) gets better. The language with the largest share is the prediction,
 its share the score.
 
+`fit_score` tells how well the chosen mixture explains the text: the log likelihood per n-gram, 1 at
+what the training text of its languages has, 0 at that of n-grams drawn evenly from all buckets.
+Text in a language that was not learned, or letters without sense, come near 0 or below; a mixture of
+learned languages stays near 1. `expected_fit` is the least value that text of the languages reaches,
+given how much the n-grams of a text of that length vary.
+
 Words are runs of letters, in lower case. Null text and text without letters is `und` with score
 0, as is every text if no row is labelled. Ties go to the first language in code point order.
-Counting emits one row per task, language and bucket, and the model has a fixed number of buckets
-per language, so what is broadcast is bounded by the number of languages. Texts are handled in
+Repeated rows are counted and judged each; an empty table learns nothing and gives no rows. Counting
+emits one row per task, language and bucket; a language's table is packed on the executors, 0.8 MB
+each, and more than `max_languages` of them stop the job, so what reaches the driver and is broadcast
+is bounded. Texts are handled in
 pieces of about a million characters, a longer text alone and whole. Columns of the input that
 share a name with a result are replaced.
 """
@@ -19,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,6 +41,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (2, 3, 4)
 PIECE_CHARS = 1_000_000
 UNKNOWN = "und"
+# Text of a learned language fits at least half way between evenly drawn n-grams and training text.
+LEAST_FIT = 0.5
 
 
 @dataclass(frozen=True)
@@ -42,6 +52,8 @@ class LanguageModel:
     languages: tuple[str, ...]
     logs: np.ndarray
     buckets: int
+    means: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of an n-gram's log frequency in the language
+    spreads: np.ndarray = field(default_factory=lambda: np.zeros(0))  # its standard deviation
 
 
 @dataclass(frozen=True)
@@ -105,7 +117,10 @@ def _pieces(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets: int = 1 << 16, smoothing: float = 0.5) -> LanguageModel:
+def fit(
+    labelled: DataFrame, text: str = "text", lang: str = "lang", buckets: int = 1 << 16, smoothing: float = 0.5,
+    max_languages: int = 200,
+) -> LanguageModel:
     """Count n-grams per language over all rows of `labelled` whose language is not null."""
     width = len(ORDERS) * buckets
 
@@ -132,38 +147,61 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets: in
             )
 
     rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).dropna()
-    counts = (
-        rows.mapInArrow(count, "lang string, bucket bigint, n bigint")
-        .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most
+    counts = rows.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+    def table(key: tuple, part: pa.Table) -> pa.Table:
+        logs, mean, spread = log_table(part["bucket"].to_numpy(), part["n"].to_numpy(), buckets, smoothing)
+        return pa.table({"lang": [key[0].as_py()], "logs": pa.array([logs.tobytes()], pa.binary()), "mean": [mean], "spread": [spread]})
+
+    # One language holds at most orders x buckets rows.
+    packed = counts.groupBy("lang").applyInArrow(table, "lang string, logs binary, mean double, spread double")
+    found = sorted(packed.limit(max_languages + 1).collect(), key=lambda r: r["lang"].encode())
+    if len(found) > max_languages:
+        raise ValueError(f"more than {max_languages} languages in the column {lang}: map them to fewer first, or raise max_languages")
+    logs = np.stack([np.frombuffer(r["logs"], np.float32) for r in found], 1) if found else np.zeros((width, 0), np.float32)
+    return LanguageModel(
+        tuple(r["lang"] for r in found), logs, buckets, np.array([r["mean"] for r in found]), np.array([r["spread"] for r in found])
     )
-    names = tuple(sorted(set(counts["lang"]), key=lambda s: s.encode()))
-    table = np.zeros((width, len(names)))
-    table[counts["bucket"].to_numpy(np.int64), counts["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(np.int64)] = counts["n"]
-    logs = np.zeros_like(table)
+
+
+def log_table(bucket: np.ndarray, n: np.ndarray, buckets: int, smoothing: float) -> tuple[np.ndarray, float, float]:
+    """Smoothed log frequencies of one language, each a part of the orders' mean, and how they vary in its text."""
+    counts = np.zeros(len(ORDERS) * buckets)
+    counts[bucket] = n
+    logs, means, squares = np.zeros(len(counts)), [], []
     for place in range(len(ORDERS)):
-        part = slice(place * buckets, (place + 1) * buckets)
-        logs[part] = np.log((table[part] + smoothing) / (table[part].sum(0) + smoothing * buckets))
-    return LanguageModel(names, (logs / len(ORDERS)).astype(np.float32), buckets)
+        own = slice(place * buckets, (place + 1) * buckets)
+        share = (counts[own] + smoothing) / (counts[own].sum() + smoothing * buckets)
+        logs[own] = np.log(share)
+        seen = counts[own] / max(counts[own].sum(), 1)
+        means.append((seen * logs[own]).sum())
+        squares.append((seen * logs[own] ** 2).sum())
+    mean = float(np.mean(means))
+    spread = float(np.sqrt(max(np.mean(squares) - np.mean(np.square(means)), 0.0)))
+    return (logs / len(ORDERS)).astype(np.float32), mean, spread
 
 
 def shares(likelihood: np.ndarray, counts: np.ndarray, starts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """EM for many documents at once: shares `(docs, languages)` and log likelihoods.
 
     `likelihood` has the log likelihood of each unit; a document's units lie together from
-    `starts` on; languages that are not `allowed` keep share 0.
+    `starts` on; languages that are not `allowed` keep share 0. A document stops by itself, so its
+    shares do not depend on the others.
     """
     lengths = np.diff(np.append(starts, len(counts)))
     top = likelihood.max(1, keepdims=True)
     scaled = np.exp(likelihood - top)
     totals = np.add.reduceat(counts, starts)[:, None]
     share = allowed / allowed.sum(1, keepdims=True)
+    moving = np.ones((len(starts), 1), bool)
     for _ in range(50):
         joint = np.repeat(share, lengths, 0) * scaled
         mass = np.maximum(joint.sum(1, keepdims=True), 1e-300)
         new = np.add.reduceat(joint * (counts[:, None] / mass), starts) / totals
-        moved = np.abs(new - share).max()
+        new = np.where(moving, new, share)
+        moving &= np.abs(new - share).max(1, keepdims=True) >= 1e-3
         share = new
-        if moved < 1e-3:
+        if not moving.any():
             break
     mass = np.maximum((np.repeat(share, lengths, 0) * scaled).sum(1), 1e-300)
     return share, np.add.reduceat(counts * (np.log(mass) + top[:, 0]), starts)
@@ -194,9 +232,10 @@ def _best_sets(likelihood: np.ndarray, counts: np.ndarray, starts: np.ndarray) -
     return best
 
 
-def infer(texts: list[str | None], model: LanguageModel) -> np.ndarray:
-    """Shares of the languages per text; a row of zeros where there are no letters."""
+def infer(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of the languages per text, a row of zeros where there are no letters; fit and expected fit."""
     result = np.zeros((len(texts), len(model.languages)))
+    explained, expected = np.zeros(len(texts)), np.zeros(len(texts))
     for piece in _pieces([len(t or "") for t in texts]):
         words = words_of(texts[piece])
         if not len(words.doc):
@@ -206,28 +245,45 @@ def infer(texts: list[str | None], model: LanguageModel) -> np.ndarray:
             [np.bincount(owner, model.logs[found, i], len(words.distinct)) for i in range(len(model.languages))], 1
         )
         docs, starts = np.unique(words.doc, return_index=True)
-        result[piece.start + docs] = _best_sets(per_word[words.word], words.count.astype(float), starts)
-    return result
+        counts = words.count.astype(float)
+        best = _best_sets(per_word[words.word], counts, starts)
+        rows = piece.start + docs
+        result[rows] = best
+        grams = np.bincount(owner, minlength=len(words.distinct))[words.word] / len(ORDERS)  # a word's, per order
+        n = np.add.reduceat(counts * grams, starts)
+        lengths = np.diff(np.append(starts, len(counts)))
+        joint = np.repeat(np.log(np.maximum(best, 1e-300)), lengths, 0) + per_word[words.word]
+        top = joint.max(1)
+        likelihood = np.add.reduceat(counts * (top + np.log(np.exp(joint - top[:, None]).sum(1))), starts) / n
+        even, usual = -np.log(model.buckets), best @ model.means
+        explained[rows] = (likelihood - even) / (usual - even)
+        # distinct words, as a word said ten times varies no less than one said once
+        distinct = np.add.reduceat(grams, starts)
+        expected[rows] = LEAST_FIT - 3 * (best @ model.spreads) / np.sqrt(distinct) / (usual - even)
+    return result, explained, expected
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """`df` with `lang_pred`, `score` and `languages`, the chosen set by falling share."""
-    held = df.sparkSession.sparkContext.broadcast((model.languages, model.logs, model.buckets))
+    """`df` with `lang_pred`, `score`, `languages`, the chosen set by falling share, and how well it fits."""
+    names = ("lang_pred", "score", "languages", "fit_score", "expected_fit")
+    held = df.sparkSession.sparkContext.broadcast(
+        (model.languages, model.logs, model.buckets, model.means, model.spreads)
+    )
 
     def predict(texts: pd.Series) -> pd.DataFrame:
         model = LanguageModel(*held.value)
-        rows = []
+        nothing = (UNKNOWN, 0.0, [], 0.0, 0.0)
         if not model.languages:
-            return pd.DataFrame([(UNKNOWN, 0.0, [])] * len(texts), columns=["lang_pred", "score", "languages"])
-        for share in infer([t if isinstance(t, str) else None for t in texts], model):
+            return pd.DataFrame([nothing] * len(texts), columns=names)
+        rows = []
+        for share, fits, least in zip(*infer([t if isinstance(t, str) else None for t in texts], model)):
             order = np.argsort(-share, kind="stable")
-            names = [model.languages[i] for i in order if share[i] > 0]
-            rows.append((names[0], float(min(share[order[0]], 1.0)), names) if names else (UNKNOWN, 0.0, []))
-        return pd.DataFrame(rows, columns=["lang_pred", "score", "languages"])
+            chosen = [model.languages[i] for i in order if share[i] > 0]
+            rows.append((chosen[0], float(min(share[order[0]], 1.0)), chosen, float(fits), float(least)) if chosen else nothing)
+        return pd.DataFrame(rows, columns=names)
 
-    kind = "lang_pred string, score double, languages array<string>"
+    kind = "lang_pred string, score double, languages array<string>, fit_score double, expected_fit double"
     found = df.withColumn("__language", F.pandas_udf(predict, kind)(F.col(f"`{text}`")))
-    names = ("lang_pred", "score", "languages")
     return replaced(found, **{n: F.col(f"__language.{n}") for n in names}).drop("__language")
 
 

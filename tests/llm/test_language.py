@@ -1,0 +1,155 @@
+"""Language ID against counting, expectation-maximisation and model choice in plain loops."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tacitrec.llm.language import fit, identify
+from tacitrec.llm.queries import QUERIES
+
+BUCKETS = 1 << 16
+
+
+def words(text):
+    return Counter(w for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if any(map(str.isalpha, w)))
+
+
+def grams(word):
+    """`(order, bucket)` of all n-grams of two to four bytes of a word between blanks."""
+    data = b" " + word.encode() + b" "
+    for order in (2, 3, 4):
+        for at in range(len(data) - order + 1):
+            code = 0
+            for byte in data[at:at + order]:
+                code = ((code ^ byte) * 0x9E3779B97F4A7C15) % (1 << 64)
+                code ^= code >> 29
+            yield order, code % BUCKETS
+
+
+class PlainLanguages:
+    def __init__(self, labelled):
+        self.counts = {}
+        for text, lang in labelled:
+            for word, n in words(text).items():
+                for gram in grams(word):
+                    self.counts.setdefault(lang, Counter())[gram] += n
+        self.totals = {lang: Counter() for lang in self.counts}
+        for lang, counts in self.counts.items():
+            for (order, _), n in counts.items():
+                self.totals[lang][order] += n
+        self.known = {}
+
+    def log(self, lang, gram):
+        return math.log((self.counts[lang][gram] + 0.5) / (self.totals[lang][gram[0]] + 0.5 * BUCKETS))
+
+    def word(self, word):
+        """Log likelihood of a word per language: the mean over the orders of the sums of its n-grams."""
+        if word not in self.known:
+            self.known[word] = {lang: sum(self.log(lang, g) for g in grams(word)) / 3 for lang in sorted(self.counts)}
+        return self.known[word]
+
+    def em(self, found, allowed):
+        share = {lang: 1 / len(allowed) for lang in allowed}
+        total = sum(found.values())
+        for _ in range(50):
+            new = dict.fromkeys(allowed, 0.0)
+            for word, n in found.items():
+                logs = self.word(word)
+                top = max(logs.values())
+                parts = {lang: share[lang] * math.exp(logs[lang] - top) for lang in allowed}
+                mass = max(sum(parts.values()), 1e-300)
+                for lang in allowed:
+                    new[lang] += n * parts[lang] / mass / total
+            moved = max(abs(new[lang] - share[lang]) for lang in allowed)
+            share = new
+            if moved < 1e-3:
+                break
+        return share, self.likelihood(found, share)
+
+    def likelihood(self, found, share):
+        total = 0.0
+        for word, n in found.items():
+            logs = self.word(word)
+            top = max(logs.values())
+            total += n * (top + math.log(max(sum(s * math.exp(logs[lang] - top) for lang, s in share.items()), 1e-300)))
+        return total
+
+    def predict(self, text):
+        """Shares of the chosen languages, empty where there are no letters."""
+        found, names = words(text), sorted(self.counts)
+        if not found or not names:
+            return {}
+        whole = self.em(found, names)[0]
+        order = sorted(names, key=lambda lang: -whole[lang])
+        alone = {lang: sum(n * self.word(w)[lang] for w, n in found.items()) for lang in names}
+        best = max(names, key=lambda lang: alone[lang])
+        chosen, score = {best: 1.0}, -2 * alone[best]
+        for size in range(2, len(names) + 1):
+            share, fits = self.em(found, order[:size])
+            value = -2 * fits + (size - 1) * math.log(sum(found.values()))
+            if value >= score:
+                break
+            chosen, score = share, value
+        return chosen
+
+    def moments(self, lang):
+        means, squares = [], []
+        for order in (2, 3, 4):
+            own = [(n / self.totals[lang][order], self.log(lang, g)) for g, n in self.counts[lang].items() if g[0] == order]
+            means.append(sum(p * x for p, x in own))
+            squares.append(sum(p * x * x for p, x in own))
+        return np.mean(means), math.sqrt(max(np.mean(squares) - np.mean(np.square(means)), 0))
+
+    def explains(self, text):
+        share = self.predict(text)
+        if not share:
+            return False
+        found = words(text)
+        size = {w: sum(1 for _ in grams(w)) / 3 for w in found}
+        fits = self.likelihood(found, share) / sum(n * size[w] for w, n in found.items())
+        moments = {lang: self.moments(lang) for lang in share}
+        even, usual = -math.log(BUCKETS), sum(s * moments[lang][0] for lang, s in share.items())
+        spread = sum(s * moments[lang][1] for lang, s in share.items()) / math.sqrt(sum(size.values()))
+        return (fits - even) / (usual - even) >= 0.5 - 3 * spread / (usual - even)
+
+
+def test_query_is_the_plain_rule(spark, small_tables):
+    docs = spark.read.parquet(f"{small_tables}/documents.parquet").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in docs}
+    plain = PlainLanguages([(r["text"], r["lang"]) for r in docs if r["lang"] and not held[r["doc_id"]]])
+    text = {r["doc_id"]: r["text"] for r in docs}
+    rows = QUERIES["op7_language"](spark, small_tables).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        share = plain.predict(text[r["doc_id"]])
+        assert r["held_out"] == held[r["doc_id"]]
+        if not share:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        assert set(r["languages"]) == {lang for lang, s in share.items() if s > 0}
+        assert r["lang_pred"] == max(sorted(share), key=share.get)
+        assert r["score"] == pytest.approx(share[r["lang_pred"]], abs=2e-3)
+
+
+def test_a_text_is_judged_by_itself(docs_of):
+    """Shares do not depend on the texts in the same batch."""
+    draw = np.random.default_rng(2)
+    vocabulary = {"en": "the and of to in is that it was for".split(), "de": "der die und das ist nicht ein auf mit sich".split()}
+    learned = [" ".join(draw.choice(vocabulary[lang], 50)) for lang in ("en", "de") * 10]
+    model = fit(docs_of(learned, langs=["en", "de"] * 10))
+    texts = [" ".join([*draw.choice(vocabulary["en"], n), *draw.choice(vocabulary["de"], 7)]) for n in range(1, 30)]
+    together = [tuple(r["score"] for r in identify(docs_of(texts).coalesce(1), model).orderBy("doc_id").collect())]
+    alone = [tuple(identify(docs_of([t]), model).first()["score"] for t in texts[:4])]
+    assert together[0][:4] == pytest.approx(alone[0], rel=1e-12)  # sums may run in another order
+
+
+def test_a_huge_text_and_too_many_languages(docs_of):
+    model = fit(docs_of(["the river and the stone " * 60_000, "der fluss und der stein " * 40], langs=["en", "de"]))
+    rows = identify(docs_of(["the river " * 200_000, "der stein"]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in rows] == ["en", "de"]
+    with pytest.raises(ValueError, match="max_languages"):
+        fit(docs_of(["a b", "c d", "e f"], langs=["x", "y", "z"]), max_languages=2)
