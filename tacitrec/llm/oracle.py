@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from tacitrec.llm.queries import SHARD_TREE, URL_RULES
 from tacitrec.llm.sharding import with_one_more
-from tacitrec.llm.url_templates import TemplateParams
 
 BLANK_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint"
@@ -24,10 +23,11 @@ select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from ranked
 """
 
 
-def op4() -> str:
-    p = TemplateParams()
+def op4(levels: int = 10) -> str:
+    """Segments with 20 urls stay literal with 2% of their parent's, or with labels unlike the rest's (z over 2)."""
     host = "coalesce(" + LOWER.format(r"regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)") + ", '')"
     path = r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '')"
+    band = " + ".join(f"(share >= {begin}::double)::int" for begin in (0.04, 0.15, 0.31, 0.49, 0.69, 0.85, 0.96))
     steps = [f"""
 urls as (select page_id, {host} as host, {path} as path from pages),
 shown as (
@@ -37,44 +37,49 @@ shown as (
 ),
 known as (select host, path, count(good) as labelled, sum(case when not good then 1 else 0 end) as bad from shown group by all),
 tree0 as (
-    select u.host, u.path, string_split(regexp_replace(u.path, '^/', ''), '/') as segments, '' as template, n,
+    select u.host, u.path, string_split(regexp_replace(u.path, '^/', ''), '/') as segments, '' as template, true as open, n,
         coalesce(labelled, 0) as labelled, coalesce(bad, 0) as bad
     from (select host, path, count(*) as n from urls group by all) u left join known k on u.host = k.host and u.path = k.path
 )"""]
-    for level in range(p.depth):
+    for level in range(levels):
         here = f"segments[{level + 1}]"
         steps.append(f"""
 children{level} as (
     select host, template, {here} as segment, sum(n) as n, sum(labelled) as labelled, sum(bad) as bad
-    from tree{level} where len(segments) > {level} group by all
+    from tree{level} where open and len(segments) > {level} group by all
 ),
-literal{level} as (
-    select c.* from children{level} c
-    join (select host, template, sum(n) as total from children{level} group by all) t
-    on c.host = t.host and c.template = t.template
-    where c.n >= {p.min_support} and c.n >= total * {p.min_share}
+totals{level} as (
+    select host, template, sum(n) as everything, sum(labelled) as all_labelled, sum(bad) as all_bad from children{level} group by all
+),
+supported{level} as (
+    select c.*, everything, all_labelled, all_bad, c.n >= everything * 0.02::double as large
+    from children{level} c join totals{level} t on c.host = t.host and c.template = t.template where c.n >= 20
 ),
-lagged{level} as (
-    select *, lag(labelled) over s as seen, lag(bad) over s as was_bad, lag(rate) over s as was
-    from (select *, case when labelled > 0 then bad / labelled end as rate from literal{level})
-    window s as (partition by host, template order by rate nulls last, segment)
+tests{level} as (
+    select *, (bad + rest_bad) / nullif(labelled + rest, 0) as mean,
+        (bad + 10.0::double * case when all_labelled > 0 then all_bad / all_labelled else 0.0::double end) / (labelled + 10.0::double) as share
+    from (
+        select *, all_labelled - sum(case when large then labelled else 0 end) over w - labelled as rest,
+            all_bad - sum(case when large then bad else 0 end) over w - bad as rest_bad
+        from supported{level} window w as (partition by host, template))
 ),
-started{level} as (
-    select *, sum(starts) over (partition by host, template order by rate nulls last, segment) as cluster from (
-        select *, case when seen is null then 0 when rate is null then case when was is null then 0 else 1 end
-            when rate - was > {p.max_z} * sqrt(mean * (1 - mean) * (1 / labelled + 1 / seen)) then 1 else 0 end as starts
-        from (select *, (bad + was_bad) / nullif(labelled + seen, 0) as mean from lagged{level}))
+literal{level} as (
+    select host, template, segment, {band} as band from tests{level}
+    where large or (labelled > 0 and rest > 0
+        and abs(bad / labelled - rest_bad / rest) > 2.0::double * sqrt(mean * (1 - mean) * (1 / labelled + 1 / rest)))
 ),
 tokens{level} as (
-    select host, template, segment, case when count(*) over (partition by host, template, cluster) > 1
-        then '+' || cluster::varchar else segment end as token
-    from started{level}
+    select host, template, segment, case when count(*) over (partition by host, template, band) > 1
+        then '+' || band::varchar else segment end as token
+    from literal{level}
 ),
 tree{level + 1} as (
-    select t.host, path, segments, case when len(segments) <= {level} then t.template
-        else t.template || '/' || coalesce(token, '*') end as template, n, labelled, bad
-    from tree{level} t left join tokens{level} k
-    on t.host = k.host and t.template = k.template and t.{here} = k.segment
+    select t.host, path, segments, open and (len(segments) <= {level} or everything >= 20) as open, n, labelled, bad,
+        t.template || case when not open or len(segments) <= {level} then '' when everything < 20 then '/**'
+            else '/' || coalesce(token, '*') end as template
+    from tree{level} t
+    left join totals{level} a on t.host = a.host and t.template = a.template
+    left join tokens{level} k on t.host = k.host and t.template = k.template and t.{here} = k.segment
 )""")
     fits = " ".join(
         f"when (host = '{r.partition('/')[0]}' or host like '%.{r.partition('/')[0]}')"
@@ -82,23 +87,20 @@ tree{level + 1} as (
         for r, v in sorted(URL_RULES, key=lambda r: (-len(r[0]), r[0]))
     )
     steps.append(f"""
-tree as (
-    select host, path, template || case when len(segments) > {p.depth} then '/**' else '' end as template, labelled, bad
-    from tree{p.depth}
-),
+tree as (select host, path, template, labelled, bad from tree{levels}),
 leaves as (select host, template, sum(labelled) as labelled, sum(bad) as bad from tree group by all),
 overall as (select case when sum(labelled) > 0 then (sum(labelled) - sum(bad)) / sum(labelled) else 1.0 end as share from leaves),
 hosts as (
-    select host, (sum(labelled) - sum(bad) + {p.prior} * any_value(share)::double) / (sum(labelled) + {p.prior}) as host_purity
+    select host, (sum(labelled) - sum(bad) + 10.0 * any_value(share)::double) / (sum(labelled) + 10.0) as host_purity
     from leaves, overall group by host
 ),
 judged as (
-    select l.host, l.template, (labelled - bad + {p.prior}::double * host_purity) / (labelled + {p.prior}::double) as purity
+    select l.host, l.template, (labelled - bad + 10.0::double * host_purity) / (labelled + 10.0::double) as purity
     from leaves l join hosts h on l.host = h.host
 ),
 verdicts as (
     select u.page_id, u.host, u.path, case {fits} end as fit, t.template, purity,
-        case when purity < {p.min_purity} then 'block' else 'allow' end as verdict
+        case when purity < 0.5 then 'block' else 'allow' end as verdict
     from (select page_id, host, path from urls) u join tree t on u.host = t.host and u.path = t.path
     join judged j on j.host = t.host and j.template = t.template
 )
