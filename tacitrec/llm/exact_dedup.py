@@ -9,8 +9,8 @@ expressions run.
 
 `verdicts` looks every row up in the state. Where a digest has several rows, their whole
 normalised texts are compared, and a digest that stands for different texts is split by the
-texts themselves. Copies collapse per task before texts are shuffled, and lookups are salted, so
-a group may hold any share of the rows.
+texts themselves. Copies collapse per task before texts are shuffled, and the rows of digests that
+hold over a thousandth of all rows are spread in the lookup, so a group may hold any share of the rows.
 
 Null text counts as empty, and all blank texts are equal. A null id comes after all others. Of
 rows equal in length and id the one in the first file and row stays. An empty table gives no
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tacitrec.llm.common import path_exists
+from tacitrec.operators.heavy import join_salted
 from tacitrec.tables import write_table
 
 # Preallocation would take megabytes of disk for every partition, however small its state.
@@ -35,6 +36,7 @@ SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+HOT_ROWS = 4096
 SALTS = 16
 # Files much older than the newest one seen would be skipped; copies and backups keep old times.
 MAX_FILE_AGE = "36500d"
@@ -139,7 +141,9 @@ class StreamingDedup:
         if there != taken:
             raise ValueError(f"{self.path} has {there} rows, and the state has taken in {taken}: call advance(), or start a new state")
         colliding = write_table(self.colliding(groups), "dedup-collisions")
-        found = rows.drop("normal").join(groups, "digest", "left")
+        # At most a thousand digests can have a thousandth of the rows.
+        hot = [r["digest"] for r in groups.filter(F.col("n") >= max(HOT_ROWS, taken // 1000)).select("digest").collect()]
+        found = join_salted(rows.drop("normal"), groups, "digest", hot, F.xxhash64("file", "row"), "left")
         missing = F.raise_error(F.concat(F.lit("no state for digest "), "digest"))
         looked_up = self._judged(found.withColumn("n", F.when(F.col("n").isNull(), missing).otherwise(F.col("n"))))
         if colliding.isEmpty():

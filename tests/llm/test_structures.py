@@ -82,6 +82,20 @@ def test_state_goes_on_with_new_files(spark, docs_of, tmp_path):
     assert "rocksdb" not in str(spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")).lower()
 
 
+def test_hot_digests_are_spread(spark, docs_of, tmp_path, monkeypatch):
+    import tacitrec.llm.exact_dedup as module
+
+    monkeypatch.setattr(module, "HOT_ROWS", 5)
+    path = written(docs_of(["same"] * 40 + [f"own {i}" for i in range(20)]).repartition(3), str(tmp_path / "d.parquet"))
+    dedup = StreamingDedup(spark, path, new_path(spark, "state"))
+    dedup.advance()
+    found = dedup.verdicts()
+    assert "_salt" in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert Counter((r["keep_id"], r["group_size"]) for r in rows if r["id"] < 40) == {(0, 40): 40}
+    assert sum(r["kept"] for r in rows) == 21 and len(rows) == 60
+
+
 def test_late_files_with_old_times_are_taken_in(spark, docs_of, tmp_path):
     path, state = str(tmp_path / "d.parquet"), new_path(spark, "state")
     written(docs_of(["one", "two"]), path)
