@@ -24,7 +24,7 @@ def write_lines(path, *lines):
 
 
 def test_ratings_scan_has_the_declared_schema(spark, tmp_path):
-    path = write_lines(tmp_path / "r.csv", "u1,i1,5.0,100", "u1,i2,,101")
+    path = write_lines(tmp_path / "r.csv", "kim,tent,2.5,7001", "ada,kite,,6900")
     ratings = read_ratings(spark, path)
     assert ratings.dtypes == [
         ("user_id", "string"), ("item_id", "string"), ("rating", "double"), ("timestamp", "bigint"),
@@ -36,14 +36,14 @@ def test_ratings_scan_has_the_declared_schema(spark, tmp_path):
 
 @pytest.mark.parametrize("token", ["NA", "null", "", "NaN", "None"])
 def test_spellings_of_missing_ids_are_dropped(spark, tmp_path, token):
-    path = write_lines(tmp_path / "r.csv", "u1,i1,5.0,100", f"{token},i2,5.0,101", f"u3,{token},5.0,102")
-    assert rows_of(tr.interactions(read_ratings(spark, path)), "user_id") == [("u1",)]
+    path = write_lines(tmp_path / "r.csv", f"ada,{token},1.0,40", "kim,tent,2.5,30", f"{token},kite,4.0,20")
+    assert rows_of(tr.interactions(read_ratings(spark, path)), "user_id") == [("kim",)]
 
 
 @pytest.mark.parametrize("token", ["NA", "null", "", "NaN"])
 def test_spellings_of_missing_ratings_are_null(spark, tmp_path, token):
-    path = write_lines(tmp_path / "r.csv", "u1,i1,5.0,100", f"u2,i2,{token},101")
-    assert [row["rating"] for row in read_ratings(spark, path).orderBy("user_id").collect()] == [5.0, None]
+    path = write_lines(tmp_path / "r.csv", f"zoe,kite,{token},77", "kim,tent,2.5,78")
+    assert [row["rating"] for row in read_ratings(spark, path).orderBy("user_id").collect()] == [2.5, None]
 
 
 @pytest.mark.parametrize("line", [
@@ -108,6 +108,25 @@ def test_core_over_many_passes(interactions_of):
     assert core.passes == passes > 20
 
 
+def test_a_pass_reads_the_buckets_of_its_frontier(spark):
+    from tacitrec.operators.kcore import MOST_BUCKETS, _bucket, _Falling, _write_pairs
+
+    rows = spark.range(400).select(
+        (F.col("id") % 40).cast("string").alias("user_id"), (F.col("id") % 50).cast("string").alias("item_id"), F.lit(1).cast("bigint").alias("n")
+    )
+    pairs, found = _write_pairs(rows, bucketed=True)
+    assert (found["pairs"], found["n"], found["nulls"]) == (400, 400, 0)
+    number = spark.range(1).select(F.lit("7").alias("k")).select(_bucket("k", MOST_BUCKETS)).first()[0]
+    keys = spark.createDataFrame([("7",)], "user_id string")
+    for ids in ({}, {"user": ["7"]}):
+        read = pairs.of("user", "user_id", _Falling(1, 10, {"user": [number]}, ids, {}), keys)
+        assert read.count() == 10
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert pairs.sides["user"].filter(F.col("bucket") == number % pairs.buckets).count() < 400 // 2
+    pairs.close(spark)
+
+
 def naive_core(rows, k):
     passes = 0
     while True:
@@ -197,12 +216,12 @@ def test_dictionary_numbers_strings_in_code_point_order(interactions_of):
 
 
 def test_encode_is_dense_and_consistent(interactions_of):
-    encoded = tr.encode_ids(interactions_of([("u1", "iA", 1), ("u1", "iB", 2), ("u2", "iA", 3)]))
+    encoded = tr.encode_ids(interactions_of([("mia", "lamp", 8), ("leo", "sofa", 6), ("leo", "desk", 7), ("mia", "desk", 9)]))
     assert rows_of(encoded.rows, "user_id", "item_id", "user_idx", "item_idx") == [
-        ("u1", "iA", 0, 0), ("u1", "iB", 0, 1), ("u2", "iA", 1, 0),
+        ("leo", "desk", 0, 0), ("leo", "sofa", 0, 2), ("mia", "desk", 1, 0), ("mia", "lamp", 1, 1),
     ]
     back = tr.decode(encoded.rows.select("user_idx", "item_idx"), encoded.users, encoded.items)
-    assert rows_of(back, "user_id", "item_id") == [("u1", "iA"), ("u1", "iB"), ("u2", "iA")]
+    assert rows_of(back, "user_id", "item_id") == [("leo", "desk"), ("leo", "sofa"), ("mia", "desk"), ("mia", "lamp")]
 
 
 def test_dictionary_over_many_partitions(spark):
