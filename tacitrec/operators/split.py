@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from tacitrec.tables import write_table
+from tacitrec.tables import hand_over, write_table
+
+PART, LAST, FINAL = "_part", "_last", "_final"
 
 
 def leave_one_out(
@@ -15,24 +20,50 @@ def leave_one_out(
 ) -> tuple[DataFrame, DataFrame]:
     """Return `(train, test)`, with one test row per user.
 
-    The last row is the greatest by `order`; the remaining columns break ties, so only
-    exact copies can tie, and of those one is held out. The greatest row per user is an
-    aggregate that combines before the shuffle, not a window: a user with very many rows
-    is never gathered in one task. The test rows are written, as train depends on them.
+    The last row is the greatest by `order`; the remaining columns break ties, so only exact
+    copies can tie, and of those one is held out. The rows are range-partitioned and sorted by user
+    and order, so a user with very many rows is spread, and written once. A task marks the rows after
+    which another user follows; whether the user of a partition's final row goes on in the next one
+    is known from one row per partition. Both results read the one table, without a join.
     """
     columns = list(df.columns)
-    ranked = [*order, *[name for name in columns if name not in order and name != "user_idx"]]
-    row = F.struct(*ranked)
-    last = df.groupBy("user_idx").agg(F.max(row).alias("last"))
-    test = write_table(last.select("user_idx", "last.*").select(*columns), "test")
-
-    held = test.select("user_idx", row.alias("last"))
-    marked = df.join(held, "user_idx").withColumn("held", row.eqNullSafe(F.col("last")))
-    others = marked.filter(~F.col("held")).select(*columns)
-    copies = (
-        marked.filter("held").groupBy(*columns).agg(F.count("*").alias("copies"))
-        .filter("copies > 1")
-        .select(*columns, F.explode(F.sequence(F.lit(2), F.col("copies"))).alias("copy"))
-        .drop("copy")
+    ranked = ["user_idx", *order, *[name for name in columns if name not in order and name != "user_idx"]]
+    extra = [StructField(PART, IntegerType()), StructField(LAST, BooleanType()), StructField(FINAL, BooleanType())]
+    schema = StructType([*df.schema.fields, *extra])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Mark each user's last row; a batch waits until the next one shows how its users go on."""
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if batch.num_rows:
+                if held is not None:
+                    yield marked(held, batch.column(users)[0])
+                held = batch
+        if held is not None:
+            yield marked(held, None)
+
+    users = columns.index("user_idx")
+
+    def marked(batch: pa.RecordBatch, following: pa.Scalar | None) -> pa.RecordBatch:
+        user = batch.column(users).to_pandas().to_numpy()
+        last, final = np.ones(len(user), bool), np.zeros(len(user), bool)
+        last[:-1] = user[:-1] != user[1:]
+        if following is not None:
+            last[-1] = user[-1] != following.as_py()
+        else:
+            final[-1] = True
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(last), pa.array(final)], schema.names)
+
+    placed = write_table(
+        df.repartitionByRange(*ranked).sortWithinPartitions(*ranked)
+        .withColumn(PART, F.spark_partition_id()).mapInArrow(mark, schema),
+        "split",
     )
-    return others.unionByName(copies), test
+    ends = placed.groupBy(PART).agg(
+        F.min("user_idx").alias("first"), F.max("user_idx").alias("last")
+    ).orderBy(PART).collect()  # one row per partition
+    going_on = [here[PART] for here, following in zip(ends, ends[1:]) if here["last"] == following["first"]]
+    is_test = F.col(LAST) & ~(F.col(FINAL) & F.col(PART).isin(going_on))
+    train, test = placed.filter(~is_test).select(*columns), placed.filter(is_test).select(*columns)
+    hand_over(placed, test)  # dropping the test rows drops the table of both
+    return train, test

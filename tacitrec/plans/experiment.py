@@ -24,7 +24,7 @@ from tacitrec.tables import drop_table, write_table
 
 @dataclass(frozen=True)
 class Dataset:
-    """Train and test rows as written tables, dictionaries `(id, idx)` and their sizes."""
+    """Train and test rows of one written table, dictionaries `(id, idx)` and their sizes."""
 
     train: DataFrame
     test: DataFrame
@@ -52,8 +52,7 @@ def split_dataset(
     if encoded.n_users == 0 or encoded.n_items == 0:
         raise ValueError("no users or items left: lower min_interactions or raise sample_fraction")
     written = write_table(encoded.rows.drop("user_id", "item_id"), "encoded")
-    lazy_train, test = leave_one_out(written, order)
-    train = write_table(lazy_train, "train")
+    train, test = leave_one_out(written, order)
     drop_table(written)
     return Dataset(train, test, encoded.users, encoded.items, encoded.n_users, encoded.n_items)
 

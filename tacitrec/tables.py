@@ -70,6 +70,11 @@ def write_table(df: DataFrame, name: str, columns: Sequence[str] | None = None)
     return table
 
 
+def hand_over(table: DataFrame, frame: DataFrame) -> None:
+    """From now on `drop_table` of `frame`, which reads `table`, deletes its files."""
+    _paths[frame] = _paths.pop(table)
+
+
 def drop_table(table: DataFrame) -> None:
     """Delete the files of a frame that `write_table` returned and nobody reads any more.
 
