@@ -30,11 +30,14 @@ from tacitrec.llm.common import path_exists
 from tacitrec.operators.heavy import join_salted
 from tacitrec.tables import write_table
 
-# Preallocation would take megabytes of disk for every partition, however small its state.
+# Preallocation would take megabytes of disk for every partition, however small its state. The stores of
+# an executor share one bound on native memory; those of ended streams stay loaded for a while.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
 }
 HOT_ROWS = 4096
 SALTS = 16
