@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tacitrec.operators.heavy import heavy_keys, join_salted
+from tacitrec.operators.heavy import found_heavy, heavy_keys, join_salted, sketch
 from tacitrec.tables import together, write_table
 
 # monotonically_increasing_id keeps the row number within a partition in its low bits.
@@ -26,15 +26,22 @@ class Encoded:
 
 
 def id_dictionary(df: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """Number the distinct values of `column` from 0 in code point order.
+    """Number the distinct values of `column` from 0 in code point order."""
+    return _dictionary(df, column)[:2]
+
+
+def _dictionary(df: DataFrame, column: str) -> tuple[DataFrame, int, list]:
+    """The numbered values of `column`, how many there are, and the very frequent ones.
 
     The values are range-partitioned and sorted; the number is the place in the partition
     plus the sizes of the partitions before it. The sorted values are written first, as
-    range bounds may differ between two runs of the same plan.
+    range bounds may differ between two runs of the same plan. The frequent values are sketched in
+    the same scan.
     """
-    spark = df.sparkSession
+    spark, seen = df.sparkSession, Observation()
+    observed = df.select(F.col(column).alias("id")).observe(seen, sketch("id").alias("top"), F.count("*").alias("rows"))
     placed = write_table(
-        df.select(F.col(column).alias("id")).distinct()
+        observed.distinct()
         .repartitionByRange("id").sortWithinPartitions("id")
         .select(
             "id",
@@ -52,7 +59,7 @@ def id_dictionary(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     numbered = placed.join(F.broadcast(offsets), "part").select(
         "id", (F.col("start") + F.col("place")).alias("idx")
     )
-    return numbered, total
+    return numbered, total, found_heavy(seen.get["top"], seen.get["rows"])
 
 
 def encode_ids(df: DataFrame, users: DataFrame | None = None, items: DataFrame | None = None) -> Encoded:
@@ -61,12 +68,14 @@ def encode_ids(df: DataFrame, users: DataFrame | None = None, items: DataFrame |
     `users` and `items` may hold the ids that occur in `df`, where they are known already;
     otherwise `df` is searched for them. Rows of ids that a sketch finds very frequent are spread.
     """
-    (heavy_users, heavy_items), (users, n_users), (items, n_items) = together(
+    given = [key for key, ids in (("user_id", users), ("item_id", items)) if ids is not None]
+    frequent, (users, n_users, heavy_users), (items, n_items, heavy_items) = together(
         df.sparkSession,
-        lambda: heavy_keys(df, "user_id", "item_id"),
-        lambda: id_dictionary(df if users is None else users, "user_id"),
-        lambda: id_dictionary(df if items is None else items, "item_id"),
+        lambda: dict(zip(given, heavy_keys(df, *given))) if given else {},
+        lambda: _dictionary(df if users is None else users, "user_id"),
+        lambda: _dictionary(df if items is None else items, "item_id"),
     )
+    heavy_users, heavy_items = frequent.get("user_id", heavy_users), frequent.get("item_id", heavy_items)
     rows = df
     for key, idx, dictionary, heavy in (
         ("user_id", "user_idx", users, heavy_users), ("item_id", "item_idx", items, heavy_items)

@@ -16,20 +16,27 @@ from pyspark.sql import functions as F
 # them, as the sketch is wrong by less than 1/4,000 of the rows.
 MOST, TRACKED = 1_000, 10_000
 SALTS = 32
+LEAST = 4096  # rows of a key that one task handles anyway
 
 
-def heavy_keys(df: DataFrame, *keys: str, least: int = 4096) -> list[list]:
+def heavy_keys(df: DataFrame, *keys: str, least: int = LEAST) -> list[list]:
     """Per column of `keys`, the values that hold over 1/1,000 of the rows and `least` rows or more.
 
     One pass; its result is at most `MOST` values a column.
     """
-    sketches = [F.expr(f"approx_top_k(`{key}`, {MOST}, {TRACKED})").alias(f"top{i}") for i, key in enumerate(keys)]
-    found = df.agg(*sketches, F.count("*").alias("rows")).first()
-    floor = max(least, found["rows"] // MOST)
-    return [
-        [entry["item"] for entry in found[f"top{i}"] or [] if entry["item"] is not None and entry["count"] >= floor]
-        for i in range(len(keys))
-    ]
+    found = df.agg(*[sketch(key).alias(f"top{i}") for i, key in enumerate(keys)], F.count("*").alias("rows")).first()
+    return [found_heavy(found[f"top{i}"], found["rows"], least) for i in range(len(keys))]
+
+
+def sketch(key: str) -> Column:
+    """The frequent items of a column, to be added up by any aggregate or observation."""
+    return F.expr(f"approx_top_k(`{key}`, {MOST}, {TRACKED})")
+
+
+def found_heavy(entries: Sequence | None, rows: int, least: int = LEAST) -> list:
+    """The heavy ones among the items of a sketch over so many rows."""
+    floor = max(least, rows // MOST)
+    return [entry["item"] for entry in entries or [] if entry["item"] is not None and entry["count"] >= floor]
 
 
 def join_salted(
