@@ -59,7 +59,8 @@ def _dictionary(df: DataFrame, column: str) -> tuple[DataFrame, int, list]:
     numbered = placed.join(F.broadcast(offsets), "part").select(
         "id", (F.col("start") + F.col("place")).alias("idx")
     )
-    return numbered, total, found_heavy(seen.get["top"], seen.get["rows"])
+    # Of a scan without rows nothing is observed.
+    return numbered, total, found_heavy(seen.get["top"], seen.get["rows"]) if total else []
 
 
 def encode_ids(df: DataFrame, users: DataFrame | None = None, items: DataFrame | None = None) -> Encoded:

@@ -215,6 +215,17 @@ def test_dictionary_numbers_strings_in_code_point_order(interactions_of):
     assert (encoded.n_users, encoded.n_items) == (8, 1)
 
 
+def test_empty_inputs(interactions_of):
+    some = interactions_of([("u", "i", 1)])
+    for none in (some.limit(0), some.filter("timestamp > 5"), some.filter("timestamp > 5").repartition(3), some.join(some.filter("timestamp > 5"), "user_id", "left_semi")):
+        assert tr.sample_exact(none, 0.5, none.columns).count() == 0
+        assert smallest_digests(none, 3, none.columns).count() == 0
+        core = tr.kcore(none, 2)
+        assert (core.rows.count(), core.n_rows, core.n_users, core.n_items, core.passes) == (0, 0, 0, 0, 1)
+        encoded = tr.encode_ids(none)
+        assert (encoded.rows.count(), encoded.n_users, encoded.n_items) == (0, 0, 0)
+
+
 def test_encode_is_dense_and_consistent(interactions_of):
     encoded = tr.encode_ids(interactions_of([("mia", "lamp", 8), ("leo", "sofa", 6), ("leo", "desk", 7), ("mia", "desk", 9)]))
     assert rows_of(encoded.rows, "user_id", "item_id", "user_idx", "item_idx") == [
