@@ -149,3 +149,34 @@ def test_grid_sizes(n_users, n_items, tasks):
     assert plan.range_length <= grid.ITEMS_PER_RANGE
     assert plan.range_length * plan.ranges >= n_items
     assert -(-n_users // plan.groups) <= grid.USERS_PER_GROUP
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e20])
+@pytest.mark.parametrize("dyadic", [True, False])
+def test_leaves_decide_most_items_without_their_scores(monkeypatch, dyadic, scale):
+    import tacitrec.functions.ranking as ranking
+
+    p, q, train, test = random_case(60, 4000, 3, 17, dyadic)
+    p, q = p * scale, q[np.argsort(np.arange(4000) % 7)]
+    scores = np.zeros((60, 4000))
+    for f in range(3):
+        scores += np.outer(p[:, f], q[:, f])
+    limits = scores[np.arange(60), [i for _, i in test]]
+    limits[5] = -np.inf
+    row, place = (np.array(column) for column in zip(*sorted(set(train))))
+    masked = scores.copy()
+    masked[row, place] = -np.inf
+    leaves = ranking.make_leaves(q, 32)
+    assert sorted(leaves.place) == list(range(4000)) and leaves.sizes.max() <= 32
+    counts = ranking.count_above_in(leaves, p, limits, row, place, q)
+    np.testing.assert_array_equal(counts, (masked > limits[:, None]).sum(axis=1))
+
+    looked = []
+    plain = ranking.best_items
+    monkeypatch.setattr(ranking, "best_items", lambda found, *rest: looked.append(found.size) or plain(found, *rest))
+    user, item, score, _ = ranking.best_items_in(leaves, p, row, place, np.arange(4000), 9)
+    for u in range(60):
+        order = sorted(range(4000), key=lambda i: (-masked[u, i], i))[:9]
+        assert item[user == u].tolist() == order
+        np.testing.assert_array_equal(score[user == u], scores[u, order])
+    assert sum(looked) < scores.size / 2
