@@ -135,3 +135,19 @@ def test_a_sketch_finds_the_keys_of_very_many_rows(spark, interactions_of):
     found = encoded.rows.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("user_idx").alias("ids")).orderBy(F.desc("n"))
     assert encoded.rows.count() == 30_000 and tuple(found.first()) == ("hot", 10_000, 1)
     assert "_salt" in encoded.rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_hot_entities_are_not_sent_to_the_driver(spark):
+    """A packed table of hot entities looks small, so nothing but a hint keeps it from being broadcast."""
+    pairs = spark.range(2000).selectExpr(
+        "id % 200 as user_idx", "id as item_idx", "1D as n", "1D as sw", "1D as swr"
+    )
+    placed = place_pairs(pairs, "user_idx", "item_idx", 3, 4)
+    plan = placed.rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "Generate" not in plan
+    assert placed.rows.filter("hot").count() == 2000
+    homes = lay_out(placed, place_pairs(pairs, "item_idx", "user_idx", 3, 4).routes()).with_home(
+        spark.range(200).withColumnRenamed("id", "idx")
+    )
+    assert "BroadcastHashJoin" not in homes._jdf.queryExecution().executedPlan().toString()
+    assert {row["home"] for row in homes.collect()} == {-1}
