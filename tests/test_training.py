@@ -338,3 +338,10 @@ def test_rows_out_of_order_stop_the_job():
     )
     with pytest.raises(ValueError, match="order"):
         work.take(batch)
+
+
+def test_a_given_number_of_blocks_does_not_let_a_block_grow(spark):
+    relation = spark.range(400).selectExpr("id % 50 as user_idx", "id % 7 as item_idx", "1D as r", "1D as w")
+    layout = tr.plans.train.Layout(relation, tr.Params(blocks=3, block_entities=10))
+    assert (layout.user_blocks.n_blocks, layout.item_blocks.n_blocks) == (5, 3)
+    layout.close()
