@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import tacitrec as tr
 from tacitrec.operators.sample import row_digest, smallest_digests
 from tacitrec.sources.ratings import read_ratings, write_ratings
+from tacitrec.tables import drop_table
 
 
 def rows_of(df, *columns):
@@ -335,3 +336,12 @@ def test_summaries(spark):
     encoded = tr.dataset_summary_encoded(train, test, 3, 3).first()
     assert tuple(encoded)[:4] == (3, 3, 3, 3)
     assert encoded["sparsity"] == pytest.approx(1 - 3 / 9)
+
+
+def test_encoding_computes_its_input_once(spark, interactions_of):
+    rows = interactions_of([("a", "x", 1), ("b", "y", 2), ("a", "y", 3)])
+    encoded = tr.encode_ids(rows.join(rows.select("timestamp"), "timestamp"))
+    assert encoded.rows.count() == 3
+    plan = encoded.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 4  # two for each dictionary; the join of the input was written before
+    drop_table(encoded.staged)
