@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import tacitrec as tr
 from tacitrec.operators.sample import row_digest, smallest_digests
 from tacitrec.sources.ratings import read_ratings, write_ratings
-from tacitrec.tables import drop_table
+from tacitrec.tables import drop_table, write_table
 
 
 def rows_of(df, *columns):
@@ -345,3 +345,39 @@ def test_encoding_computes_its_input_once(spark, interactions_of):
     plan = encoded.rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 4  # two for each dictionary; the join of the input was written before
     drop_table(encoded.staged)
+
+
+def _split_tables(spark, rows, monkeypatch):
+    """The split of a data set, decoded, and the names of the tables that were written for it."""
+    from tacitrec.operators import encode, split
+    from tacitrec.plans import experiment
+
+    names = []
+    for module in (encode, split, experiment):
+        monkeypatch.setattr(module, "write_table", lambda df, name, *a: names.append(name) or write_table(df, name, *a))
+    data = experiment.split_dataset(rows, ["timestamp", "place"])
+    assert data.train.columns == data.test.columns == ["timestamp", "place", "note", "user_idx", "item_idx"]
+    found = [
+        sorted(map(repr, tr.decode(part, data.users, data.items).collect())) for part in (data.train, data.test)
+    ]
+    data.close()
+    return found, names
+
+
+def test_split_writes_the_encoded_rows_once(spark, monkeypatch):
+    from tacitrec.operators import encode
+
+    rows = spark.createDataFrame(
+        [
+            ("a", "x", 5, None, "n"), ("a", "y", 5, 1, None), ("a", "y", 5, 1, "k"), ("a", "y", 5, 1, "k"),
+            ("b", "x", 1, None, "n"), ("b", "x", 1, None, "n"), ("c", "z", 2, 7, "m"), (None, "z", 3, 7, "m"),
+            *[("d", f"i{n % 7}", n // 3, n % 2, "p") for n in range(40)],
+        ],
+        "user_id string, item_id string, timestamp bigint, place int, note string",
+    )
+    found, names = _split_tables(spark, rows, monkeypatch)
+    assert "encoded" not in names  # the rows go from the last dictionary straight into the split
+    assert [len(part) for part in found] == [43, 4]
+    monkeypatch.setattr(encode, "found_heavy", lambda *_: ["d"])
+    spread, names = _split_tables(spark, rows, monkeypatch)
+    assert "encoded" in names and spread == found  # very frequent users are spread, with the same result
