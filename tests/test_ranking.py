@@ -180,3 +180,32 @@ def test_leaves_decide_most_items_without_their_scores(monkeypatch, dyadic, scal
         assert item[user == u].tolist() == order
         np.testing.assert_array_equal(score[user == u], scores[u, order])
     assert sum(looked) < scores.size / 2
+
+
+@pytest.mark.parametrize("kind", ["spread", "few", "one"])
+@pytest.mark.parametrize("n", [5, 700])
+def test_best_items_hold_few_bounds_at_once(kind, n):
+    import tracemalloc
+
+    import tacitrec.functions.ranking as ranking
+
+    rng = np.random.default_rng(3)
+    p, q = rng.normal(size=(300, 3)), rng.normal(size=(12_000, 3))
+    if kind != "spread":  # many equal scores, also over many leaves
+        q = np.round(q) if kind == "few" else np.ones_like(q)
+    row, place = np.repeat(np.arange(300), 9), rng.integers(0, 12_000, 2700)
+    place[:200] = np.arange(200)
+    leaves = ranking.make_leaves(q, 4)
+    tracemalloc.start()
+    user, item, score, rank = ranking.best_items_in(leaves, p, row, place, np.arange(12_000), n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    if n == 5 and kind != "one":
+        assert peak < 8 * len(p) * len(leaves.sizes)  # one bound per user and leaf took more
+    for u in range(0, 300, 23):
+        exact = ranking.exact_scores(np.repeat(p[u:u + 1], len(q), 0), q)
+        exact[place[row == u]] = -np.inf
+        order = np.lexsort((np.arange(12_000), -exact))[:n]
+        assert item[user == u].tolist() == order.tolist()
+        np.testing.assert_array_equal(score[user == u], exact[order])
+        assert rank[user == u].tolist() == list(range(1, n + 1))
