@@ -209,3 +209,56 @@ def test_best_items_hold_few_bounds_at_once(kind, n):
         assert item[user == u].tolist() == order.tolist()
         np.testing.assert_array_equal(score[user == u], exact[order])
         assert rank[user == u].tolist() == list(range(1, n + 1))
+
+
+def test_equal_vectors_are_looked_at_once():
+    import tacitrec.functions.ranking as ranking
+
+    rng = np.random.default_rng(8)
+    kinds = np.array([[0.0, 1.0], [0.0, 2.0], [0.5, 1.0], [0.5, 5e-324], [3.0, 1.0]])
+    q = kinds[rng.choice(5, 9_000, p=[0.6, 0.2, 0.1, 0.06, 0.04])]
+    p = np.array([[1.0, 1.0], [-1.0, 0.25], [0.0, 0.0], [-2.0, -1.0]])
+    leaves = ranking.make_leaves(q, 50)
+    assert leaves.sizes.max() <= 50 and len(leaves.joined.sizes) == 5 and not leaves.half.any()
+    exact = np.stack([ranking.exact_scores(np.repeat(u[None], len(q), 0), q) for u in p])
+    best = np.lexsort((np.arange(9_000), -exact[1]))
+    seen = [(0, i) for i in range(0, 9_000, 2)] + [(1, i) for i in sorted(best[:5_300])] + [(3, 8_999)]
+    row, place = (np.array(column) for column in zip(*seen))
+    exact[row, place] = -np.inf
+    user, item, score, rank = ranking.best_items_in(leaves, p, row, place, np.arange(9_000), 7)
+    for u in range(4):
+        order = np.lexsort((np.arange(9_000), -exact[u]))[:7]
+        assert item[user == u].tolist() == order.tolist()
+        np.testing.assert_array_equal(score[user == u], exact[u, order])
+    limits = np.array([1.0, 0.25, -1.0, -np.inf])
+    counts = ranking.count_above_in(leaves, p, limits, row, place, q)
+    np.testing.assert_array_equal(counts, (exact > limits[:, None]).sum(axis=1))
+
+
+def test_counts_look_at_few_boxes_and_stop_when_there_are_enough(monkeypatch):
+    import tacitrec.functions.ranking as ranking
+
+    rng = np.random.default_rng(9)
+    p, q = rng.normal(size=(80, 2)), rng.normal(size=(30_000, 2))
+    exact = np.stack([ranking.exact_scores(np.repeat(u[None], len(q), 0), q) for u in p])
+    limits = np.partition(exact, -40, axis=1)[:, -40]
+    limits[20:] = exact[20:, 0]
+    row, place = np.repeat(np.arange(80), 15), np.tile(np.arange(0, 30_000, 2_000), 80)
+    exact[row, place] = -np.inf
+    above = (exact > limits[:, None]).sum(axis=1)
+    leaves = ranking.make_leaves(q, 8)
+    plain, looked = ranking.Leaves.bounds, []
+
+    def bounds(self, users, some):
+        found = plain(self, users, some)
+        looked.append(found[0].size)
+        return found
+
+    monkeypatch.setattr(ranking.Leaves, "bounds", bounds)
+    np.testing.assert_array_equal(ranking.count_above_in(leaves, p, limits, row, place, q), above)
+    assert sum(looked) < len(p) * len(leaves.sizes) / 2
+    whole = sum(looked)
+    looked.clear()
+    counts = ranking.count_above_in(leaves, p, limits, row, place, q, 50)
+    np.testing.assert_array_equal(np.minimum(counts, 50), np.minimum(above, 50))
+    assert sum(looked) < whole / 2
