@@ -262,3 +262,23 @@ def test_counts_look_at_few_boxes_and_stop_when_there_are_enough(monkeypatch):
     counts = ranking.count_above_in(leaves, p, limits, row, place, q, 50)
     np.testing.assert_array_equal(np.minimum(counts, 50), np.minimum(above, 50))
     assert sum(looked) < whole / 2
+
+
+def test_evaluator_stops_counting_misses(spark, factors_of, monkeypatch):
+    from tacitrec.plans import evaluate
+
+    p, q, train, test = random_case(40, 900, 3, 21, True)
+    train_rows, test_rows = spark.createDataFrame(train, PAIRS), spark.createDataFrame(test, PAIRS)
+    ranks = [naive_rank(p[u] @ q.T, {i for user, i in train if user == u}, item) for u, item in test]
+    whole = {row["user_idx"]: row["rank"] for row in tr.test_item_rank(factors_of(p), factors_of(q), test_rows, train_rows).collect()}
+    assert [whole[u] for u, _ in test] == ranks
+    limit = sorted(ranks)[15]
+    seen, plain = [], evaluate.hr_ndcg
+    monkeypatch.setattr(evaluate, "hr_ndcg", lambda found, top_k: seen.append(found) or plain(found, top_k))
+    metrics = tr.Evaluator(test_rows, train_rows, 900, limit)(factors_of(p), factors_of(q)).first()
+    hits = [rank for rank in ranks if rank <= limit]
+    assert metrics["n"] == 40 and metrics["hr"] == pytest.approx(len(hits) / 40)
+    assert metrics["ndcg"] == pytest.approx(sum(1 / np.log2(rank + 1) for rank in hits) / 40)
+    found = {row["user_idx"]: row["rank"] for row in seen[0].collect()}
+    assert all(found[u] == rank if rank <= limit else limit < found[u] <= rank for (u, _), rank in zip(test, ranks))
+    assert sum(found.values()) < sum(ranks)
