@@ -381,3 +381,25 @@ def test_split_writes_the_encoded_rows_once(spark, monkeypatch):
     monkeypatch.setattr(encode, "found_heavy", lambda *_: ["d"])
     spread, names = _split_tables(spark, rows, monkeypatch)
     assert "encoded" in names and spread == found  # very frequent users are spread, with the same result
+
+
+def test_order_lines_meet_their_orders_with_little_baggage(spark, tmp_path):
+    from tacitrec.sources.star import order_line_ratings
+
+    spark.sql(
+        "select * from values (1L, 7L, timestamp'2001-02-03 04:05:06.75'), (2L, null, null), (3L, 8L, timestamp'1969-12-31 23:59:59.5')"
+        " as t(o_orderkey, o_custkey, o_orderdate)"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql(
+        "select * from values (1L, 5L, 1, 2.0D, 10.125D), (1L, null, 2, null, null), (2L, 6L, 1, 1.0D, 3.0D), (3L, 5L, 1, 1.0D, -0.01D),"
+        " (4L, 5L, 1, 1.0D, 1.0D), (null, 5L, 1, 1.0D, 1.0D) as t(l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice)"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = order_line_ratings(spark, str(tmp_path))
+    second = spark.sql("select unix_micros(timestamp'2001-02-03 04:05:06') div 1000000").first()[0]
+    before = spark.sql("select floor(unix_micros(timestamp'1969-12-31 23:59:59.5') / 1000000)").first()[0]
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([
+        ("7", "5", 2.0, second, 1, 1, 1013), ("7", None, None, second, 1, 2, None),
+        (None, "6", 1.0, None, 2, 1, 300), ("8", "5", 1.0, before, 3, 1, -1),
+    ], key=str)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("AS cents") and plan.index("Join Inner") < plan.index("AS timestamp")
