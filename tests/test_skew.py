@@ -151,3 +151,29 @@ def test_many_hot_entities_are_not_sent_to_the_driver(spark):
     )
     assert "BroadcastHashJoin" not in homes._jdf.queryExecution().executedPlan().toString()
     assert {row["home"] for row in homes.collect()} == {-1}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """Else those of every half-step stay until the driver collects its garbage."""
+    import glob
+    import os
+    import time
+
+    from tacitrec.tables import CLEAN_UP, drop_table, together, write_table
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {path for folder in manager.localDirs() for path in glob.glob(os.path.join(folder.getPath(), "*", "shuffle_*.data"))}
+
+    before, setting = files(), spark.conf.get(CLEAN_UP)
+    rows = spark.range(5000).selectExpr("id % 100 as key", "id").repartition(4, "key")
+    tables = together(spark, *[lambda: write_table(rows.sortWithinPartitions("id"), "probe")] * 3)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(CLEAN_UP) == setting
+    assert [table.count() for table in tables] == [5000] * 3
+    for table in tables:
+        drop_table(table)

@@ -345,3 +345,61 @@ def test_a_given_number_of_blocks_does_not_let_a_block_grow(spark):
     layout = tr.plans.train.Layout(relation, tr.Params(blocks=3, block_entities=10))
     assert (layout.user_blocks.n_blocks, layout.item_blocks.n_blocks) == (5, 3)
     layout.close()
+
+
+def test_many_vectors_travel_in_one_row(spark, factors_of):
+    """A row for each range of each block, and every entity to each block that needs it, once."""
+    from tacitrec.operators.blocks import SOURCE, TARGET
+    from tacitrec.plans.train import unpack_vectors
+
+    rows, p, q, c = random_case(10, n_users=60, n_items=50, n_rows=2000)
+    trainer = tr.Trainer(
+        spark.createDataFrame(rows, RELATION), confidence_of(spark, c.tolist()), len(p), len(q),
+        tr.Params(factors=5, blocks=3, range_entities=20), (factors_of(p), factors_of(q)),
+    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        stream = trainer._stream(trainer.user_blocks, trainer.items, trainer.users).applyInArrow(lambda table: table, "block int, rng int, role int, idx bigint, payload binary")
+        sent = stream.filter(f"role in ({SOURCE}, {TARGET})").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    found = {SOURCE: [], TARGET: []}
+    for row in sent:
+        idx, weights, vec = unpack_vectors(bytes(row["payload"]), 1)
+        for i, weight, v in zip(idx.tolist(), weights, vec):
+            assert row["rng"] == (i // 20 if row["role"] == SOURCE else -1)
+            np.testing.assert_array_equal(v, (q if row["role"] == SOURCE else p)[i])
+            assert weight[0] == (c[i] if row["role"] == SOURCE else 1)
+            found[row["role"]].append((row["block"], i))
+    assert sorted(i for _, i in found[TARGET]) == list(range(len(p)))
+    home = {i: block for block, i in found[TARGET]}
+    assert sorted(found[SOURCE]) == sorted({(home[u], i) for u, i, _, _ in rows})
+    assert len(sent) < len(found[SOURCE]) / 2
+
+
+def test_tiles_take_few_bytes_and_come_back_whole():
+    from tacitrec.operators.blocks import Tile
+
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 9, 2000)
+    n = int(sizes.sum())
+    ones, some = np.ones(n), rng.uniform(size=n)
+    tile = Tile(True, np.arange(2000) * 7 + 2**41, sizes, rng.integers(2**34, 2**34 + 9000, n), ones, ones, ones)
+    assert len(tile.packed()) < 4 * n
+    for first in (tile, Tile(False, tile.dst, sizes, tile.src, ones, some, some * 2)):
+        again = Tile.unpacked(first.packed())
+        assert again.hot == first.hot
+        for name in ("dst", "sizes", "src", "n", "sw", "swr"):
+            np.testing.assert_array_equal(getattr(again, name), getattr(first, name))
+
+
+def test_blocks_hold_as_many_entities_as_a_task_has_room_for():
+    """Fewer blocks mean fewer copies of each vector; what a task holds stays bounded."""
+    for k in (1, 2, 8, 64, 200):
+        for models in (1, 3):
+            params = tr.Params(factors=k)
+            block, partners = params.entities_of_block(models), params.entities_of_range(models)
+            assert block == 4096 or 8 * k * (k + 1) * models * block <= 1 << 26
+            assert partners == 65_536 or 8 * (k + 1) * models * partners <= 1 << 26
+    assert tr.Params(factors=8).entities_of_block() > 100_000
+    assert tr.Params(factors=8, block_entities=7).entities_of_block(2) == 7
