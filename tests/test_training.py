@@ -403,3 +403,38 @@ def test_blocks_hold_as_many_entities_as_a_task_has_room_for():
             assert partners == 65_536 or 8 * (k + 1) * models * partners <= 1 << 26
     assert tr.Params(factors=8).entities_of_block() > 100_000
     assert tr.Params(factors=8, block_entities=7).entities_of_block(2) == 7
+
+
+def test_pairs_travel_in_packed_rows_and_entities_stay_whole(spark):
+    """One row for each cell of a block, whatever the number of pairs; only hot entities are cut."""
+    from tacitrec.operators import blocks as b
+
+    rng = np.random.default_rng(11)
+    dst, src = (x.astype(np.int64) for x in np.unravel_index(rng.permutation(40 * 900)[:30_000], (40, 900)))
+    numbers = rng.uniform(size=(3, len(dst)))
+    keys = (5, 0, 9)
+    placed = b.Placed(None, None, keys, 300, False, None, 900, len(dst), spark.range(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (dst, src, *numbers)], names=["dst", "src", "n", "sw", "swr"])
+    for n_parts in (1, 2):
+        sent = list(b._send_pairs(3, n_parts, placed.places())(batch.slice(i, 1000) for i in range(0, len(batch), 1000)))
+        assert sum(map(len, sent)) == 3 * 3 * n_parts
+        found, owners = [], {}
+        for key in keys:
+            mine = [row for row in sent[0].to_pylist() if row["block"] == key]
+            mine = pa.RecordBatch.from_pylist(sorted(mine, key=lambda row: row["cell"]), sent[0].schema)
+            ranges = []
+            for number, tile_row in enumerate(b._pack(n_parts)([mine.slice(0, 1), mine.slice(1)])):
+                row = tile_row.to_pylist()[0]
+                tile = b.Tile.unpacked(row["payload"])
+                ranges.append(row["rng"])
+                owner = np.repeat(tile.dst, tile.sizes)
+                assert row["block"] == key and (tile.src // 300 == row["rng"]).all() and not tile.hot
+                for entity in tile.dst.tolist():
+                    assert owners.setdefault((entity, row["rng"]), (key, number)) == (key, number)
+                found += zip(owner.tolist(), tile.src.tolist(), tile.n.tolist(), tile.sw.tolist(), tile.swr.tolist())
+            assert ranges == sorted(ranges)
+        assert sorted(found) == sorted(zip(dst.tolist(), src.tolist(), *numbers.tolist()))
+    hot = list(b._tiles(1, 0, True, np.zeros(20_000, np.int64), np.arange(20_000), [np.ones(20_000)] * 3))
+    parts = [b.Tile.unpacked(row.to_pylist()[0]["payload"]) for row in hot]
+    assert max(len(part.src) for part in parts) <= b.TILE_PAIRS and all(len(part.dst) == 1 for part in parts)
+    assert np.concatenate([part.src for part in parts]).tolist() == list(range(20_000))
