@@ -282,3 +282,22 @@ def test_evaluator_stops_counting_misses(spark, factors_of, monkeypatch):
     found = {row["user_idx"]: row["rank"] for row in seen[0].collect()}
     assert all(found[u] == rank if rank <= limit else limit < found[u] <= rank for (u, _), rank in zip(test, ranks))
     assert sum(found.values()) < sum(ranks)
+
+
+def test_few_open_leaves_are_held_and_many_rows_are_counted_at_once(monkeypatch):
+    """Counts stay exact when the open leaves are scored in several goes, and up to `enough` when told so."""
+    from tacitrec.functions import ranking
+    from tacitrec.plans.evaluate import COUNTED_AT_ONCE
+
+    assert COUNTED_AT_ONCE > 2048  # a look at a leaf costs the more the fewer rows share it
+    rng = np.random.default_rng(12)
+    items, users = rng.normal(size=(6000, 4)), rng.normal(size=(300, 4))
+    limits = np.quantile(users @ items.T, 0.9, axis=1)
+    whole = (users @ items.T > limits[:, None]).sum(1)
+    none = np.zeros(0, np.int64)
+    for most in (50, 4_000_000):
+        monkeypatch.setattr(ranking, "OPEN_AT_ONCE", most)
+        leaves = ranking.make_leaves(items, 16)
+        np.testing.assert_array_equal(ranking.count_above_in(leaves, users, limits, none, none, items), whole)
+        some = ranking.count_above_in(leaves, users, limits, none, none, items, 100)
+        np.testing.assert_array_equal(np.minimum(some, 100), np.minimum(whole, 100))
