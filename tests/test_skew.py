@@ -177,3 +177,31 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert [table.count() for table in tables] == [5000] * 3
     for table in tables:
         drop_table(table)
+
+
+def test_an_evaluation_leaves_no_shuffle_files(spark, factors_of):
+    """What it keeps is the test rows and seen pairs, found before the training."""
+    import glob
+    import os
+    import time
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {path for folder in manager.localDirs() for path in glob.glob(os.path.join(folder.getPath(), "*", "shuffle_*.data"))}
+
+    rng = np.random.default_rng(5)
+    train = spark.createDataFrame([(u, int(i)) for u in range(30) for i in rng.integers(0, 40, 5)], "user_idx bigint, item_idx bigint")
+    test = spark.createDataFrame([(u, int(i)) for u, i in enumerate(rng.integers(0, 40, 30))], "user_idx bigint, item_idx bigint")
+    evaluator = tr.Evaluator(test, train, 40, 5)
+    args = (tr.training_relation(train), confidence_of(spark, [0.1] * 40), 30, 40, tr.Params(factors=K))
+    with tr.Trainer(*args) as trainer:
+        first = trainer.fit(1, evaluator)
+        kept = files()
+        again = trainer.fit(1, evaluator)
+        until = time.time() + 20
+        while files() - kept and time.time() < until:
+            time.sleep(0.2)
+        assert not files() - kept
+    evaluator.close()
+    assert all(0 <= row["hr"] <= 1 for result in (first, again) for row in result.history.collect())
